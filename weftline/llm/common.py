@@ -107,3 +107,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.union(roots)
+
+
+#: A side of at most this many ids may be broadcast (a few dozen MB); beyond it the join shuffles both sides.
+BROADCAST_IDS = 500_000
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``rows`` joined with ``ids`` (a table already written) on its one id column; ``how`` is left_semi or left_anti.
+
+    The ids are counted first and broadcast only if they are few.
+    """
+    key = ids.columns[0]
+    return rows.join(F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids, key, how)
