@@ -203,7 +203,7 @@ def shingle_set(text, k: int):
 
     def hashed(w):
         starts = F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.least(F.size(w), F.lit(1))))
-        return F.array_distinct(F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, k))).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")))
+        return F.array_distinct(F.transform(starts, lambda x, i: F.shiftright(F.xxhash64(x, *(F.get(w, i + j) for j in range(1, k))), 32).cast("int")))
 
     return bind(words(ascii_lower(text)), hashed)
 
