@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.fingerprints import op1_fingerprints
 from weftline.llm.mixing import OP7_SQL, op7_mixing
 from weftline.llm.simhash import op3_simhash
+from weftline.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_simhash, op7_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_simhash, op7_mixing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
