@@ -10,11 +10,12 @@ from weftline.llm.decontamination import op5_decontamination
 from weftline.llm.fingerprints import op1_fingerprints
 from weftline.llm.mixing import OP7_SQL, op7_mixing
 from weftline.llm.simhash import op3_simhash
+from weftline.llm.suffixes import op2_suffixes
 from weftline.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_simhash, op5_decontamination, op7_mixing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_suffixes, op3_simhash, op5_decontamination, op7_mixing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
