@@ -11,12 +11,13 @@ from weftline.llm.fingerprints import op1_fingerprints
 from weftline.llm.mixing import OP7_SQL, op7_mixing
 from weftline.llm.simhash import op3_simhash
 from weftline.llm.suffixes import op2_suffixes
+from weftline.llm.tokencount import op4_tokencount
 from weftline.llm.toxicity import op9_toxicity
 from weftline.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_suffixes, op3_simhash, op5_decontamination, op7_mixing, op8_warc, op9_toxicity)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_suffixes, op3_simhash, op4_tokencount, op5_decontamination, op7_mixing, op8_warc, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
