@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.decontamination import op5_decontamination
 from weftline.llm.fingerprints import op1_fingerprints
+from weftline.llm.licenses import op6_licenses
 from weftline.llm.mixing import OP7_SQL, op7_mixing
 from weftline.llm.pitmanyor import op10_pitmanyor
 from weftline.llm.simhash import op3_simhash
@@ -18,7 +19,7 @@ from weftline.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_suffixes, op3_simhash, op4_tokencount, op5_decontamination, op7_mixing, op8_warc, op9_toxicity, op10_pitmanyor)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_suffixes, op3_simhash, op4_tokencount, op5_decontamination, op6_licenses, op7_mixing, op8_warc, op9_toxicity, op10_pitmanyor)}
 
 
 def oracle_sql() -> dict[str, str]:
