@@ -23,3 +23,18 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return keep
+
+
+def sql_query(name: str, text: str, oracle: str | None = None) -> None:
+    """Register Spark SQL over tables named in braces; ``oracle`` is the same in the oracle's dialect where that differs."""
+    import re
+
+    from weftline.sources.tables import table
+
+    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+
+    run.__name__ = name
+    query(name, re.sub(r"\{(\w+)\}", r"\1", text) if oracle is None else oracle)(run)
