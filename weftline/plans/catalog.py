@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.operators import groupstats, metrics  # noqa: F401
+from weftline.operators import groupstats, metrics, relational, textqueries  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 
