@@ -15,7 +15,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\f\r"
 
 
+#: Bytes of a batch between the JVM and a Python worker, so that long texts come few at a time.
+BATCH_BYTES = "4m"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. Unless the session says otherwise, Python workers then get batches of BATCH_BYTES."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,11 +54,22 @@ def remove(spark: SparkSession, path: str) -> None:
         return
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: evaluated once, and free of lineage that a lost executor could break."""
+    """``df`` as a table in the shared folder: evaluated once, and free of lineage that a lost executor could break.
+
+    The shuffle files of the evaluation go when it ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -101,11 +101,16 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[tuple[np.ndarray, ...]] = []
             for i, t, g in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 words, grams = retained(t.as_py(), passage, gram)
                 starts = np.flatnonzero(np.isin(grams, np.array(g.values.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)))
-                h = gram_hashes(words, passage)[starts].view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(starts), i.as_py(), dtype=np.int64)), pa.array(starts.astype(np.int32)), pa.array(h)], names=["id", "start", "h"])
+                found.append((np.full(len(starts), i.as_py(), dtype=np.int64), starts.astype(np.int32), gram_hashes(words, passage)[starts].view(np.int64)))
+                if sum(len(x) for x, *_ in found) > 50_000:
+                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["id", "start", "h"])
+                    found = []
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["id", "start", "h"])
 
     some = join_ids(singles, mine.select("id"), "left_semi")
     stretches = written(some.join(mine, "id").mapInArrow(extend, "id bigint, start int, h bigint"), "stretches")
