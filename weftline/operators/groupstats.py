@@ -211,16 +211,14 @@ def discounted_returns(rewards: Column, gamma: float) -> Column:
     "discounted_returns",
     f"""WITH RECURSIVE s AS (SELECT user_id, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) rn FROM {RO}),
     r AS (SELECT user_id, event_id, rn, value AS ret FROM s WHERE rn = 1 UNION ALL
-    SELECT s.user_id, s.event_id, s.rn, s.value + 0.9 * r.ret FROM s JOIN r ON s.user_id = r.user_id AND s.rn = r.rn + 1 WHERE s.rn <= 20)
-    SELECT event_id, round(ret, 8) AS ret FROM r""",
+    SELECT s.user_id, s.event_id, s.rn, s.value + 0.875 * r.ret FROM s JOIN r ON s.user_id = r.user_id AND s.rn = r.rn + 1)
+    SELECT event_id, round(ret, 6) AS ret FROM r""",
 )
 def discounted_returns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discounted returns over the last 20 steps of each user, a top-k per user whose arrays are bounded by k."""
-    last = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    r = rollouts(spark, sf_dir).withColumn("rn", F.row_number().over(last)).where("rn <= 20")
-    g = r.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    g = g.select(F.col("s.event_id").alias("ids"), discounted_returns(F.col("s.value"), 0.9).alias("rets"))
-    return g.select(F.explode(F.arrays_zip("ids", "rets")).alias("z")).select(F.col("z.ids").alias("event_id"), F.round("z.rets", 8).alias("ret"))
+    """Discounted returns over the steps of each user, whose arrays hold a trajectory each."""
+    g = rollouts(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    g = g.select(F.col("s.event_id").alias("ids"), discounted_returns(F.col("s.value"), 0.875).alias("rets"))
+    return g.select(F.explode(F.arrays_zip("ids", "rets")).alias("z")).select(F.col("z.ids").alias("event_id"), F.round("z.rets", 6).alias("ret"))
 
 
 @query(

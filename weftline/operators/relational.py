@@ -46,7 +46,7 @@ sql_query(
 )
 sql_query(
     "range_overlap_argmax",
-    "SELECT doc_id, win FROM (SELECT d.doc_id, w.win, row_number() OVER (PARTITION BY d.doc_id ORDER BY least(d.hi, w.hi) - greatest(d.lo, w.lo) DESC, w.win) AS rn FROM (SELECT doc_id, doc_id * 37 % 900 AS lo, doc_id * 37 % 900 + 150 AS hi FROM {documents}) d JOIN (SELECT item_id AS win, item_id * 100 AS lo, item_id * 100 + 100 AS hi FROM {benchmark} WHERE item_id < 12) w ON d.lo < w.hi AND d.hi > w.lo) WHERE rn = 1",
+    "SELECT doc_id, win FROM (SELECT d.doc_id, w.win, row_number() OVER (PARTITION BY d.doc_id ORDER BY least(d.hi, w.hi) - greatest(d.lo, w.lo) DESC, w.win) AS rn FROM (SELECT doc_id, doc_id * 37 % 900 AS lo, doc_id * 37 % 900 + 150 AS hi FROM {documents}) d JOIN (SELECT item_id AS win, item_id * 100 AS lo, item_id * 100 + 100 AS hi FROM {benchmark}) w ON d.lo < w.hi AND d.hi > w.lo) WHERE rn = 1",
 )
 sql_query(
     "point_in_interval",
@@ -82,7 +82,7 @@ sql_query("sample_n", "SELECT doc_id FROM {documents} ORDER BY md5(CAST(doc_id *
 sql_query("resample_weights", "SELECT event_id, round(pow(value, 0.5) / sum(pow(value, 0.5)) OVER (PARTITION BY event_type), 9) AS weight FROM {events}")
 sql_query("repeat_rows", "SELECT doc_id, r FROM {documents} LATERAL VIEW explode(sequence(1, CAST(doc_id % 3 + 1 AS INT))) t AS r", "SELECT doc_id, CAST(unnest(range(1, doc_id % 3 + 2)) AS INTEGER) AS r FROM documents")
 sql_query("fold_rows", "SELECT CAST(floor(event_id / 10) AS BIGINT) AS batch, array_join(array_sort(collect_list(event_id)), ',') AS ids FROM {events} GROUP BY CAST(floor(event_id / 10) AS BIGINT)", "SELECT CAST(floor(event_id / 10) AS BIGINT) AS batch, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS ids FROM events GROUP BY ALL")
-sql_query("unfold_rows", "SELECT vec_id, pos, x FROM (SELECT vec_id, slice(embedding, 1, 4) AS e FROM {embeddings}) LATERAL VIEW posexplode(e) t AS pos, x", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, embedding[i] AS x FROM embeddings, range(1, 5) t(i)")
+sql_query("unfold_rows", "SELECT vec_id, pos, x FROM (SELECT vec_id, embedding AS e FROM {embeddings}) LATERAL VIEW posexplode(e) t AS pos, x", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, embedding[i] AS x FROM embeddings, range(1, 65) t(i)")
 
 # --- batch algebra ---
 
@@ -119,8 +119,8 @@ sql_query("pad_arrays", "SELECT conv_id, array_join(slice(concat(transform(array
 sql_query("prefix_rows", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix_turns, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix_chars FROM {conversations}", "SELECT conv_id, turn, count(*) OVER w AS prefix_turns, CAST(sum(length(text)) OVER w AS BIGINT) AS prefix_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 sql_query(
     "common_prefix_length",
-    "SELECT c.conv_id, CAST(coalesce(array_min(filter(sequence(1, least(length(c.text), length(d.text))), i -> substr(c.text, i, 1) <> substr(d.text, i, 1))) - 1, least(length(c.text), length(d.text))) AS BIGINT) AS lcp FROM (SELECT conv_id, substr(text, 1, 40) AS text FROM {conversations} WHERE turn = 0) c JOIN (SELECT conv_id, substr(text, 1, 40) AS text FROM {conversations} WHERE turn = 1) d ON c.conv_id = d.conv_id WHERE length(c.text) > 0 AND length(d.text) > 0",
-    "SELECT c.conv_id, CAST(coalesce(list_min(list_filter(range(1, least(length(c.text), length(d.text)) + 1), lambda i: substr(c.text, i, 1) <> substr(d.text, i, 1))) - 1, least(length(c.text), length(d.text))) AS BIGINT) AS lcp FROM (SELECT conv_id, substr(text, 1, 40) AS text FROM conversations WHERE turn = 0) c JOIN (SELECT conv_id, substr(text, 1, 40) AS text FROM conversations WHERE turn = 1) d ON c.conv_id = d.conv_id WHERE length(c.text) > 0 AND length(d.text) > 0",
+    "SELECT c.conv_id, CAST(coalesce(array_min(filter(sequence(1, least(length(c.text), length(d.text))), i -> substr(c.text, i, 1) <> substr(d.text, i, 1))) - 1, least(length(c.text), length(d.text))) AS BIGINT) AS lcp FROM (SELECT conv_id, text FROM {conversations} WHERE turn = 0) c JOIN (SELECT conv_id, text FROM {conversations} WHERE turn = 1) d ON c.conv_id = d.conv_id WHERE length(c.text) > 0 AND length(d.text) > 0",
+    "SELECT c.conv_id, CAST(coalesce(list_min(list_filter(range(1, least(length(c.text), length(d.text)) + 1), lambda i: substr(c.text, i, 1) <> substr(d.text, i, 1))) - 1, least(length(c.text), length(d.text))) AS BIGINT) AS lcp FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) c JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) d ON c.conv_id = d.conv_id WHERE length(c.text) > 0 AND length(d.text) > 0",
 )
 sql_query("flatten_nested", "SELECT event_id, s.kind AS kind, s.score AS score FROM (SELECT event_id, named_struct('kind', event_type, 'score', value) AS s FROM {events})", "SELECT event_id, s.kind AS kind, s.score AS score FROM (SELECT event_id, {'kind': event_type, 'score': value} AS s FROM events)")
 sql_query("reference_answers", "SELECT doc_id, replace(regexp_extract('x #### ' || n_chars || ',1', '#### (-?[0-9,]+)', 1), ',', '') AS answer FROM {documents}")

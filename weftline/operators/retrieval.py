@@ -89,22 +89,22 @@ _DOT = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CA
 @query(
     "vector_top_k",
     f"""SELECT qid, vec_id, score, rank FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM
-    (SELECT q.vec_id AS qid, v.vec_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 16 AND v.vec_id <> q.vec_id)) WHERE rank <= 10""",
+    (SELECT q.vec_id AS qid, v.vec_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id)) WHERE rank <= 10""",
 )
 def vector_top_k_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vector_top_k(v.where("vec_id < 16"), v, 10)
+    return vector_top_k(v.where("vec_id % 20 = 0"), v, 10)
 
 
 @query(
     "filtered_vector_top_n",
     f"""SELECT qid, vec_id, score, rank FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM
-    (SELECT q.vec_id AS qid, v.vec_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 8 AND v.label % 2 = 1 AND v.vec_id <> q.vec_id)) WHERE rank <= 5""",
+    (SELECT q.vec_id AS qid, v.vec_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.label % 2 = 1 AND v.vec_id <> q.vec_id)) WHERE rank <= 5""",
 )
 def filtered_vector_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filter before ranking: no doubling of k is needed."""
     v = table(spark, sf_dir, "embeddings")
-    return vector_top_k(v.where("vec_id < 8").select("vec_id", "embedding"), v.where("label % 2 = 1").select("vec_id", "embedding"), 5)
+    return vector_top_k(v.where("vec_id % 20 = 0").select("vec_id", "embedding"), v.where("label % 2 = 1").select("vec_id", "embedding"), 5)
 
 
 def ivf_lists(n: int) -> int:

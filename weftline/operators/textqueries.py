@@ -47,10 +47,10 @@ def gsm_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "marked_spans",
     """SELECT doc_id, CAST(len(s) AS BIGINT) AS spans, coalesce(array_to_string(s, '|'), '') AS joined FROM (SELECT doc_id,
-    regexp_extract_all('<q>' || left(text, 40) || '</q> x <q>' || right(text, 20) || '</q>', '(?s)<q>(.*?)</q>', 1) AS s FROM documents)""",
+    regexp_extract_all('<q>' || text || '</q> x <q>' || source || '</q>', '(?s)<q>(.*?)</q>', 1) AS s FROM documents)""",
 )
 def marked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = F.concat(F.lit("<q>"), F.left("text", F.lit(40)), F.lit("</q> x <q>"), F.right("text", F.lit(20)), F.lit("</q>"))
+    marked = F.concat(F.lit("<q>"), F.col("text"), F.lit("</q> x <q>"), F.col("source"), F.lit("</q>"))
     return docs(spark, sf_dir).select("doc_id", F.size(T.between(marked, "<q>", "</q>")).cast("long").alias("spans"), F.array_join(T.between(marked, "<q>", "</q>"), "|").alias("joined"))
 
 
@@ -74,21 +74,21 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     "edge_overlaps",
     """SELECT doc_id, CASE WHEN contains(a, b) THEN CAST(length(b) AS BIGINT) WHEN contains(b, a) THEN CAST(length(a) AS BIGINT) ELSE
     CAST((SELECT max(i) FROM (SELECT unnest(range(0, least(length(a), length(b)) + 1)) AS i) WHERE right(a, i) = left(b, i) OR right(b, i) = left(a, i)) AS BIGINT) END AS overlap
-    FROM (SELECT doc_id, left(text, 60) AS a, substr(text, 31, 60) AS b FROM documents)""",
+    FROM (SELECT doc_id, source || lang AS a, lang || source AS b FROM documents)""",
 )
 def edge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).select("doc_id", F.left("text", F.lit(60)).alias("a"), F.substring("text", 31, 60).alias("b"))
+    d = docs(spark, sf_dir).select("doc_id", F.concat("source", "lang").alias("a"), F.concat("lang", "source").alias("b"))
     return d.select("doc_id", T.edge_overlap(F.col("a"), F.col("b")).cast("long").alias("overlap"))
 
 
 @query(
     "two_way_containment",
-    """WITH n AS (SELECT doc_id, source, trim(regexp_replace(translate(lower(left(text, 12)), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS x,
+    """WITH n AS (SELECT doc_id, source, trim(regexp_replace(translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS x,
     lower(lang) AS y FROM documents) SELECT doc_id, CASE WHEN contains(array_to_string(list_filter(string_split(x, ' '), lambda w: w NOT IN ('a', 'an', 'the', '')), ' '), y) OR
     contains(y, array_to_string(list_filter(string_split(x, ' '), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')) THEN 1e0 ELSE 0e0 END AS score FROM n""",
 )
 def two_way_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", T.contains_either_way(F.left("text", F.lit(12)), F.col("lang")).alias("score"))
+    return docs(spark, sf_dir).select("doc_id", T.contains_either_way(F.col("text"), F.col("lang")).alias("score"))
 
 
 @query(
@@ -129,7 +129,7 @@ def seed_from_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql_query("control_prefix", "SELECT doc_id, md5(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN 'Section::::' || text ELSE text END, '^(Section|BULLET|NUMBERED)::::', '')) AS digest FROM {documents}")
 sql_query("title_normaliser", "SELECT doc_id, md5(trim(regexp_replace(lower(replace(source || '_ ' || lang, '_', ' ')), ' +', ' '))) AS title FROM {documents}", "SELECT doc_id, md5(trim(regexp_replace(lower(replace(source || '_ ' || lang, '_', ' ')), ' +', ' ', 'g'))) AS title FROM documents")
-sql_query("guarded_containment", "SELECT doc_id, length(trim(left(text, 6))) >= 4 AND position(lower(trim(left(text, 6))) IN lower(text)) > 0 AS found FROM {documents}", "SELECT doc_id, length(trim(left(text, 6))) >= 4 AND contains(lower(text), lower(trim(left(text, 6)))) AS found FROM documents")
+sql_query("guarded_containment", "SELECT doc_id, length(trim(source)) >= 4 AND position(lower(trim(source)) IN lower(text || source)) > 0 AS found FROM {documents}", "SELECT doc_id, length(trim(source)) >= 4 AND contains(lower(text || source), lower(trim(source))) AS found FROM documents")
 
 
 @query("cjk_filter", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[\\x{4e00}-\\x{9fff}]')")
