@@ -141,7 +141,7 @@ sql_query("quadratic_cost", "SELECT doc_id, CAST(24576 * n_chars + n_chars * n_c
 sql_query("format_predicate", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) / 3 = 1 AND position('.' IN text) > 0 AS ok FROM {documents}", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) / 3 = 1 AND contains(text, '.') AS ok FROM documents")
 sql_query(
     "kl_estimators",
-    "SELECT event_id, round(d, 6) AS k1, round(abs(d), 6) AS k1_abs, round(d * d / 2, 6) AS k2, round(least(greatest(exp(least(greatest(-d, -20e0), 20e0)) + d - 1, -10e0), 10e0), 6) AS k3 FROM (SELECT event_id, (value - 30) / 100e0 AS d FROM {events})",
+    "SELECT event_id, round(d, 9) AS k1, round(abs(d), 9) AS k1_abs, round(d * d / 2, 9) AS k2, round(least(greatest(exp(least(greatest(-d, -20e0), 20e0)) + d - 1, -10e0), 10e0), 6) AS k3 FROM (SELECT event_id, (value - 30) / 100e0 AS d FROM {events})",
 )
 sql_query(
     "importance_weights",
