@@ -36,9 +36,10 @@ def run(stream, mode, name):
     return q
 
 
-def test_streams_agree_with_batches(spark):
-    path = "/root/testdata/sf0.001/events.parquet"
-    events = spark.read.parquet(path)
+def test_streams_agree_with_batches(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = str(tmp_path / "events")
+    events.repartition(3).write.parquet(path)
     run(queue.running_moments(queue.source(spark, path)), "complete", "moments")
     assert {r["event_type"]: r["n"] for r in spark.table("moments").collect()} == {r["event_type"]: r["count"] for r in events.groupBy("event_type").count().collect()}
     run(queue.windowed(queue.source(spark, path)), "complete", "windows")
