@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.operators import generators, groupstats, metrics, packing, relational, retrieval, textqueries  # noqa: F401
+from weftline.operators import generators, groupstats, metrics, packing, relational, retrieval, textqueries, tokens  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 
