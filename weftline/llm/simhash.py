@@ -117,7 +117,8 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     linked = written(components(near_links(nodes)), "fpcomps")
     lows = nodes.join(linked, F.col("fp") == F.col("node"))
     lows = lows.select("fp", "component").join(lows.groupBy("component").agg(F.min("low").alias("low_all")), "component").select("fp", "low_all")
-    named = nodes.join(lows, "fp", "left").select("fp", F.coalesce("low_all", "low").alias("component_id"))
+    # written, so that a fingerprint that very many documents share can be split over tasks
+    named = written(nodes.join(lows, "fp", "left").select("fp", F.coalesce("low_all", "low").alias("component_id")), "fpnamed")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
