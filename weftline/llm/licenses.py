@@ -121,7 +121,7 @@ NOT_NOTICES = [
     "The foundation published the terms of the award.",
 ]
 FAMILIES = sorted(NOTICES)
-SAMPLE_PARAGRAPHS, SAMPLE_WORDS = 3000, 400
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_WORDS = 1000, 3000, 400
 VARIANTS = 24
 COMMON_SHARE = 0.01
 KNOWN, CONFIRMED = 0.5, 0.5
@@ -219,6 +219,19 @@ def gram_hashes(w: Column) -> Column:
     return F.array_distinct(F.concat(of(1), of(2), of(3)))
 
 
+def sampled(docs: DataFrame, text: str, id_col: str) -> list[list[str]]:
+    """At most SAMPLE_PARAGRAPHS paragraphs of at most SAMPLE_WORDS words, of about SAMPLE_DOCS documents, both chosen by a hash.
+
+    The share of the documents is fixed by their number before anything is
+    sorted, so that no task sends more to the driver where there are more tasks.
+    """
+    n = docs.count()
+    drawn = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(6)), 11) < F.lit(int(min(1.0, SAMPLE_DOCS / max(n, 1)) * 2**53))
+    p = paragraphs(docs.where(drawn), text, id_col).where(F.size("w") <= SAMPLE_WORDS)
+    rows = p.orderBy(F.xxhash64("id", "paragraph", F.lit(6)), "id", "paragraph").limit(SAMPLE_PARAGRAPHS).select("w").collect()
+    return [list(r["w"]) for r in rows]
+
+
 def licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, paragraph, family, probability, unknown_probability, notice_share, confirmed): every paragraph that is predicted to be of a licence family.
 
@@ -231,8 +244,7 @@ def licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     """
     spark = docs.sparkSession
     p = paragraphs(docs, text, id_col)
-    sample = p.where(F.size("w") <= SAMPLE_WORDS).orderBy(F.xxhash64("id", "paragraph", F.lit(6)), "id", "paragraph").limit(SAMPLE_PARAGRAPHS)
-    weights, constant = train([list(r["w"]) for r in sample.select("w").collect()])
+    weights, constant = train(sampled(docs, text, id_col))
     notices = [(k, len(triples(plain_tokens(t)))) for k, name in enumerate(FAMILIES) for t in NOTICES[name]]
     found = p.select("id", "paragraph", F.explode(bind(F.col("w"), gram_hashes)).alias("h")).join(F.broadcast(lookup(spark, weights)), "h")
     sums = [F.sum(F.get("w", F.lit(k))).alias(f"z{k}") for k in range(len(FAMILIES) + 1)]

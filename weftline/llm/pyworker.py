@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -14,6 +16,15 @@ GAP = re.compile(rb"[\x20\x09-\x0D]")
 BLOCK = 1 << 22
 
 
+def release() -> None:
+    """Hand freed memory back to the system, so that a worker that waits for its next task is small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such function in this C library
+        return
+
+
 def word_lists(text: str | None, block: int = BLOCK) -> Iterator[list[bytes]]:
     """The lower-cased (A-Z) words of a text, some MB of it at a time."""
     data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)

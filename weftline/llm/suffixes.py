@@ -114,7 +114,8 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage
 
     some = join_ids(singles, mine.select("id"), "left_semi")
     stretches = written(some.join(mine, "id").mapInArrow(extend, "id bigint, start int, h bigint"), "stretches")
-    firsts = stretches.groupBy("h").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("h", "f")
+    # written, so that both sides of the join are plain shuffles and a stretch that very many documents share can be split over tasks
+    firsts = written(stretches.groupBy("h").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("h", "f"), "firsts")
     again = stretches.join(firsts, "h").where("id <> f.id").select("id", "start", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_start"))
     again = again.distinct().withColumn("shift", F.col("first_start") - F.col("start"))
     line = Window.partitionBy("id", "first_id", "shift").orderBy("start")

@@ -165,7 +165,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, t
     lab = labels.where(use & F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).alias("y")).dropDuplicates([id_col])
     counts = {r["y"]: r["count"] for r in lab.groupBy("y").count().collect()}
     by_hash = [F.xxhash64(id_col, F.lit(9)), id_col]
-    chosen = written(lab.where("y = 1").orderBy(*by_hash).limit(TRAIN_DOCS).union(lab.where("y = 0").orderBy(*by_hash).limit(TRAIN_DOCS)), "toxtrain")
+
+    def draw(y: int) -> DataFrame:
+        # twice as many as needed pass a threshold on the hash, so that tasks send few rows however many tasks there are
+        share = min(1.0, (2 * TRAIN_DOCS + 200) / max(counts.get(y, 0), 1))
+        passing = F.shiftrightunsigned(F.xxhash64(id_col, F.lit(9)), 11) < F.lit(int(share * 2**53))
+        return lab.where((F.col("y") == y) & passing).orderBy(*by_hash).limit(TRAIN_DOCS)
+
+    chosen = written(draw(1).union(draw(0)), "toxtrain")
     texts = docs.where(F.length(text) <= TRAIN_CHARS).select(id_col, F.col(text).alias("t")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col])
     rows = sorted((r[id_col], r["t"], r["y"]) for r in texts.collect())
     return [(t, y) for _, t, y in rows], counts.get(1, 0) / max(sum(counts.values()), 1)
