@@ -123,6 +123,22 @@ def test_forest_spans_a_group_in_chunks(monkeypatch):
     assert len(set(closure(range(100), edges).values())) == 1 and len(edges) == 99
 
 
+def test_near_copies_that_hang_on_their_base_alone(spark):
+    """Scattered edits: the copies are like the base, and unlike each other."""
+    base, texts = words(900, 300), {}
+    for c in range(80):
+        copy = base.copy()
+        for j in random.Random(c).sample(range(300), 6):
+            copy[j] = f"edit{c}x{j}"
+        texts[c] = " ".join(copy)
+    texts[80] = " ".join(base)
+    pairs = [(a, b) for a in texts for b in texts if a < b and similarity(texts[a], texts[b]) >= 0.8]
+    want = {(i, r) for i, r in closure(texts, pairs).items() if i != r}
+    assert len(want) > 60 and sum(80 in p for p in pairs) > 0.8 * len(pairs)
+    got = {(r["doc_id"], r["keeper"]) for r in simhash.near_copies(table_of([(i, t, "s") for i, t in texts.items()], spark)).collect()}
+    assert got == want
+
+
 def test_drop_near_copies_keeps_all_else(odd, nothing):
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns

@@ -65,16 +65,3 @@ def simhash64(text: str | None, k: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     lists = (np.array([digest(s, seed) for s in x], dtype="<u8") for x in shingle_lists(text, k))
     return int(np.packbits(majority(lists, 64), bitorder="little").view("<u8")[0])
-
-
-def word_set_bits(text: str | None, longs: int) -> np.ndarray:
-    """A SimHash of ``64 * longs`` bits over the distinct words, each counted once; as ``longs`` numbers."""
-    distinct: set[bytes] = set()
-    for found in word_lists(text):
-        distinct.update(found)
-    if not distinct:
-        return np.zeros(longs, dtype="<u8")
-    digest = xxhash.xxh64_digest
-    joined = b"".join(digest(w, s) for w in distinct for s in range(longs))
-    rows = np.frombuffer(joined, dtype=np.uint8).reshape(len(distinct), 8 * longs)
-    return np.packbits(majority(iter([rows]), 64 * longs), bitorder="little").view("<u8")

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ascii_lower, bind, components, join_ids, read_table, words, written
-from weftline.llm.pyworker import simhash64, word_set_bits
+from weftline.llm.common import ascii_lower, bind, components, join_ids, read_table, remove, words, written
+from weftline.llm.pyworker import simhash64
 
 NEAR_BITS = 3
 #: The syndrome of a bit set at place p (from 0) in the Hamming code of length 31 is p + 1.
@@ -130,9 +130,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies by similarity, for the pipeline ---
 
-WORD_LONGS = 3
-SIG_BITS = 16
 CHUNK = 4096
+#: How many usual shingles may be told apart (an array of so many numbers on the driver and the workers). It bears on the work, not on the result.
+USUAL = 200_000
+PARITY_LONGS = 8
+PARITIES = [f"p{i}" for i in range(PARITY_LONGS)]
 
 
 def forest(sig: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -164,41 +166,6 @@ def forest(sig: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_edges(rows: DataFrame, most: int) -> DataFrame:
-    """Forest edges (a, b, d) of each bucket of ``rows`` (bucket, id, sig), which are sorted by bucket within partitions."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 3), dtype=np.int64)
-
-        def edges(x: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
-            sizes = np.diff(np.r_[starts, len(x)])
-            sig = x[:, 2].view(np.uint64)
-            two = starts[sizes == 2]
-            d = np.bitwise_count(sig[two] ^ sig[two + 1])
-            two = two[d <= most]
-            pairs = [np.stack([two, two + 1], axis=1)]
-            for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-                if found := forest(sig[s : s + n], most):
-                    pairs.append(np.array(found) + s)
-            p = np.concatenate(pairs)
-            a, b = x[p[:, 0], 1], x[p[:, 1], 1]
-            keep = a != b
-            return pa.record_batch([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
-
-        for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            held = np.concatenate([held, x])
-            last = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
-            if last:
-                yield edges(held[:last])
-                held = held[last:]
-        if len(held):
-            yield edges(held)
-
-    return rows.mapInArrow(link, "a bigint, b bigint").distinct()
-
-
 def shingle_set(text, k: int):
     """The distinct 32-bit hashes of a text's ``k``-word shingles."""
 
@@ -209,50 +176,183 @@ def shingle_set(text, k: int):
     return bind(words(ascii_lower(text)), hashed)
 
 
-def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, k: int = 5) -> DataFrame:
-    """(id, keeper): every document that is a copy of a smaller id, and the smallest id of its group.
+def set_members(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of a column of int arrays: their sizes, and all members as unsigned numbers."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return sizes.astype(np.int64), column.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
 
-    Groups are the components of two kinds of links. Equal texts link to the
-    smallest id that has the text. Of the different texts, candidates share an
-    anchor in a block of a SimHash of their distinct words (which moves by few
-    bits where a few words change) and are the closest of those there; a
-    candidate links if the Jaccard similarity of the ``k``-word shingle sets is
-    ``similarity`` or more, which is computed from the whole texts. Texts of
-    fewer than ``k`` words are one shingle; null and blank texts are equal
-    texts. Rows with a null id are left out.
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def usual(sets: DataFrame) -> np.ndarray:
+    """At most USUAL shingles that many texts have, by a sample of one text in 16."""
+    sample = sets.where(F.xxhash64("id", F.lit(3)) % 16 == 0).select(F.explode("s").alias("h"))
+    counts = written(sample.groupBy("h").count().where("count > 2").withColumn("level", F.floor(4 * F.log2("count")).cast("int")), "nearusual")
+    least, have = None, 0
+    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        have += row["count"]
+        if have > USUAL:
+            break
+        least = row["level"]
+    if least is None:
+        return np.empty(0, dtype=np.uint32)
+    return np.sort(counts.where(F.col("level") >= least).select("h").toArrow()["h"].to_numpy().view(np.uint32))
+
+
+def prefixes(sets: DataFrame, last: np.ndarray, similarity: float) -> DataFrame:
+    """(key, id): keys of which any two sets of at least ``similarity`` share one.
+
+    Sets of n and m members with Jaccard similarity t share t * max(n, m) or
+    more. In any order of all shingles, the first n - ceil(t * n) + 1 of each
+    then have one in common. The order here is by hash, with the shingles of
+    ``last`` behind all others, so that a usual line makes no keys where a text
+    has others. Empty sets share the key -1.
     """
+    packed = sets.sparkSession.sparkContext.broadcast(last)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = packed.value
         for batch in batches:
-            bits = [word_set_bits(t.as_py(), WORD_LONGS) for t in batch.column(1)]
-            bits = np.array(bits, dtype="<u8").reshape(-1, WORD_LONGS).view(np.int64)
-            yield pa.record_batch([batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(WORD_LONGS))], names=["id", "same", *(f"f{i}" for i in range(WORD_LONGS))])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            sizes, values = set_members(batch.column(1))
+            behind = np.zeros(len(values), dtype=bool)
+            if len(late):
+                behind = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values
+            row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+            order = np.sort((row << np.uint64(33)) | (behind.astype(np.uint64) << np.uint64(32)) | values)
+            most = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
+            place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            use = order[place < np.repeat(most, sizes)]
+            none = ids[sizes == 0]
+            key = np.r_[(use & np.uint64(0xFFFFFFFF)).astype(np.int64), np.full(len(none), -1)]
+            yield pa.record_batch([pa.array(key), pa.array(np.r_[ids[(use >> np.uint64(33)).astype(np.int64)], none])], names=["key", "id"])
+
+    return sets.select("id", "s").mapInArrow(expand, "key bigint, id bigint")
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() before the driver ends."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            remove(t.sparkSession, path)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets in ``sets`` (id, s) have a Jaccard similarity of ``similarity`` or more."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nearids")
+    used = written(join_ids(sets, ids, "left_semi"), "nearsets")
+    a, b = used.select(F.col("id").alias("a"), F.col("s").alias("sa")), used.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    found = written(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "nearlinks")
+    drop(used)
+    return found
 
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
-    longs = [f"f{i}" for i in range(WORD_LONGS)]
-    marked = written(d.withColumn("same", F.md5(F.col("text").cast("binary"))).mapInArrow(mark, "id bigint, same string, " + ", ".join(f"{x} bigint" for x in longs)), "nearfps")
-    classes = written(marked.groupBy("same").agg(F.min("id").alias("low"), F.count("*").alias("n"), *(F.first(x).alias(x) for x in longs)), "nearclasses")
-    copies = marked.join(classes.where("n > 1").select("same", "low"), "same").where("id <> low").select("low", "id").distinct()
+
+def parities(sets: DataFrame) -> DataFrame:
+    """(id, n, p0, p1, ...): of each set its size and, in PARITY_LONGS * 64 bits, whether an odd number of its members fall on each.
+
+    A member that only one of two sets has flips one bit, so the sets differ in
+    at least as many members as their parities in bits.
+    """
+    width = 64 * PARITY_LONGS
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, *bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for at in range(0, len(ids), 5_000):
-                part = np.stack([b[at : at + 5_000] for b in bits], axis=1).astype(np.int64)
-                row, key, _ = anchor_rows(part.view(np.uint64))
-                sig = np.ascontiguousarray(part[:, 0])
-                yield pa.record_batch([pa.array(key), pa.array(ids[at : at + 5_000][row]), pa.array(sig[row])], names=["bucket", "id", "sig"])
-
-    rows = classes.select("low", *longs).mapInArrow(expand, "bucket bigint, id bigint, sig bigint")
-    edges = written(bucket_edges(rows.repartition("bucket").sortWithinPartitions("bucket"), SIG_BITS), "nearedges")
-    ends = written(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nearends")
-    sets = written(join_ids(d, ends, "left_semi").dropDuplicates(["id"]).select("id", shingle_set(F.col("text"), k).alias("s")), "nearsets")
-    a, b = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    # a cheap bound first: sets whose sizes are too far apart can't be similar
-    both = edges.join(a, "a").join(b, "b").where(F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    groups = components(links.union(copies))
+            sizes, values = set_members(batch.column(1))
+            for at in range(0, len(sizes), 5_000):
+                part = sizes[at : at + 5_000]
+                start = int(sizes[:at].sum())
+                bit = mixed(values[start : start + int(part.sum())]) >> np.uint64(64 - width.bit_length() + 1)
+                odd = np.bincount((np.repeat(np.arange(len(part)), part) * width + bit.astype(np.int64)), minlength=len(part) * width) & 1
+                longs = np.packbits(odd.astype(np.uint8).reshape(len(part), width), axis=1, bitorder="little").view("<i8")
+                yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(part), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(PARITY_LONGS))], names=["id", "n", *PARITIES])
+
+    return sets.select("id", "s").mapInArrow(expand, "id bigint, n bigint, " + ", ".join(f"{x} bigint" for x in PARITIES))
+
+
+def may_be_similar(similarity: float) -> Column:
+    """Whether sets with sizes n_a, n_b and parities p0_a, p0_b and so on may be similar.
+
+    Those too far apart in size can't be, nor those whose parities differ in
+    more bits than similar sets differ in members: with similarity t these are
+    at most (1 - t) / (1 + t) of the sum of the sizes.
+    """
+    bits = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in PARITIES), F.lit(0))
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (bits <= most)
+
+
+def sided(rows: DataFrame, side: str, *same: str) -> DataFrame:
+    """``rows`` with ``_side`` after all names but ``same``."""
+    return rows.select(*(F.col(c) if c in same else F.col(c).alias(f"{c}_{side}") for c in rows.columns))
+
+
+def crossing(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair that shares a key in ``members`` (key, id, component), crosses two components and may be similar by ``marks`` (see parities)."""
+    ends = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    open_ = members.join(written(ends, "nearopen"), "key", "left_semi")
+    rows = written(open_.join(marks, "id"), "nearcross")
+    a, b = sided(rows, "a"), sided(rows, "b")
+    pairs = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & may_be_similar(similarity))
+    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
+def links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): similar pairs among those that share a key in ``members`` (key, id), with the same components as all such pairs.
+
+    First each member of a key is compared with two others of it: the one whose
+    keys are the most common, as is the text that many copies were made from,
+    and one drawn by hash. Pairs within a component of what that links need no
+    comparison; every other pair of a key that may be similar gets one. So a
+    rejected pair costs no link, and a large group no square of its size unless
+    its texts are alike only in part.
+    """
+    often = written(members.groupBy("key").count(), "nearoften")
+    weight = written(members.join(often, "key").groupBy("id").agg(F.sum("count").alias("w")), "nearweight")
+    weighed = members.join(weight, "id")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"), "id")).alias("x"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("y"))
+    centres = written(centres.select("key", F.col("x.id").alias("x"), F.col("y.id").alias("y")), "nearcentres")
+    first = members.join(centres, "key").select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("c")).where("id <> c")
+    first = first.select(F.least("id", "c").alias("id_a"), F.greatest("id", "c").alias("id_b")).distinct()
+    ends = written(members.select("id").distinct(), "nearends")
+    marks = written(parities(join_ids(sets, ends, "left_semi")), "nearmarks")
+    first = first.join(sided(marks, "a"), "id_a").join(sided(marks, "b"), "id_b").where(may_be_similar(similarity))
+    found = similar(written(first.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "nearfirst"), sets, similarity)
+    named = written(components(found), "nearcomps")
+    tagged = written(members.join(named, members.id == named.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "neartagged")
+    more = similar(written(crossing(tagged, marks, similarity), "nearrest"), sets, similarity)
+    return found.union(more)
+
+
+def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, k: int = 5) -> DataFrame:
+    """(id, keeper): every document that is a copy of a smaller id, and the smallest id of its group.
+
+    Groups are the components of two kinds of links. Equal texts link to the
+    smallest id that has the text. Different texts link if the Jaccard
+    similarity of their ``k``-word shingle sets, which come from the whole
+    texts, is ``similarity`` or more. The groups are those of all such pairs:
+    candidates come from prefixes() and none is left out unseen, see links().
+    Texts of fewer than ``k`` words are one shingle; null and blank texts are
+    equal texts. Rows with a null id are left out.
+    """
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
+    marked = d.select("id", F.monotonically_increasing_id().alias("row"), F.md5(F.col("text").cast("binary")).alias("same"), shingle_set(F.col("text"), k).alias("s"))
+    marked = written(marked, "nearmarked")
+    classes = marked.groupBy("same").agg(F.min(F.struct("id", "row")).alias("m"), F.count("*").alias("n"))
+    classes = written(classes.select("same", F.col("m.id").alias("low"), F.col("m.row").alias("row"), "n"), "nearclasses")
+    copies = marked.join(classes.where("n > 1").select("same", "low"), "same").where("id <> low").select("low", "id").distinct()
+    sets = join_ids(marked.select("row", "id", "s"), classes.select("row"), "left_semi").select("id", "s")
+    rows = written(prefixes(sets, usual(sets), similarity), "nearkeys")
+    shared = written(rows.groupBy("key").count().where("count > 1").select("key"), "nearshared")
+    members = written(rows.join(shared, "key", "left_semi"), "nearmembers")
+    drop(rows, shared)
+    near = links(members, sets, similarity).union(written(copies, "nearequal"))
+    drop(marked)
+    groups = components(near)
     return groups.where("node <> component").select(F.col("node").alias(id_col), F.col("component").alias("keeper"))
 
 
