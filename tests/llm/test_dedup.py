@@ -139,6 +139,16 @@ def test_near_copies_that_hang_on_their_base_alone(spark):
     assert got == want
 
 
+def test_forest_is_the_same_in_all_chunks(monkeypatch):
+    sig = np.array([3 << i for i in range(0, 62, 2)] + [(3 << i) ^ (1 << 63) for i in range(0, 62, 2)] + [(1 << i) - 1 for i in range(40)], dtype=np.uint64)
+    monkeypatch.setattr(simhash, "CHUNK", 10_000)
+    whole = simhash.forest(sig, 2)
+    monkeypatch.setattr(simhash, "CHUNK", 16)
+    assert simhash.forest(sig, 2) == whole
+    near = [(a, b) for a in range(len(sig)) for b in range(a) if bin(int(sig[a] ^ sig[b])).count("1") <= 2]
+    assert closure(range(len(sig)), whole) == closure(range(len(sig)), near)
+
+
 def test_drop_near_copies_keeps_all_else(odd, nothing):
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns

@@ -141,28 +141,24 @@ def forest(sig: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest by smallest distance among signatures that differ in at most ``most`` bits.
 
     Prim's algorithm, with memory in proportion to the number of signatures.
-    Beyond CHUNK of them, each further chunk is joined with one member of every
-    tree so far, so that the time stays in proportion to chunks and trees.
+    Each is compared with all others, CHUNK at a time, so that CHUNK bears on
+    temporary memory alone and never on the result.
     """
     edges: list[tuple[int, int]] = []
-    roots = np.empty(0, dtype=np.int64)
-    for at in range(0, len(sig), CHUNK):
-        use = np.concatenate([roots, np.arange(at, min(at + CHUNK, len(sig)))])
-        left = np.ones(len(use), dtype=bool)
-        best, by = np.full(len(use), 255, dtype=np.uint8), np.zeros(len(use), dtype=np.int64)
-        fresh = []
-        for _ in range(len(use)):
-            i = int(np.argmin(np.where(left, best, 255)))
-            if not left[i] or best[i] > most:
-                i = int(np.argmax(left))
-                fresh.append(use[i])
-            else:
-                edges.append((int(use[by[i]]), int(use[i])))
-            left[i] = False
-            d = np.bitwise_count(sig[use] ^ sig[use[i]])
-            closer = left & (d < best)
-            best[closer], by[closer] = d[closer], i
-        roots = np.array(fresh, dtype=np.int64)
+    left = np.ones(len(sig), dtype=bool)
+    best, by = np.full(len(sig), 255, dtype=np.uint8), np.zeros(len(sig), dtype=np.int64)
+    for _ in range(len(sig)):
+        i = int(np.argmin(np.where(left, best, 255)))
+        if not left[i] or best[i] > most:
+            i = int(np.argmax(left))
+        else:
+            edges.append((int(by[i]), i))
+        left[i] = False
+        for at in range(0, len(sig), CHUNK):
+            part = slice(at, at + CHUNK)
+            d = np.bitwise_count(sig[part] ^ sig[i])
+            closer = left[part] & (d < best[part])
+            best[part][closer], by[part][closer] = d[closer], i
     return edges
 
 
