@@ -149,6 +149,38 @@ def test_forest_is_the_same_in_all_chunks(monkeypatch):
     assert closure(range(len(sig)), whole) == closure(range(len(sig)), near)
 
 
+def test_near_copies_with_one_contiguous_change(spark):
+    """Appended and replaced passages at similarities from 0.78 to 0.9: all that reach 0.8 are found and no others."""
+    rows = []
+    for k in range(120):
+        base, other = words(3000 + k, 300), words(5000 + k, 80)
+        n = 20 + k % 60
+        at = random.Random(k).randrange(300 - n)
+        copy = base + other[:n] if k % 2 else base[:at] + other[: n // 2] + base[at + n // 2 :]
+        rows += [(2 * k, " ".join(base), "s"), (2 * k + 1, " ".join(copy), "s")]
+    texts = {i: t for i, t, _ in rows}
+    want = {(i + 1, i) for i in range(0, 240, 2) if similarity(texts[i], texts[i + 1]) >= 0.8}
+    assert 80 < len(want) < 120
+    assert {(r["doc_id"], r["keeper"]) for r in simhash.near_copies(table_of(rows, spark)).collect()} == want
+
+
+def test_prefixes_of_similar_sets_meet(spark):
+    r = random.Random(8)
+    rows, at = [], 0
+    for _ in range(300):
+        n = r.randrange(1, 60)
+        x = r.sample(range(-500, 500), n)
+        y = x[: -(-n * 8 // 10)]
+        rows += [(at, x), (at + 1, y)]
+        at += 2
+    sets = spark.createDataFrame([*rows, (at, []), (at + 1, [])], "id bigint, s array<int>")
+    for last in (np.empty(0, dtype=np.uint32), np.sort(np.arange(-100, 300).astype(np.int32).view(np.uint32))):
+        keys = collections.defaultdict(set)
+        for x in simhash.prefixes(sets, last, 0.8).collect():
+            keys[x["id"]].add(x["key"])
+        assert all(keys[i] & keys[i + 1] for i in range(0, at + 2, 2))
+
+
 def test_drop_near_copies_keeps_all_else(odd, nothing):
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns
