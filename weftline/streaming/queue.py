@@ -29,22 +29,22 @@ def windowed(stream: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
 def bounded_queue(stream: DataFrame, capacity: int, required: int) -> DataFrame:
     """A first-in first-out queue for each type: rows over ``capacity`` push out the oldest, every ``required`` rows are consumed together.
 
-    Emits (event_type, produced, consumed, dropped, waiting) after each batch of rows of a type.
+    Emits (event_type, produced, consumed, dropped, waiting) after each batch of rows of a type; the counters are running totals.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         produced, consumed, dropped, waiting = state.get if state.exists else (0, 0, 0, [])
         waiting = list(waiting)
-        for part in parts:
-            for i in part.sort_values("event_id")["event_id"]:
-                waiting.append(int(i))
-                produced += 1
-                if len(waiting) > capacity:
-                    waiting.pop(0)
-                    dropped += 1
-                if len(waiting) >= required:
-                    consumed += required
-                    waiting = waiting[required:]
+        # a batch may come in several parts; first in, first out holds over all of them
+        for i in sorted(int(x) for part in parts for x in part["event_id"]):
+            waiting.append(i)
+            produced += 1
+            if len(waiting) > capacity:
+                waiting.pop(0)
+                dropped += 1
+            if len(waiting) >= required:
+                consumed += required
+                waiting = waiting[required:]
         state.update((produced, consumed, dropped, waiting))
         yield pd.DataFrame({"event_type": [key[0]], "produced": [produced], "consumed": [consumed], "dropped": [dropped], "waiting": [len(waiting)]})
 
