@@ -62,10 +62,59 @@ def test_decontamination(spark, nothing):
     assert decontamination.contaminated(table_of(rows, spark), bench.limit(0)).count() == 0
 
 
+def plain_similarity(a, b):
+    x, y = (collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a, b))
+    return sum((x & y).values()) / max(sum((x | y).values()), 1)
+
+
+def test_decontamination_matches_a_scan_of_all_windows(spark):
+    """Moved halves, scattered and contiguous edits, repeated words, items at either end: every window of every text is looked at."""
+    r = random.Random(17)
+    items = {k: words(700 + k, r.randrange(12, 60)) for k in range(25)}
+    items[25] = ["so", "it", "goes", "on", "and"] * 8
+    items[26] = words(726, 200)
+    rows = []
+    for d in range(220):
+        w = items[d % 27].copy()
+        kind = d // 27
+        if kind == 1:
+            w = w[len(w) // 2 :] + w[: len(w) // 2]
+        elif kind in (2, 3, 4):
+            for j in r.sample(range(len(w)), kind - 1):
+                w[j] = f"edit{j}"
+        elif kind == 5:
+            w = w[len(w) // 8 :]
+        elif kind == 6:
+            w = w[: -max(len(w) // 10, 1)] + words(d, 5)
+        around = words(3 * d, r.randrange(40)), words(3 * d + 1, r.randrange(40))
+        rows.append((d, " ".join(around[0] + w + around[1]), "s"))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontamination.contaminated(table_of(rows, spark), bench).collect()}
+    want = {}
+    for d, t, _ in rows:
+        t = t.split()
+        for k, w in items.items():
+            best = max(plain_similarity(t[at : at + len(w)], w) for at in range(max(len(t) - len(w), 0) + 1))
+            if best >= 0.8:
+                want[d, k] = best
+    assert len(want) > 100 and set(got) <= set(want)
+    assert all(x == pytest.approx(want[pair]) for pair, x in got.items())
+    assert len(got) >= 0.99 * len(want)
+    assert (27 + 26, 26) in got  # halves of a long item in the other order
+
 
 def test_weighted_similarity(spark):
-    pair = spark.createDataFrame([([1, 1, 2], [1, 2, 3])], "a array<bigint>, b array<bigint>")
-    assert pair.select(decontamination.weighted_similarity(F.col("a"), F.col("b")).alias("x")).first()["x"] == pytest.approx(2 / 4)
+    pair = spark.createDataFrame([([1, 1, 2], [1, 2, 3]), ([5, 5, 5, 5], [5, 5]), ([7, 8], [8, 7])], "a array<bigint>, b array<bigint>")
+    got = [x["x"] for x in pair.select(decontamination.weighted_similarity(F.col("a"), F.col("b")).alias("x")).collect()]
+    assert got == [pytest.approx(2 / 4), pytest.approx(2 / 4), 1.0]
+
+
+def test_simhash_of_few_and_many_hashes(spark):
+    r = random.Random(2)
+    rows = [([r.getrandbits(64) - 2**63 for _ in range(n)],) for n in (1, 2, 7, 127, 128, 400)]
+    for x in spark.createDataFrame(rows, "h array<bigint>").select("h", decontamination.simhash(F.col("h")).alias("fp")).collect():
+        h = [v % 2**64 for v in x["h"]]
+        assert x["fp"] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
 
 def test_multi_index_finds_all_within_the_radius(spark):
