@@ -27,9 +27,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. A local session may leave it unset (tests) and gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -73,6 +75,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of written() before the driver ends."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            remove(t.sparkSession, path)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else (``lower`` also folds other alphabets)."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -89,20 +98,27 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, WORD_GAP))
 
 
+def fingerprint_of(pairs: DataFrame) -> tuple:
+    """Numbers that two sets of pairs share only if they are equal, but by a chance of about 2**-64."""
+    h = F.xxhash64("u", "v")
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph.
 
     ``edges`` has two columns of one ordered type. Returns (node, component):
     every node that has an edge, with the smallest node that it can reach.
     Alternates large-star and small-star steps; each is a grouping by key, all
-    state is a table in the shared folder, and only the number of changed rows
-    reaches the driver. A node of very high degree is reduced by a partial
-    minimum before its shuffle; no list of its neighbours is ever built.
+    state is a table in the shared folder, which goes when the next round has
+    its own, and only three numbers of it reach the driver. A node of very high
+    degree is reduced by a partial minimum before its shuffle; no list of its
+    neighbours is ever built.
     """
     a, b = edges.columns[:2]
-    spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     now = written(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = fingerprint_of(now)
     for _ in range(rounds):
         # large-star: every neighbour above a node goes to the smallest of the node and its neighbours
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -111,16 +127,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large")
         # small-star: the neighbours below a node, and the node, go to the smallest of them
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
-            large.join(low, "u")
+            large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u <> v").distinct()
         )
         after = written(small, "edges")
-        changed = after.exceptAll(now).limit(1).count() + now.exceptAll(after).limit(1).count()
-        now = after
-        if not changed:
+        drop(now, low, large, least)
+        now, was, before = after, before, fingerprint_of(after)
+        if was == before:
             break
     else:
         raise RuntimeError("the components have not settled")

@@ -12,6 +12,7 @@ anchor are compared there.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import ascii_lower, bind, components, join_ids, read_table, remove, words, written
-from weftline.llm.pyworker import simhash64
+from weftline.llm.common import BROADCAST_IDS, WORD, components, drop, join_ids, read_table, written
+from weftline.llm.pyworker import gram_hashes, majority, release, simhash64, word_hashes
 
 NEAR_BITS = 3
 #: The syndrome of a bit set at place p (from 0) in the Hamming code of length 31 is p + 1.
@@ -130,226 +131,189 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- near copies by similarity, for the pipeline ---
 
-CHUNK = 4096
-#: How many usual shingles may be told apart (an array of so many numbers on the driver and the workers). It bears on the work, not on the result.
-USUAL = 200_000
+#: MinHash bands beside the anchors: sets of Jaccard similarity 0.8 share one with a chance of 1 - (1 - 0.8**4)**16 = 0.9998, others that are more alike with a higher one.
+BANDS, BAND_ROWS = 16, 4
 PARITY_LONGS = 8
 PARITIES = [f"p{i}" for i in range(PARITY_LONGS)]
+SKETCH = "id bigint, same binary, n int, fp bigint, bands array<bigint>, s array<int>, " + ", ".join(f"{x} bigint" for x in PARITIES)
+#: Odd multipliers, one for each MinHash.
+MULTIPLIERS = (np.random.default_rng(3).integers(1, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def forest(sig: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest by smallest distance among signatures that differ in at most ``most`` bits.
-
-    Prim's algorithm, with memory in proportion to the number of signatures.
-    Each is compared with all others, CHUNK at a time, so that CHUNK bears on
-    temporary memory alone and never on the result.
-    """
-    edges: list[tuple[int, int]] = []
-    left = np.ones(len(sig), dtype=bool)
-    best, by = np.full(len(sig), 255, dtype=np.uint8), np.zeros(len(sig), dtype=np.int64)
-    for _ in range(len(sig)):
-        i = int(np.argmin(np.where(left, best, 255)))
-        if not left[i] or best[i] > most:
-            i = int(np.argmax(left))
-        else:
-            edges.append((int(by[i]), i))
-        left[i] = False
-        for at in range(0, len(sig), CHUNK):
-            part = slice(at, at + CHUNK)
-            d = np.bitwise_count(sig[part] ^ sig[i])
-            closer = left[part] & (d < best[part])
-            best[part][closer], by[part][closer] = d[closer], i
-    return edges
-
-
-def shingle_set(text, k: int):
-    """The distinct 32-bit hashes of a text's ``k``-word shingles."""
-
-    def hashed(w):
-        starts = F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.least(F.size(w), F.lit(1))))
-        return F.array_distinct(F.transform(starts, lambda x, i: F.shiftright(F.xxhash64(x, *(F.get(w, i + j) for j in range(1, k))), 32).cast("int")))
-
-    return bind(words(ascii_lower(text)), hashed)
-
-
-def set_members(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Of a column of int arrays: their sizes, and all members as unsigned numbers."""
-    sizes = np.diff(column.offsets.to_numpy())
-    return sizes.astype(np.int64), column.flatten().to_numpy(zero_copy_only=False).view(np.uint32)
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's ``k``-word shingles; fewer words are one shingle, none is the empty set."""
+    w = word_hashes(text)
+    return np.unique(gram_hashes(w, min(k, len(w)))) if len(w) else w
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
+def spread(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def usual(sets: DataFrame) -> np.ndarray:
-    """At most USUAL shingles that many texts have, by a sample of one text in 16."""
-    sample = sets.where(F.xxhash64("id", F.lit(3)) % 16 == 0).select(F.explode("s").alias("h"))
-    counts = written(sample.groupBy("h").count().where("count > 2").withColumn("level", F.floor(4 * F.log2("count")).cast("int")), "nearusual")
-    least, have = None, 0
-    for row in sorted(counts.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        have += row["count"]
-        if have > USUAL:
-            break
-        least = row["level"]
-    if least is None:
-        return np.empty(0, dtype=np.uint32)
-    return np.sort(counts.where(F.col("level") >= least).select("h").toArrow()["h"].to_numpy().view(np.uint32))
-
-
-def prefixes(sets: DataFrame, last: np.ndarray, similarity: float) -> DataFrame:
-    """(key, id): keys of which any two sets of at least ``similarity`` share one.
-
-    Sets of n and m members with Jaccard similarity t share t * max(n, m) or
-    more. In any order of all shingles, the first n - ceil(t * n) + 1 of each
-    then have one in common. The order here is by hash, with the shingles of
-    ``last`` behind all others, so that a usual line makes no keys where a text
-    has others. Empty sets share the key -1.
-    """
-    packed = sets.sparkSession.sparkContext.broadcast(last)
+        x = x * np.uint64(0x9E3779B97F4A7C15)
+        return x ^ (x >> np.uint64(32))
+
+
+def sketch_rows(ids: list[int], texts: list[str | None], k: int) -> pa.RecordBatch:
+    """Rows of SKETCH: what near_copies needs of each text. Texts without words are equal."""
+    sets = [shingle_set(t, k) for t in texts]
+    same = [hashlib.md5((t or "").encode("utf-8", "surrogatepass") if len(s) else b"").digest() for t, s in zip(texts, sets, strict=True)]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    every = np.concatenate([np.empty(0, np.uint64), *sets])
+    some = np.flatnonzero(sizes)
+    starts = (np.cumsum(sizes) - sizes)[some]
+    keys = np.zeros((len(some), BANDS), dtype=np.uint64)
+    fps = np.zeros(len(sets), dtype=np.uint64)
+    odd = np.zeros((len(sets), 64 * PARITY_LONGS), dtype=np.uint8)
+    if len(some):
+        with np.errstate(over="ignore"):
+            for i, m in enumerate(MULTIPLIERS):
+                low = np.minimum.reduceat((every * m) >> np.uint64(24), starts)
+                band = i // BAND_ROWS
+                keys[:, band] = spread(keys[:, band] + low + np.uint64(band))
+        for i in some:
+            s = sets[i]
+            fps[i] = np.packbits(majority((s[at : at + (1 << 16)] for at in range(0, len(s), 1 << 16)), 64), bitorder="little").view("<u8")[0]
+        bins = (spread(every) >> np.uint64(64 - (64 * PARITY_LONGS).bit_length() + 1)).astype(np.int64)
+        np.bitwise_xor.at(odd.reshape(-1), np.repeat(np.arange(len(sets)), sizes) * (64 * PARITY_LONGS) + bins, np.uint8(1))
+    longs = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+    bands: list = [[]] * len(sets)
+    for i, row in zip(some, keys.view(np.int64), strict=True):
+        bands[i] = row
+    ends = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+    members = pa.ListArray.from_arrays(pa.array(ends), pa.array((every >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    columns = [pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), members]
+    columns += [pa.array(np.ascontiguousarray(longs[:, i])) for i in range(PARITY_LONGS)]
+    return pa.record_batch(columns, names=[x.split()[0] for x in SKETCH.split(", ")])
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """SKETCH rows of ``docs`` (id, text), one for each."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = packed.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sizes, values = set_members(batch.column(1))
-            behind = np.zeros(len(values), dtype=bool)
-            if len(late):
-                behind = late[np.minimum(np.searchsorted(late, values), len(late) - 1)] == values
-            row = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-            order = np.sort((row << np.uint64(33)) | (behind.astype(np.uint64) << np.uint64(32)) | values)
-            most = np.where(sizes > 0, sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1, 0)
-            place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            use = order[place < np.repeat(most, sizes)]
-            none = ids[sizes == 0]
-            key = np.r_[(use & np.uint64(0xFFFFFFFF)).astype(np.int64), np.full(len(none), -1)]
-            yield pa.record_batch([pa.array(key), pa.array(np.r_[ids[(use >> np.uint64(33)).astype(np.int64)], none])], names=["key", "id"])
-
-    return sets.select("id", "s").mapInArrow(expand, "key bigint, id bigint")
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables of written() before the driver ends."""
-    for t in tables:
-        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            remove(t.sparkSession, path)
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets in ``sets`` (id, s) have a Jaccard similarity of ``similarity`` or more."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nearids")
-    used = written(join_ids(sets, ids, "left_semi"), "nearsets")
-    a, b = used.select(F.col("id").alias("a"), F.col("s").alias("sa")), used.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    found = written(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct(), "nearlinks")
-    drop(used)
-    return found
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            at, size = 0, 0
+            for i in range(len(ids)):
+                size += len(texts[i].as_buffer() or b"")
+                if size > 1 << 21 or i - at >= 1000 or i == len(ids) - 1:
+                    yield sketch_rows(ids[at : i + 1], texts.slice(at, i + 1 - at).to_pylist(), k)
+                    at, size = i + 1, 0
+        release()
 
-
-def parities(sets: DataFrame) -> DataFrame:
-    """(id, n, p0, p1, ...): of each set its size and, in PARITY_LONGS * 64 bits, whether an odd number of its members fall on each.
-
-    A member that only one of two sets has flips one bit, so the sets differ in
-    at least as many members as their parities in bits.
-    """
-    width = 64 * PARITY_LONGS
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, values = set_members(batch.column(1))
-            for at in range(0, len(sizes), 5_000):
-                part = sizes[at : at + 5_000]
-                start = int(sizes[:at].sum())
-                bit = mixed(values[start : start + int(part.sum())]) >> np.uint64(64 - width.bit_length() + 1)
-                odd = np.bincount((np.repeat(np.arange(len(part)), part) * width + bit.astype(np.int64)), minlength=len(part) * width) & 1
-                longs = np.packbits(odd.astype(np.uint8).reshape(len(part), width), axis=1, bitorder="little").view("<i8")
-                yield pa.record_batch([batch.column(0).slice(at, len(part)), pa.array(part), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(PARITY_LONGS))], names=["id", "n", *PARITIES])
-
-    return sets.select("id", "s").mapInArrow(expand, "id bigint, n bigint, " + ", ".join(f"{x} bigint" for x in PARITIES))
+    return docs.mapInArrow(expand, SKETCH)
 
 
 def may_be_similar(similarity: float) -> Column:
     """Whether sets with sizes n_a, n_b and parities p0_a, p0_b and so on may be similar.
 
-    Those too far apart in size can't be, nor those whose parities differ in
-    more bits than similar sets differ in members: with similarity t these are
-    at most (1 - t) / (1 + t) of the sum of the sizes.
+    Parities say of each bit whether an odd number of members fall on it. A
+    member that only one of two sets has flips one, so the sets differ in at
+    least as many members as their parities in bits; with similarity t these
+    are at most (1 - t) / (1 + t) of the sum of the sizes. Nor can sets be
+    similar that are too far apart in size.
     """
     bits = sum((F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in PARITIES), F.lit(0))
     most = (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + 1e-6
     return (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6) & (bits <= most)
 
 
-def sided(rows: DataFrame, side: str, *same: str) -> DataFrame:
-    """``rows`` with ``_side`` after all names but ``same``."""
-    return rows.select(*(F.col(c) if c in same else F.col(c).alias(f"{c}_{side}") for c in rows.columns))
+def sided(rows: DataFrame, side: str) -> DataFrame:
+    """``rows`` with ``_side`` after all names."""
+    return rows.select(*(F.col(c).alias(f"{c}_{side}") for c in rows.columns))
 
 
-def crossing(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): every pair that shares a key in ``members`` (key, id, component), crosses two components and may be similar by ``marks`` (see parities)."""
-    ends = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = members.join(written(ends, "nearopen"), "key", "left_semi")
-    rows = written(open_.join(marks, "id"), "nearcross")
-    a, b = sided(rows, "a"), sided(rows, "b")
-    pairs = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & may_be_similar(similarity))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+def anchor_stars(fps: DataFrame, near: int) -> DataFrame:
+    """(row, centre): each of ``fps`` (fp, row) with, at every anchor that it goes to, the smallest row whose home that is, if they differ in ``near`` bits at most."""
 
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for at in range(0, len(fp), 20_000):
+                part, mine = fp[at : at + 20_000], rows[at : at + 20_000]
+                index, key, home = anchor_rows(part.view(np.uint64).reshape(-1, 1))
+                yield pa.record_batch([pa.array(key), pa.array(part[index]), pa.array(mine[index]), pa.array(home)], names=["anchor", "fp", "row", "home"])
+
+    spreaded = written(fps.select("fp", "row").mapInArrow(expand, "anchor bigint, fp bigint, row bigint, home boolean"), "nearanchors")
+    centres = spreaded.where("home").groupBy("anchor").agg(F.min(F.struct("row", "fp")).alias("c"))
+    centres = written(centres.select("anchor", F.col("c.row").alias("centre"), F.col("c.fp").alias("cfp")), "nearhomes")
+    close = spreaded.join(centres, "anchor").where((F.col("row") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("cfp"))) <= near))
+    out = written(close.select("row", "centre").distinct(), "nearstars")
+    drop(spreaded, centres)
+    return out
+
+
+def similar(pairs: DataFrame, sets: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets in ``sets`` (row, s) have a Jaccard similarity of ``similarity`` or more."""
+    both = pairs.distinct().join(sided(marks, "a"), F.col("a") == F.col("row_a")).join(sided(marks, "b"), F.col("b") == F.col("row_b"))
+    left = written(both.where(may_be_similar(similarity)).select("a", "b"), "nearpairs")
+    ids = written(left.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "nearids")
+    used = written(join_ids(sets, ids, "left_semi"), "nearsets")
+    a, b = used.select(F.col("row").alias("a"), F.col("s").alias("sa")), used.select(F.col("row").alias("b"), F.col("s").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    kept = left.join(a, "a").join(b, "b").where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9)
+    found = written(kept.select("a", "b"), "nearlinks")
+    drop(left, ids, used)
+    return found
 
-def links(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): similar pairs among those that share a key in ``members`` (key, id), with the same components as all such pairs.
 
-    First each member of a key is compared with two others of it: the one whose
-    keys are the most common, as is the text that many copies were made from,
-    and one drawn by hash. Pairs within a component of what that links need no
-    comparison; every other pair of a key that may be similar gets one. So a
-    rejected pair costs no link, and a large group no square of its size unless
-    its texts are alike only in part.
+def crossing(members: DataFrame, named: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): every pair that shares a key in ``members`` (key, row), crosses two components and may be similar by ``marks``."""
+    tagged = members.join(named, members.row == named.node, "left").select("key", "row", F.coalesce("component", "row").alias("component"))
+    tagged = written(tagged, "neartagged")
+    ends = written(tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "nearopen")
+    rows = written(tagged.join(ends, "key", "left_semi").join(marks, "row"), "nearcross")
+    a, b = sided(rows, "a"), sided(rows, "b")
+    pairs = a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & (F.col("row_a") < F.col("row_b")) & (F.col("component_a") != F.col("component_b")) & may_be_similar(similarity))
+    out = written(pairs.select(F.col("row_a").alias("a"), F.col("row_b").alias("b")).distinct(), "nearrest")
+    drop(tagged, ends, rows)
+    return out
+
+
+def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, k: int = 5, near: int = NEAR_BITS) -> DataFrame:
+    """(id, same, keeper): every document that is a copy of another, the MD5 of its text and the smallest id of its group.
+
+    Equal texts are one text; null and blank texts are equal. Different texts
+    link if the Jaccard similarity of their ``k``-word shingle sets, which come
+    from the whole texts, is ``similarity`` or more; texts of fewer words are
+    one shingle. Groups are the components of these links. Of the rows of a
+    group the one with the smallest id (of these, with the smallest MD5) is not
+    in the result, all others are; repeated rows are one. Rows with a null id
+    are left out. An empty table gives an empty result.
+
+    Candidates are texts that share an anchor within ``near`` bits of a SimHash
+    or, since sets of similarity 0.8 may differ in many more bits, a MinHash
+    band. First each text is compared with two others of a band, and with one
+    at each anchor. Then every pair that shares a band and lies in two
+    components of what that links is compared, so no rejected pair costs a link
+    and a large group no square of its size unless its texts are alike only in
+    part.
     """
-    often = written(members.groupBy("key").count(), "nearoften")
-    weight = written(members.join(often, "key").groupBy("id").agg(F.sum("count").alias("w")), "nearweight")
-    weighed = members.join(weight, "id")
-    centres = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"), "id")).alias("x"), F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id")).alias("y"))
-    centres = written(centres.select("key", F.col("x.id").alias("x"), F.col("y.id").alias("y")), "nearcentres")
-    first = members.join(centres, "key").select("id", F.explode(F.array_distinct(F.array("x", "y"))).alias("c")).where("id <> c")
-    first = first.select(F.least("id", "c").alias("id_a"), F.greatest("id", "c").alias("id_b")).distinct()
-    ends = written(members.select("id").distinct(), "nearends")
-    marks = written(parities(join_ids(sets, ends, "left_semi")), "nearmarks")
-    first = first.join(sided(marks, "a"), "id_a").join(sided(marks, "b"), "id_b").where(may_be_similar(similarity))
-    found = similar(written(first.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), "nearfirst"), sets, similarity)
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+    marked = written(sketches(d, k).withColumn("row", F.monotonically_increasing_id()), "nearmarked")
+    classes = marked.groupBy("same").agg(F.min(F.struct("id", "row")).alias("m"))
+    classes = written(classes.select("same", F.col("m.id").alias("low"), F.col("m.row").alias("row")), "nearclasses")
+    reps = classes.select("row")
+    small = written(join_ids(marked.drop("s", "same", "id"), reps, "left_semi"), "nearreps")
+    marks, sets = small.select("row", "n", *PARITIES), marked.select("row", "s")
+    every = small.select(F.explode("bands").alias("key"), "row")
+    centres = every.groupBy("key").agg(F.count("*").alias("members"), F.min("row").alias("x"), F.min_by("row", F.xxhash64("key", "row")).alias("y")).where("members > 1")
+    centres = written(centres.select("key", "x", "y"), "nearcentres")
+    members = written(every.join(centres, "key"), "nearmembers")
+    stars = members.select("row", F.explode(F.array("x", "y")).alias("centre")).where("row <> centre")
+    fps = written(small.groupBy("fp").agg(F.min("row").alias("row")), "nearfps")
+    equal = small.join(fps.select("fp", F.col("row").alias("centre")), "fp").where("row <> centre").select("row", "centre")
+    stars = stars.union(anchor_stars(fps, near)).union(equal)
+    first = stars.select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b"))
+    found = similar(first, sets, marks, similarity)
     named = written(components(found), "nearcomps")
-    tagged = written(members.join(named, members.id == named.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")), "neartagged")
-    more = similar(written(crossing(tagged, marks, similarity), "nearrest"), sets, similarity)
-    return found.union(more)
-
-
-def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", similarity: float = 0.8, k: int = 5) -> DataFrame:
-    """(id, keeper): every document that is a copy of a smaller id, and the smallest id of its group.
-
-    Groups are the components of two kinds of links. Equal texts link to the
-    smallest id that has the text. Different texts link if the Jaccard
-    similarity of their ``k``-word shingle sets, which come from the whole
-    texts, is ``similarity`` or more. The groups are those of all such pairs:
-    candidates come from prefixes() and none is left out unseen, see links().
-    Texts of fewer than ``k`` words are one shingle; null and blank texts are
-    equal texts. Rows with a null id are left out.
-    """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("id IS NOT NULL")
-    marked = d.select("id", F.monotonically_increasing_id().alias("row"), F.md5(F.col("text").cast("binary")).alias("same"), shingle_set(F.col("text"), k).alias("s"))
-    marked = written(marked, "nearmarked")
-    classes = marked.groupBy("same").agg(F.min(F.struct("id", "row")).alias("m"), F.count("*").alias("n"))
-    classes = written(classes.select("same", F.col("m.id").alias("low"), F.col("m.row").alias("row"), "n"), "nearclasses")
-    copies = marked.join(classes.where("n > 1").select("same", "low"), "same").where("id <> low").select("low", "id").distinct()
-    sets = join_ids(marked.select("row", "id", "s"), classes.select("row"), "left_semi").select("id", "s")
-    rows = written(prefixes(sets, usual(sets), similarity), "nearkeys")
-    shared = written(rows.groupBy("key").count().where("count > 1").select("key"), "nearshared")
-    members = written(rows.join(shared, "key", "left_semi"), "nearmembers")
-    drop(rows, shared)
-    near = links(members, sets, similarity).union(written(copies, "nearequal"))
-    drop(marked)
-    groups = components(near)
-    return groups.where("node <> component").select(F.col("node").alias(id_col), F.col("component").alias("keeper"))
+    more = similar(crossing(members.select("key", "row"), named, marks, similarity), sets, marks, similarity)
+    groups = written(components(found.union(more)), "neargroups") if not more.isEmpty() else named
+    tied = written(classes.join(groups, classes.row == groups.node, "left").select("same", "low", F.coalesce("component", "row").alias("component")), "neartied")
+    best = written(tied.groupBy("component").agg(F.min(F.struct("low", "same")).alias("k")), "nearbest")
+    keys = written(tied.join(best, "component").select("same", F.col("k.low").alias("keeper"), (F.col("same") == F.col("k.same")).alias("stays")), "nearkeys")
+    copies = marked.select("id", "same").distinct().join(keys, "same").where(~(F.col("stays") & (F.col("id") == F.col("keeper"))))
+    out = written(copies.select(F.col("id").alias(id_col), "same", "keeper"), "nearcopies")
+    drop(marked, small, members, centres)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -358,8 +322,14 @@ def drop_near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     Rows that repeat an id and its text are one document and one of them stays.
     Rows with a null id can't be told apart and all stay.
     """
-    gone = written(near_copies(docs, text, id_col).select(id_col).distinct(), "neargone")
-    kept = join_ids(docs, gone, "left_anti")
+    gone = near_copies(docs, text, id_col).select(id_col, "same")
+    value = F.coalesce(F.col(text), F.lit(""))
+    mark = F.unhex(F.md5(F.when(value.rlike(WORD), value).otherwise(F.lit("")).cast("binary")))
+    kept = docs
+    if not gone.isEmpty():
+        few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        other = gone.select(F.col(id_col).alias("gone_id"), F.col("same").alias("gone_same"))
+        kept = docs.join(F.broadcast(other) if few else other, (F.col(id_col).cast("long") == F.col("gone_id")) & (mark == F.col("gone_same")), "left_anti")
     again = written(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "nearagain")
     if again.isEmpty():
         return kept

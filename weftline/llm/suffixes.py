@@ -21,37 +21,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import join_ids, read_table, written
-from weftline.llm.pyworker import WORD, word_lists
+from weftline.llm.pyworker import WORD, gram_hashes, word_hashes
 
 PASSAGE = 50
 GRAM = 10
-BASE = 0x9E3779B97F4A7C15 | 1
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    parts = [np.array([digest(w, 11) for w in x], dtype=np.uint64) for x in word_lists(text)]
-    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
-
-
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each ``k`` consecutive words; empty for fewer words. Differences of weighted sums, modulo 2**64."""
-    n = len(words)
-    if n < k:
-        return np.empty(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, BASE, dtype=np.uint64)], dtype=np.uint64)
-        down = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, pow(BASE, -1, 1 << 64), dtype=np.uint64)], dtype=np.uint64)
-        sums = np.r_[np.uint64(0), np.cumsum(words * down, dtype=np.uint64)]
-        h = (sums[k:] - sums[:-k]) * up[: n - k + 1]
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(29))
 
 
 def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
