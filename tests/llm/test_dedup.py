@@ -217,6 +217,24 @@ def test_sketches_merge_and_estimate(spark):
     assert r["inside"] > 0.97 and r["outside"] < 0.03 and r["like"] == pytest.approx(0.25, abs=0.04)
 
 
+def test_neighbours_over_seams(spark):
+    """Runs that begin, fill and end partitions; the first of a run is found wherever it lies."""
+    r = random.Random(4)
+    rows = [(7, i, r.randrange(5)) for i in range(3000)] + [(r.randrange(300), r.randrange(200), r.randrange(9)) for _ in range(2000)] + [(10**15, 5, 1), (10**15, 5, 2), (-(10**15), 3, 0)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        got = [tuple(x) for x in suffixes.neighbours(spark.createDataFrame(rows, "h bigint, id bigint, start int")).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    first = {}
+    for h, i, s in sorted(rows):
+        first.setdefault(h, (i, s))
+    assert sorted(got) == sorted((h, i, s, *first[h]) for h, i, s in rows if first[h][0] != i)
+    assert suffixes.neighbours(spark.createDataFrame([], "h bigint, id bigint, start int")).count() == 0
+
+
 def test_repeats_match_brute_force(odd, odd_rows, nothing):
     got = suffixes.repeats(odd).collect()
     texts = {}

@@ -3,15 +3,16 @@
 Of the suffixes of a text (at its words) those are retained that begin at a
 minimiser: the smallest hash of ten words among any 41 neighbours, so chosen by
 content that two texts which share 50 words retain a suffix at the same place
-of the shared passage. Retained suffixes are ordered by these ten words; where
-neighbours agree across documents the match is extended to the left and right:
-to every stretch of 50 words whose own minimiser it is. These stretches are
-ordered and compared again, and runs of adjacent matches with one other
-document are joined to passages.
-
-Ordering is by hash and runs of equal neighbours are grouped with a partial
-aggregate first, so that a passage that a third of all documents share is
-reduced before its shuffle and never gathered in a task.
+of the shared passage. Retained suffixes are sorted by the hash of these ten
+words and neighbours are compared. Where they agree across documents the match
+is extended to the left and right in the texts: to every stretch of 50 words
+whose own minimiser it is. The stretches are sorted and neighbours compared
+again, and runs of adjacent matches with one other document are joined to
+passages.
+
+A sort is by range, with the document after the hash, so that a passage that a
+third of all documents share spans as many partitions as it needs. What meets
+at a seam between partitions is told from two rows of each; see neighbours().
 """
 
 from __future__ import annotations
@@ -48,6 +49,45 @@ def retained(text: str | None, passage: int, gram: int) -> tuple[np.ndarray, np.
     return words, grams[minimisers(grams, passage - gram + 1)]
 
 
+def neighbours(suffixes: DataFrame) -> DataFrame:
+    """(h, id, start, first_id, first_start): of ``suffixes`` (h, id, start) those that agree in h with one of a smaller id, and the first that they agree with.
+
+    Rows are sorted by (h, id, start) over range partitions and each is
+    compared with the one before it, which passes on the first row of its run.
+    Rows of a partition's first run may belong to a run that began in an
+    earlier partition; they get the smallest of the rows that a run begins or
+    ends a partition with.
+    """
+    kinds = "h bigint, id bigint, start int, first_id bigint, first_start int, kind int"
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = run = None
+        for batch in batches:
+            h, ids, start = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(h):
+                continue
+            lead = h[0] if run is None else lead
+            new = np.r_[run is None or h[0] != run[0], h[1:] != h[:-1]]
+            at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            old = at < 0
+            first_id, first_start = np.where(old, run[1] if run else 0, ids[at]), np.where(old, run[2] if run else 0, start[at])
+            if not old[-1]:
+                run = (h[-1], ids[at[-1]], start[at[-1]])
+            kind = (h == lead).astype(np.int32)
+            use = (kind == 1) | (ids != first_id)
+            yield pa.record_batch([pa.array(x[use]) for x in (h, ids, start, first_id.astype(np.int64), first_start.astype(np.int32), kind)], names=[x.split()[0] for x in kinds.split(", ")])
+        if run is not None:
+            ends = [np.array([x]) for x in (*run, *run[1:], 2)]
+            yield pa.record_batch([pa.array(x.astype(t)) for x, t in zip(ends, "i8 i8 i4 i8 i4 i4".split(), strict=True)], names=[x.split()[0] for x in kinds.split(", ")])
+
+    ranged = suffixes.select("h", "id", "start").repartitionByRange("h", "id", "start").sortWithinPartitions("h", "id", "start")
+    found = written(ranged.mapInArrow(compare, kinds), "neighbours")
+    seams = found.where("kind = 2 OR (kind = 1 AND id = first_id AND start = first_start)").groupBy("h").agg(F.min(F.struct("id", "start")).alias("f"))
+    seams = written(seams, "seams")  # two rows of each partition at most
+    lead = found.where("kind = 1").join(F.broadcast(seams), "h").select("h", "id", "start", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_start"))
+    return found.where("kind = 0").drop("kind").union(lead).where("id <> first_id")
+
+
 def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
     """(id, start_word, n_words, first_id, first_start_word) of all passages of ``passage`` or more words that an earlier document has too.
 
@@ -63,6 +103,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage
     d = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = written(d.select("id", F.md5(F.col("text").cast("binary")).alias("same"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).alias("n")), "texts")
     twice = marked.where(F.col("n") >= passage).groupBy("same").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
+    twice = written(twice, "twice")  # so that a text of very many copies can be split over tasks
     copies = written(marked.join(twice, "same").where("id > first_id").groupBy("id").agg(F.min("first_id").alias("first_id"), F.max("n").alias("n")), "copies")
     singles = join_ids(d, copies.select("id"), "left_anti")
 
@@ -70,11 +111,11 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage
         for batch in batches:
             ids, found = batch.column(0).to_numpy(zero_copy_only=False), [np.unique(retained(t.as_py(), passage, gram)[1]) for t in batch.column(1)]
             rows = np.repeat(ids, [len(x) for x in found]).astype(np.int64)
-            yield pa.record_batch([pa.array(rows), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64))], names=["id", "gram"])
+            yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)), pa.array(rows), pa.array(np.zeros(len(rows), np.int32))], names=["h", "id", "start"])
 
-    kept = written(singles.mapInArrow(suffixes, "id bigint, gram bigint"), "suffixes")
-    agree = kept.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("gram")
-    mine = written(kept.join(agree, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams")), "agreeing")
+    agree = neighbours(written(singles.mapInArrow(suffixes, "h bigint, id bigint, start int"), "suffixes"))
+    agree = written(agree.select("id", "h").union(agree.select("first_id", "h").distinct()), "agree")
+    mine = written(agree.groupBy("id").agg(F.collect_set("h").alias("grams")), "agreeing")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +132,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage
 
     some = join_ids(singles, mine.select("id"), "left_semi")
     stretches = written(some.join(mine, "id").mapInArrow(extend, "id bigint, start int, h bigint"), "stretches")
-    # written, so that both sides of the join are plain shuffles and a stretch that very many documents share can be split over tasks
-    firsts = written(stretches.groupBy("h").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("h", "f"), "firsts")
-    again = stretches.join(firsts, "h").where("id <> f.id").select("id", "start", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_start"))
-    again = again.distinct().withColumn("shift", F.col("first_start") - F.col("start"))
+    again = neighbours(stretches).select("id", "start", "first_id", "first_start").distinct().withColumn("shift", F.col("first_start") - F.col("start"))
     line = Window.partitionBy("id", "first_id", "shift").orderBy("start")
     again = again.withColumn("run", F.col("start") - F.row_number().over(line))
     spans = again.groupBy("id", "first_id", "shift", "run").agg(F.min("start").alias("start_word"), (F.max("start") - F.min("start") + passage).alias("n_words"))
