@@ -138,11 +138,49 @@ def test_licenses(spark, nothing):
         (7, "word " * 30 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "a"),
         (8, "This work is licensed under the GNU General Public License, version 3.\nThis work is licensed under the GNU General Public License, version 2.", "a"),
     ] + [(100 + i, " ".join(words(100 + i, 60)), "a") for i in range(40)]
-    got = {(r["doc_id"], r["paragraph"]): (r["family"], r["confirmed"]) for r in licenses.licenses(table_of(rows, spark, extra=True)).collect()}
-    assert got == {(1, 1): ("mit", True), (2, 0): ("cc-by-nc-4.0", True), (None, 0): ("apache-2.0", True), (7, 0): ("mit", True), (8, 0): ("gpl-3.0", True), (8, 1): ("gpl-2.0", True)}
+    got = {(r["doc_id"], r["paragraph"], r["line"]): (r["family"], r["confirmed"]) for r in licenses.licenses(table_of(rows, spark, extra=True)).collect()}
+    assert got == {(1, 0, 1): ("mit", True), (2, 0, 0): ("cc-by-nc-4.0", True), (None, 0, 0): ("apache-2.0", True), (7, 0, 0): ("mit", True), (8, 0, 0): ("gpl-3.0", True), (8, 0, 1): ("gpl-2.0", True)}
     assert licenses.licenses(nothing).count() == 0
 
 
+def test_licenses_of_rows_and_wrapped_notices(spark):
+    """Repeated rows and null ids are documents of their own; a notice over several lines is found as a paragraph."""
+    mit = licenses.NOTICES["mit"][1].split()
+    wrapped = "\n".join(" ".join(mit[i : i + 7]) for i in range(0, len(mit), 7))
+    rows = [
+        (1, "Released under the MIT License.", "a"), (1, "Released under the MIT License.", "a"),
+        (None, "Released under the MIT License.", "a"), (None, "prose of no weight", "a"), (None, "SPDX-License-Identifier: GPL-2.0-only", "a"),
+        (2, "A first paragraph.\n\n" + wrapped + "\n \nand a last one.", "a"),
+    ] + [(100 + i, " ".join(words(100 + i, 60)), "a") for i in range(40)]
+    got = licenses.licenses(table_of(rows, spark)).collect()
+    assert all(r["notice_share"] <= 1.0 for r in got)
+    found = collections.Counter((r["doc_id"], r["family"]) for r in got if r["confirmed"])
+    assert found == {(1, "mit"): 2, (None, "mit"): 1, (None, "gpl-2.0"): 1, (2, "mit"): 1}
+    assert [(r["paragraph"], r["line"]) for r in got if r["doc_id"] == 2 and r["confirmed"]] == [(1, None)]
+
+
+def test_unseen_notices_and_prose():
+    """Wordings that are in no training row are told; prose, some of it about licences, hardly ever."""
+    r = random.Random(3)
+    unseen = {
+        "mit": "This project is distributed under the MIT license; see the file for details.", "apache-2.0": "Distributed under the Apache License 2.0",
+        "gpl-3.0": "This file is covered by the GNU General Public License version 3 only", "agpl-3.0": "The server is covered by the GNU Affero General Public License version 3",
+        "mpl-2.0": "This file is subject to the Mozilla Public License version 2.0", "cc0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
+        "isc": "Available under the ISC License", "lgpl": "The library is covered by the GNU Lesser General Public License", "bsd": "Distributed under the BSD 3-Clause License",
+        "gpl-2.0": "it may be copied under the GNU General Public License version 2", "unlicense": "SPDX-License-Identifier: Unlicense and nothing else",
+    }
+    ordinary = [words(i, r.randrange(5, 40)) for i in range(600)] + [licenses.plain_tokens(t) for t in licenses.NOT_NOTICES]
+    weights, constant = licenses.train(ordinary[:400])
+
+    def told(w):
+        p = licenses.softmax((constant + sum((weights[g] for g in licenses.grams(w) if g in weights), np.zeros(len(constant))))[None])[0]
+        k = int(np.argmax(p))
+        return licenses.FAMILIES[k] if k < len(licenses.FAMILIES) and p[-1] <= licenses.UNKNOWN else None
+
+    assert np.mean([told(licenses.plain_tokens(t)) == name for name, t in unseen.items()]) >= 0.9
+    assert np.mean([told(w) is not None for w in ordinary[400:]]) <= 0.01
+
+
 def labelled(n):
     out = []
     for i in range(n):
