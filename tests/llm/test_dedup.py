@@ -235,6 +235,34 @@ def test_neighbours_over_seams(spark):
     assert suffixes.neighbours(spark.createDataFrame([], "h bigint, id bigint, start int")).count() == 0
 
 
+def test_short_parts_are_contained(spark):
+    """Twelve words out of 3,000: contained where there is an estimate, which is in most cases, and nowhere else."""
+    whole, other = words(21, 3000), words(22, 3000)
+    rows = [(" ".join(whole), " ".join(other), " ".join(whole[i : i + 12])) for i in range(0, 3000, 15)]
+    s = spark.createDataFrame(rows, "a string, b string, part string").select(*(fingerprints.sketch(F.col(c)).alias(c) for c in ("a", "b", "part")))
+    got = s.select(fingerprints.containment(F.col("part"), F.col("a")).alias("x"), fingerprints.containment(F.col("part"), F.col("b")).alias("y")).collect()
+    known = [r for r in got if r["x"] is not None]
+    assert len(known) > 100 and all(r["x"] == 1.0 and r["y"] < 0.1 for r in known) and all(r["y"] is None for r in got if r["x"] is None)
+
+
+def test_sketch_values(spark, odd_rows):
+    """Every shingle's hash below an eighth of the range, by another implementation."""
+
+    def hashed(ws):
+        h = 42
+        for w in ws:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        return h - 2**64 if h >= 2**63 else h
+
+    texts = [t for _, t, _ in odd_rows if t and t.isascii()]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fingerprints.sketch(F.col("t")).alias("s")).collect()
+    for r in got:
+        w = r["t"].lower().split()
+        h = {hashed(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+        low = sorted(x for x in h if x < -(2**63) + 2**61)
+        assert r["s"] == (low or ([min(h)] if h else []))
+
+
 def test_repeats_match_brute_force(odd, odd_rows, nothing):
     got = suffixes.repeats(odd).collect()
     texts = {}

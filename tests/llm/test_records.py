@@ -106,6 +106,29 @@ def test_damaged_archives_are_errors():
         cut.end()
 
 
+def test_long_payloads_stream_in_bounded_memory():
+    """A payload without line feeds, far longer than a chunk: no line and no buffer is longer than a chunk, and usual chunked bodies of others are read too."""
+    html = "<p>é" * 3_000_000
+    digest = warc.base32(hashlib.sha1(html.encode()).digest())
+    parser, widest, held, rows, last = warc.Parser(keep=False), 0, 0, 0, None
+    for line in warc.lines_of(warc.record_pieces(1, "u", html, digest, None)):
+        widest = max(widest, len(line.encode()))
+        for last in parser.feed(line.encode() + b"\n"):
+            rows += 1
+        held = max(held, len(parser.buffer))
+    parser.end()
+    assert widest <= warc.CHUNK + 2 and held <= 2 * warc.CHUNK and rows > 200
+    assert last[6:] == (len(html.encode()), digest, True)
+    body = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3;x=y\r\nabc\r\n" + b"%x\r\n" % 70_000 + b"d" * 70_000 + b"\r\n0\r\nTrailer: t\r\n\r\n"
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    for step in (1, 7, len(record)):
+        parser, got = warc.Parser(), []
+        for at in range(0, len(record), step):
+            got += parser.feed(record[at : at + step])
+        parser.end()
+        assert b"".join(r[5] for r in got) == b"abc" + b"d" * 70_000 and [r[8] for r in got] == [False] * (len(got) - 1) + [True]
+
+
 def test_empty_archives(spark, tmp_path):
     path = str(tmp_path / "none")
     warc.write_archives(spark.createDataFrame([], "page_id bigint, url string, html string"), path)

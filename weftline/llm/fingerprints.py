@@ -26,8 +26,6 @@ def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
     merging stays exact: unite, then drop what is above the threshold unless
     nothing else is left.
     """
-    top = F.lit(-(2**63) + 2**64 // scale)
-
     def hashes(w: Column) -> Column:
         starts = F.slice(w, 1, F.greatest(F.size(w) - (k - 1), F.least(F.size(w), F.lit(1))))
         return F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get(w, i + j) for j in range(1, k))))
@@ -35,7 +33,12 @@ def sketch(text: Column, k: int = SHINGLE, scale: int = SCALE) -> Column:
     def kept(h: Column, low: Column) -> Column:
         return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(low))
 
-    return bind(words(F.lower(text)), lambda w: bind(hashes(w), lambda h: bind(F.filter(h, lambda x: x < top), lambda low: kept(h, low))))
+    return bind(words(F.lower(text)), lambda w: bind(hashes(w), lambda h: bind(F.filter(h, lambda x: x < top(scale)), lambda low: kept(h, low))))
+
+
+def top(scale: int = SCALE) -> Column:
+    """The threshold: hashes below it are retained."""
+    return F.lit(-(2**63) + 2**64 // scale)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -44,9 +47,16 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has; an empty sketch is contained in any."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of the first text's shingles that the second has; a wordless text is contained in any.
+
+    Only hashes below the threshold are compared: of a stand-in no larger text
+    could tell whether it has it. A text that has nothing but a stand-in is
+    contained in an equal sketch; else there is no estimate (null).
+    """
+    low = lambda s: F.filter(s, lambda x: x < top(scale))
+    known = bind(low(a), lambda x: F.when(F.size(x) > 0, F.size(F.array_intersect(x, b)) / F.size(x)))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(a == b, F.lit(1.0)).otherwise(known)
 
 
 def as_string(s: Column) -> Column:

@@ -2,9 +2,12 @@
 
 Writing: each record is a run of lines in a text file that Spark writes with
 gzip, so archives can be in any store that Spark can write, and a file is read
-from its start in one piece. Reading: a parser is fed line by line and hands
-out rows of record identifier and chunk number, each with the chunk, the bytes
-so far and the digest so far. It holds one chunk, never a record.
+from its start in one piece. A payload longer than PIECE characters is written
+in the chunked transfer coding of HTTP, so no line is longer than a piece,
+whether or not the payload has line feeds. Reading: a parser is fed line by
+line and hands out rows of record identifier and chunk number, each with the
+chunk, the bytes so far and the digest so far. It holds one chunk, never a
+record.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import BROADCAST_IDS, new_path, read_table, written
 
 CHUNK = 1 << 16
+#: Characters of a piece of a long payload; at most CHUNK bytes.
+PIECE = CHUNK // 4
 #: A revisit is written for payloads of so many bytes or more.
 LEAST_BYTES = 0
 DATE = "2000-01-01T00:00:00Z"
@@ -37,11 +42,27 @@ def record_id(page_id: int | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}:{digest}')}>"
 
 
+def pieces_of(html: str) -> Iterator[str]:
+    """A long payload in the chunked transfer coding."""
+    for at in range(0, len(html), PIECE):
+        piece = html[at : at + PIECE]
+        yield f"{byte_size(piece):x}\r\n"
+        yield piece
+        yield "\r\n"
+    yield "0\r\n\r\n"
+
+
+def byte_size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+
+
 def record_pieces(page_id: int | None, url: str | None, html: str, digest: str, low: int | None) -> Iterator[str]:
-    """A record in pieces; the payload is one of them, as it is. ``low``: the page that a revisit refers to, or null."""
-    revisit = low is not None
-    size = len(html.encode("utf-8", "surrogatepass")) if not html.isascii() else len(html)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n"
+    """A record in pieces of bounded size. ``low``: the page that a revisit refers to, or null."""
+    revisit, long = low is not None, len(html) > PIECE
+    body = lambda: () if revisit else pieces_of(html) if long else (html,)
+    size = sum(byte_size(html[at : at + PIECE]) for at in range(0, len(html), PIECE))
+    coding = "Transfer-Encoding: chunked" if long and not revisit else f"Content-Length: {size}"
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{coding}\r\n\r\n"
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url))
@@ -49,11 +70,10 @@ def record_pieces(page_id: int | None, url: str | None, html: str, digest: str,
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(low, digest)}", f"X-Refers-To-Page: {low}", f"X-Payload-Length: {size}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if revisit else size)}", "", ""]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + sum(map(byte_size, body()))}", "", ""]
     yield "\r\n".join(head)
     yield http
-    if not revisit:
-        yield html
+    yield from body()
     yield "\r\n\r\n"
 
 
@@ -69,7 +89,7 @@ def lines_of(pieces: Iterator[str]) -> Iterator[str]:
 
 
 class Parser:
-    """Feed it bytes of WARC records in any portions; it returns rows of the payloads' chunks (see ROW)."""
+    """Feed it bytes of WARC records in any portions; it returns rows of the payloads' chunks (see ROW). A chunked transfer coding is undone."""
 
     def __init__(self, chunk: int = CHUNK, keep: bool = True) -> None:
         self.chunk, self.keep, self.state, self.buffer = chunk, keep, "head", bytearray()
@@ -89,17 +109,44 @@ class Parser:
                 if at < 0 and len(self.buffer) < self.left:
                     return rows
                 skip = at + 4 if at >= 0 else 0
-                del self.buffer[:skip]
-                self.left -= skip
-                self.state = "payload"
+                coded = b"\r\ntransfer-encoding: chunked" in bytes(self.buffer[:skip]).lower()
+                self.skip(skip)
+                self.state = "size" if coded and self.left else "payload"
             elif self.state == "payload":
                 n = min(self.left, len(self.buffer), self.chunk)
                 if n < min(self.left, self.chunk):
                     return rows
-                rows.append(self.emit(bytes(self.buffer[:n])))
-                del self.buffer[:n]
+                rows.append(self.emit(self.skip(n), not self.left))
                 if not self.left:
                     self.state = "tail"
+            elif self.state == "size":
+                at = self.buffer.find(b"\r\n", 0, self.left)
+                if at < 0:
+                    if len(self.buffer) >= min(self.left, 1000):
+                        raise ValueError(f"record {self.headers.get('warc-record-id')} has no size of a chunk where it should")
+                    return rows
+                self.need = int(self.skip(at + 2).split(b";")[0], 16)
+                self.state = "data" if self.need else "trailer"
+            elif self.state == "data":
+                n = min(self.need, len(self.buffer), self.chunk)
+                if n < min(self.need, self.chunk):
+                    return rows
+                if self.held is not None:
+                    rows.append(self.emit(self.held, False))
+                self.held, self.need = self.skip(n), self.need - n
+                if not self.need:
+                    self.state = "end"
+            elif self.state == "end":
+                if len(self.buffer) < 2:
+                    return rows
+                self.skip(2)
+                self.state = "size"
+            elif self.state == "trailer":
+                if len(self.buffer) < self.left:
+                    return rows
+                self.skip(self.left)
+                rows.append(self.emit(self.held or b"", True))
+                self.state = "tail"
             else:
                 if len(self.buffer) < 4:
                     return rows
@@ -108,6 +155,13 @@ class Parser:
                 del self.buffer[:4]
                 self.state = "head"
 
+    def skip(self, n: int) -> bytes:
+        """The next ``n`` bytes of the record, which are done with."""
+        out = bytes(self.buffer[:n])
+        del self.buffer[:n]
+        self.left -= n
+        return out
+
     def begin(self, head: bytes) -> None:
         first, *rest = head.decode("utf-8", "surrogatepass").lstrip("\r\n").split("\r\n")
         if not first.startswith("WARC/"):
@@ -115,21 +169,20 @@ class Parser:
         self.headers = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in rest if ":" in x)}
         self.left = int(self.headers["content-length"])
         self.state = "http" if self.headers.get("content-type", "").startswith("application/http") else "payload"
-        self.sha, self.total, self.number = hashlib.sha1(), 0, 0
+        self.sha, self.total, self.number, self.held = hashlib.sha1(), 0, 0, None
 
-    def emit(self, chunk: bytes) -> tuple:
+    def emit(self, chunk: bytes, last: bool) -> tuple:
         h, kind = self.headers, self.headers.get("warc-type", "")
         self.sha.update(chunk)
-        self.left -= len(chunk)
         self.total += len(chunk)
         stated = h.get("warc-payload-digest", "").removeprefix("sha1:")
         total, digest = self.total, base32(self.sha.copy().digest())
         if kind == "revisit":
             total, digest = int(h.get("x-payload-length", 0)), stated
-        elif not self.left and stated and stated != digest:
+        elif last and stated and stated != digest:
             raise ValueError(f"record {h.get('warc-record-id')} has digest {digest}, not {stated}")
         number = lambda k: int(h[k]) if k in h else None
-        row = (h.get("warc-record-id"), number("x-page-id"), kind, number("x-refers-to-page"), self.number, chunk if self.keep else None, total, digest, not self.left)
+        row = (h.get("warc-record-id"), number("x-page-id"), kind, number("x-refers-to-page"), self.number, chunk if self.keep else None, total, digest, last)
         self.number += 1
         return row
 
@@ -142,6 +195,7 @@ def plan_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """(page_id, sha, low): the pages whose payload of ``least`` bytes or more a page with a smaller id has too, and the smallest such id."""
     small = written(pages.select("page_id", "sha", "size"), "digests")
     twice = small.where(F.col("size") >= least).groupBy("sha").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).where("low < high")
+    twice = written(twice, "twice")  # so that a payload of very many pages can be split over tasks
     return written(small.join(twice, "sha").where("page_id > low").select("page_id", "sha", "low").distinct(), "revisits")
 
 
@@ -165,10 +219,10 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> Non
             for page, url, text, sha, low in zip(*batch.columns, strict=True):
                 for line in lines_of(record_pieces(page.as_py(), url.as_py(), text.as_py(), base32(bytes.fromhex(sha.as_py())), low.as_py())):
                     lines.append(line)
-                    size += len(line)
-                if size > 1 << 22:
-                    yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
-                    lines, size = [], 0
+                    size += len(line) + 1
+                    if size > 1 << 21:
+                        yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
+                        lines, size = [], 0
             yield pa.record_batch([pa.array(lines, pa.string())], names=["value"])
 
     p.mapInArrow(records, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
