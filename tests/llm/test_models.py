@@ -242,7 +242,7 @@ def test_language_model_learns_context(spark, monkeypatch):
 
 
 def test_packed_numbers():
-    for width in (2, 4, 6, 8):
+    for width in (1, 2, 4, 6, 8):
         x = np.array([0, 1, (1 << (8 * width - 1)) - 1, 7], dtype=np.int64)
         assert (pitmanyor.unpack(pitmanyor.pack(x, width), width) == x).all()
     assert (pitmanyor.unpack(pitmanyor.pack(np.array([-5, 3]), 8), 8) == [-5, 3]).all()
@@ -344,7 +344,7 @@ def test_sampler_agrees_with_customer_by_customer_gibbs():
         want += [plain.p(*x) for x in queries] if k >= 100 else 0
     want /= 1400
     rows = sorted([(c1, c2, w, True) for c2, c1, w in triples] + [(c1, c2, w, False) for c2, c1, w in queries])
-    c1, c2, w, learn = (np.array(x) for x in zip(*rows, strict=True))
+    c1, c2, w, learn = (np.array(x) for x in zip(*rows, strict=True))  # two farther words, in a class each
     none = {"words": np.empty(0, np.int64), "number": np.empty(0, np.int64)}
     b = pitmanyor.Bucket(np.arange(6), c1, c2, w, learn, none)
     b.prepare(pitmanyor.Setting((0.5, *a), (1.0, *s), 0, 0), p0)
