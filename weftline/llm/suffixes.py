@@ -83,9 +83,19 @@ def neighbours(suffixes: DataFrame) -> DataFrame:
     ranged = suffixes.select("h", "id", "start").repartitionByRange("h", "id", "start").sortWithinPartitions("h", "id", "start")
     found = written(ranged.mapInArrow(compare, kinds), "neighbours")
     seams = found.where("kind = 2 OR (kind = 1 AND id = first_id AND start = first_start)").groupBy("h").agg(F.min(F.struct("id", "start")).alias("f"))
-    seams = written(seams, "seams")  # two rows of each partition at most
-    lead = found.where("kind = 1").join(F.broadcast(seams), "h").select("h", "id", "start", F.col("f.id").alias("first_id"), F.col("f.start").alias("first_start"))
-    return found.where("kind = 0").drop("kind").union(lead).where("id <> first_id")
+    firsts = {r["h"]: (r["f"]["id"], r["f"]["start"]) for r in seams.toLocalIterator()}  # two rows of each partition at most
+    packed = found.sparkSession.sparkContext.broadcast(firsts)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, ids, start, first_id, first_start, kind = (batch.column(i).to_numpy(zero_copy_only=False).copy() for i in range(6))
+            for x in np.unique(h[kind == 1]):
+                mine = (kind == 1) & (h == x)
+                first_id[mine], first_start[mine] = packed.value[x]
+            use = (kind < 2) & (ids != first_id)
+            yield pa.record_batch([pa.array(x[use]) for x in (h, ids, start, first_id, first_start)], names=batch.schema.names[:5])
+
+    return found.mapInArrow(settle, kinds.rsplit(",", 1)[0])
 
 
 def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage: int = PASSAGE, gram: int = GRAM) -> DataFrame:
