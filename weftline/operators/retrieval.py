@@ -160,7 +160,6 @@ def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("gold_ranking", "SELECT user_id, array_join(transform(slice(array_sort(collect_list(struct(-grade AS g, event_id))), 1, 5), s -> CAST(s.event_id AS STRING)), ' > ') AS ranking FROM (SELECT user_id, event_id, CAST(get_json_object(props, '$.k') AS INT) % 4 AS grade FROM {events}) GROUP BY user_id", "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ' > ' ORDER BY rn) AS ranking FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 DESC, event_id) AS rn FROM events) WHERE rn <= 5 GROUP BY user_id")
-sql_query("parse_ranking", "SELECT doc_id, array_join(array_distinct(filter(transform(split(regexp_replace(lower('[Doc ' || doc_id || '] > passage 7 > id ' || doc_id || ' > '), '[\\\\[\\\\]:]|id|doc|passage', ''), '>'), x -> trim(x)), x -> x <> '')), ',') AS ids FROM {documents}", "SELECT doc_id, CASE WHEN doc_id = 7 THEN '7' ELSE doc_id || ',7' END AS ids FROM documents")
 sql_query("best_n_candidates", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM {events}) WHERE rn <= 3")
 sql_query("query_max_depth", "SELECT source, max(n_chars) AS depth FROM {documents} GROUP BY source")
 sql_query("integer_thirds", "SELECT doc_id, CAST(floor(doc_id / 3) + CASE WHEN doc_id % 3 >= 1 THEN 1 ELSE 0 END AS BIGINT) AS dense, CAST(floor(doc_id / 3) + CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS BIGINT) AS sparse, CAST(floor(doc_id / 3) AS BIGINT) AS rest FROM {documents}")

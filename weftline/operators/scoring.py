@@ -278,3 +278,95 @@ def tagged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last tagged answer, and its exact match with a penalty for many tags."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.expr(_TAGGED).alias("s"))
     return d.select("doc_id", A.tagged_answer(F.col("s")).alias("answer"), F.coalesce(A.tagged_exact_match(F.col("s"), F.array("source")), F.lit(0.0)).alias("score"))
+
+
+# --- maths ---
+
+_X, _Y = "(doc_id % 9 + 1)", "(n_chars % 9 + 1)"
+_PRED = f"""CASE doc_id % 8 WHEN 0 THEN chr(92) || 'frac{{' || {_X} || '}}{{' || {_Y} || '}}' WHEN 1 THEN {_X} || '/' || {_Y} WHEN 2 THEN '1,00' || {_X} WHEN 3 THEN {_X} || '%' WHEN 4 THEN '(' || {_X} || ', ' || {_Y} || ')'
+  WHEN 5 THEN {_X} || '00' WHEN 6 THEN chr(92) || 'sqrt{{' || {_X} || '}}' ELSE '2x + ' || {_X} END"""
+_TRUTH = f"""CASE doc_id % 8 WHEN 0 THEN {_X} || '/' || {_Y} WHEN 1 THEN chr(92) || 'frac{{' || {_Y} || '}}{{' || {_X} || '}}' WHEN 2 THEN '100' || {_X} WHEN 3 THEN CAST({_X} AS STRING) WHEN 4 THEN '(' || {_Y} || ',' || {_X} || ')'
+  WHEN 5 THEN CAST({_X} AS STRING) WHEN 6 THEN {_Y} || '^{{' || chr(92) || 'frac12}}' ELSE {_Y} || ' + x + x' END"""
+
+
+@query(
+    "equal_answers",
+    f"""SELECT doc_id, CASE WHEN doc_id % 8 IN (0, 2, 3, 5) THEN true ELSE {_X} = {_Y} END AS same, CASE WHEN doc_id % 8 = 0 THEN true WHEN doc_id % 8 = 1 THEN {_X} = {_Y} WHEN doc_id % 8 = 4 THEN {_X} = {_Y} ELSE false END AS same_text FROM documents""",
+)
+def equal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractions, numbers with commas, percentages, tuples, roots and polynomials: equal in value, and equal as LaTeX."""
+    from weftline.functions import maths
+
+    m = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PRED).alias("pred"), F.expr(_TRUTH).alias("truth"))
+    return m.select("doc_id", maths.answers_equal(F.col("pred"), F.col("truth")).alias("same"), maths.latex_equal(F.col("pred"), F.col("truth")).alias("same_text"))
+
+
+_PROOF = f"text || CASE doc_id % 3 WHEN 0 THEN ' Answer: k = $' || {_X} || '$ units' WHEN 1 THEN ' answer : ' || {_X} || ' ' || chr(92) || 'boxed{{' || {_X} || '}}' ELSE ' no more' END"
+
+
+@query(
+    "maths_scores",
+    f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND {_X} = {_Y} THEN 1e0 ELSE -1e0 END AS signed, CASE WHEN doc_id % 3 = 1 AND {_X} = {_Y} THEN 1e0 ELSE -1e0 END AS strict,
+    CASE WHEN doc_id % 3 = 1 AND {_X} = {_Y} THEN 1e0 ELSE 0e0 END AS boxed FROM documents""",
+)
+def maths_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solutions with an answer line or a box: plus or minus one by the final form, by the box as it is, and by its plain form."""
+    from weftline.functions import maths
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PROOF).alias("s"), F.expr(f"CAST({_Y} AS STRING)").alias("truth"))
+    s, t = F.col("s"), F.col("truth")
+    return d.select("doc_id", maths.signed(s, t).alias("signed"), maths.strictly_signed(s, t).alias("strict"), maths.boxed_equal(s, t).alias("boxed"))
+
+
+@query(
+    "format_and_accuracy",
+    f"""SELECT doc_id, round(CASE WHEN doc_id % 4 < 3 AND {_X} = {_Y} THEN 0.9e0 ELSE 0e0 END + CASE WHEN doc_id % 4 IN (0, 1) THEN 0.1e0 ELSE 0e0 END, 6) AS score FROM documents""",
+)
+def format_and_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0.9 for the right value in the box, 0.1 for thoughts before a box."""
+    from weftline.functions import maths
+
+    box = f"chr(92) || 'boxed{{' || {_X} || '.0}}'"
+    s = f"CASE doc_id % 4 WHEN 0 THEN '<think>' || text || '</think> ' || {box} WHEN 1 THEN '<think></think>' || {box} || '.' WHEN 2 THEN text || {box} ELSE '<think>' || text || '</think>' END"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(s).alias("s"), F.expr(f"CAST({_Y} AS STRING)").alias("truth"))
+    right = maths.answers_equal(A.boxed(F.col("s")), F.col("truth")).cast("double")
+    return d.select("doc_id", F.round(0.9 * right + 0.1 * A.boxed_format(F.col("s")), 6).alias("score"))
+
+
+#: Which scorer each origin has; an origin that begins with "aime" has the signed one.
+SCORERS = {
+    "openai/gsm8k": "last_number", "lighteval/MATH": "boxed", "DigitalLearningGmbH/MATH-lighteval": "boxed", "HuggingFaceH4/MATH-500": "boxed", "math_dapo": "signed", "math": "signed", "math_dapo_reasoning": "signed",
+    "numina_aops_forum": "value", "numina_synthetic_math": "value", "numina_amc_aime": "value", "numina_synthetic_amc": "value", "numina_cn_k12": "value", "numina_olympiads": "value", "hiyouga/geometry3k": "geometry",
+    "searchR1_nq": "tagged", "searchR1_triviaqa": "tagged", "searchR1_popqa": "tagged", "searchR1_hotpotqa": "tagged", "searchR1_2wikimultihopqa": "tagged", "searchR1_musique": "tagged", "searchR1_bamboogle": "tagged",
+}
+
+
+def routed_score(origin, s, truth):
+    """The score of a solution by the scorer of its origin; an unknown origin is an error."""
+    from weftline.functions import maths
+
+    box = A.boxed(s)
+    scorers = {
+        "last_number": (T.last_number_mark(s) == truth).cast("double"), "boxed": maths.boxed_equal(s, truth), "signed": maths.signed(s, truth), "value": maths.answers_equal(box, truth).cast("double"),
+        "geometry": 0.9 * maths.answers_equal(box, truth).cast("double") + 0.1 * A.boxed_format(s), "tagged": A.tagged_exact_match(s, F.array(truth)),
+    }
+    kinds = F.create_map(*(x for k, v in SCORERS.items() for x in (F.lit(k), F.lit(v))))
+    kind = F.when(origin.startswith("aime"), F.lit("signed")).otherwise(F.try_element_at(kinds, origin))
+    chain = F.when(kind.isNull(), F.raise_error(F.concat(F.lit("no scorer for "), origin)).cast("double"))
+    for name, score in scorers.items():
+        chain = chain.when(kind == name, F.coalesce(score, F.lit(0.0)))
+    return chain
+
+
+_KINDS = "['openai/gsm8k', 'lighteval/MATH', 'aime24', 'numina_cn_k12', 'hiyouga/geometry3k', 'searchR1_nq']"
+
+
+@query(
+    "routed_scores",
+    f"""SELECT doc_id, {_KINDS}[CAST(doc_id % 6 + 1 AS INT)] AS origin, CASE doc_id % 6 WHEN 2 THEN CASE WHEN {_X} = {_Y} THEN 1e0 ELSE -1e0 END ELSE CASE WHEN {_X} = {_Y} THEN CASE WHEN doc_id % 6 = 4 THEN 0.9e0 ELSE 1e0 END ELSE 0e0 END END AS score FROM documents""",
+)
+def routed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One solution text with every kind of answer, scored by its origin."""
+    solution = f"text || '<answer> the ' || {_X} || '</answer> #### ' || {_X} || ' ' || chr(92) || 'boxed{{' || {_X} || '}} Answer: ' || {_X}"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"element_at(array({_KINDS[1:-1]}), CAST(doc_id % 6 + 1 AS INT))").alias("origin"), F.expr(solution).alias("s"), F.expr(f"CAST({_Y} AS STRING)").alias("truth"))
+    return d.select("doc_id", "origin", F.round(routed_score(F.col("origin"), F.col("s"), F.col("truth")), 6).alias("score"))

@@ -138,7 +138,6 @@ def cjk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("quadratic_cost", "SELECT doc_id, CAST(24576 * n_chars + n_chars * n_chars AS BIGINT) AS cost FROM {documents}")
-sql_query("format_predicate", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) / 3 = 1 AND position('.' IN text) > 0 AS ok FROM {documents}", "SELECT doc_id, (length(text) - length(replace(text, 'the', ''))) / 3 = 1 AND contains(text, '.') AS ok FROM documents")
 sql_query(
     "kl_estimators",
     "SELECT event_id, round(d, 9) AS k1, round(abs(d), 9) AS k1_abs, round(d * d / 2, 9) AS k2, round(least(greatest(exp(least(greatest(-d, -20e0), 20e0)) + d - 1, -10e0), 10e0), 6) AS k3 FROM (SELECT event_id, (value - 30) / 100e0 AS d FROM {events})",
@@ -151,8 +150,5 @@ sql_query("effective_sample_size", "SELECT event_type, round(1e0 / avg((w / m) *
 sql_query("rollout_divergence", "SELECT event_type, round(avg(d), 6) AS kl, round(avg(exp(-d) + d - 1), 6) AS k3, round(exp(avg(d)), 6) AS ppl, round(avg(exp(2 * d)) - 1, 6) AS chi2 FROM (SELECT event_type, (value - 30) / 100e0 AS d FROM {events}) GROUP BY event_type")
 sql_query("threshold_mask", "SELECT user_id, max(abs(d)) <= 1.5 AND avg(d) BETWEEN -0.2 AND 0.2 AND sum(d * d) / 2 <= 40 AS keep FROM (SELECT user_id, (value - 30) / 100e0 AS d FROM {events}) GROUP BY user_id")
 sql_query("vote_combiner", "SELECT doc_id, CASE WHEN a = -1 OR b = -1 OR c = -1 THEN -1 WHEN a = 1 AND b = 1 AND c = 1 THEN 1 ELSE 0 END AS vote FROM (SELECT doc_id, CAST(doc_id % 3 - 1 AS INT) AS a, CAST(doc_id % 2 AS INT) AS b, CAST(n_chars % 2 AS INT) AS c FROM {documents})")
-sql_query("span_error", "SELECT doc_id, round(CASE WHEN s = 0 THEN 1e0 ELSE greatest(1 - (u + h) / sqrt(s), 0) END, 6) AS score FROM (SELECT doc_id, doc_id % 9 AS s, doc_id % 2 AS u, n_chars % 3 AS h FROM {documents})")
-sql_query("coverage", "SELECT doc_id, round(least(doc_id % 9, 5) * 1e0 / least(5, doc_id % 7 + 1), 6) AS coverage FROM {documents}")
-sql_query("source_router", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 1e0 WHEN source LIKE 'src1%' THEN CASE WHEN n_chars > 500 THEN 1e0 ELSE 0.25e0 END ELSE 0e0 END AS score FROM {documents}")
 sql_query("rounding_steps", "SELECT p_partkey, CAST(bround(p_retailprice / 5e0) * 5 AS DOUBLE) AS price FROM {part}", "SELECT p_partkey, CAST(round_even(p_retailprice / 5e0, 0) * 5 AS DOUBLE) AS price FROM part")
 sql_query("config_grid", "SELECT k, v, q FROM (SELECT CAST(r_regionkey + 1 AS INT) AS k FROM {region}) a CROSS JOIN (SELECT CAST(r_regionkey + 1 AS INT) AS v FROM {region}) b CROSS JOIN (SELECT CAST(r_regionkey + 1 AS INT) AS q FROM {region}) c WHERE k * v <= 16 AND q <= least(k, 6)")

@@ -93,11 +93,6 @@ sql_query("retrieval_top_up", "SELECT doc_id FROM (SELECT d.doc_id, row_number()
 sql_query("horizontal_concat", "SELECT o.o_orderkey, l.lines, o.o_totalprice FROM {orders} o JOIN (SELECT l_orderkey, count(*) AS lines FROM {lineitem} GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey")
 sql_query("paragraph_offsets", "SELECT doc_id, par, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY par ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, n FROM (SELECT doc_id, par, CAST(length(line) AS BIGINT) AS n FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS par, line)", "SELECT doc_id, par, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY par ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, n FROM (SELECT doc_id, CAST(i - 1 AS INTEGER) AS par, length(lines[i]) AS n FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))")
 sql_query("interval_lookup", "SELECT e.event_id, min(r.r_regionkey) AS region FROM {events} e JOIN {region} r ON e.value < (r.r_regionkey + 1) * 40 GROUP BY e.event_id")
-sql_query("citation_f1", "SELECT doc_id, CASE WHEN c = 0 OR g = 0 THEN 0e0 ELSE round(2 * (h / c) * (h / least(5, g)) / nullif(h / c + h / least(5, g), 0), 6) END AS f1 FROM (SELECT doc_id, doc_id % 6 AS c, doc_id % 8 AS g, least(doc_id % 6, doc_id % 8) * 1e0 AS h FROM {documents})")
-sql_query("em_with_tag_penalty", "SELECT doc_id, CASE WHEN length(text) - length(replace(text, '.', '')) > 10 THEN 0.25e0 ELSE 1e0 END AS score FROM {documents}")
-sql_query("last_block", "SELECT doc_id, element_at(regexp_extract_all('<answer>' || source || '</answer> <answer>' || lang || '</answer>', '<answer>(.*?)</answer>', 1), -1) AS answer FROM {documents}", "SELECT doc_id, lang AS answer FROM documents")
-sql_query("greedy_answer", "SELECT doc_id, regexp_extract('Answer: no Answer: ' || source, '(?s).*Answer:\\\\s*(\\\\S.*)\\\\s*$', 1) AS answer FROM {documents}", "SELECT doc_id, source AS answer FROM documents")
-sql_query("weighted_accuracy_format", "SELECT doc_id, round(0.9e0 * (doc_id % 2) + 0.1e0 * (CASE WHEN text LIKE '%.' THEN 1 ELSE 0 END), 6) AS score FROM {documents}")
 sql_query("level_filter", "SELECT p_partkey FROM {part} WHERE substr(p_brand, length(p_brand), 1) BETWEEN '2' AND '4' AND p_type NOT LIKE '%STEEL%'")
 sql_query("index_shift", "SELECT event_id, user_id % 4 AS gold, event_type <> 'view' AS difficult FROM {events}")
 sql_query("tool_calls", "SELECT event_id, get_json_object(regexp_extract('<tool_call>' || props || '</tool_call>', '<tool_call>(.*?)</tool_call>', 1), '$.k') AS arg FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS arg FROM events")
