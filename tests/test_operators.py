@@ -55,6 +55,56 @@ def test_packing_invariants(costs, k):
         assert len(parts) == len(costs) and all(0 <= p < k for p in parts)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3000), min_size=1, max_size=60), st.integers(1, 6))
+def test_checked_partitions(costs, k):
+    if len(costs) < k:
+        with pytest.raises(ValueError):
+            packing.checked(costs, k)
+        return
+    parts = packing.checked(costs, k)
+    assert all(parts) and sorted(i for p in parts for i in p) == list(range(len(costs))) and all(p == sorted(p) for p in parts)
+    equal = costs[: len(costs) - len(costs) % k]
+    if equal:
+        assert {len(p) for p in packing.checked(equal, k, equal=True)} == {len(equal) // k}
+        assert sorted(packing.rank_order(equal, k)) == list(range(len(equal)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 1000), min_size=1, max_size=60), st.integers(1, 4))
+def test_dynamic_batches_keep_their_cap(lengths, multiple):
+    found = packing.dynamic_batches(lengths, 1000, multiple)
+    load = {}
+    for n, b in zip(lengths, found, strict=True):
+        load[b] = load.get(b, 0) + n
+    assert max(load.values()) <= 1000 and (len(load) % multiple == 0 or len(load) == len(lengths))
+    costs = [packing.workload(n) for n in lengths]
+    work = [sum(c for c, b in zip(costs, found, strict=True) if b == k) for k in range(len(load))]
+    top = work.index(max(work))
+    assert work[: top + 1] == sorted(work[: top + 1]) and work[top:] == sorted(work[top:], reverse=True)
+
+
+def test_batches_that_cannot_be_made():
+    with pytest.raises(ValueError):
+        packing.dynamic_batches([5, 2000], 1000)
+    with pytest.raises(ValueError):
+        packing.balanced([1, 2, 3], 2, equal=True)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 500), min_size=2, max_size=12), st.integers(1, 3))
+def test_groups_stay_together(sizes, k):
+    sizes = sizes[: len(sizes) - len(sizes) % k]
+    if not sizes:
+        return
+    uids = [g for g in range(len(sizes)) for _ in range(3)]
+    parts = packing.group_balanced([sizes[g] + i for g in range(len(sizes)) for i in range(3)], uids, k)
+    of = {}
+    for u, p in zip(uids, parts, strict=True):
+        assert of.setdefault(u, p) == p
+    assert {list(of.values()).count(p) for p in range(k)} == {len(sizes) // k}
+
+
 def test_balanced_is_near_best():
     costs = [8, 7, 6, 5, 4]
     best = min(max(sum(c for c, p in zip(costs, ps, strict=True) if p == q) for q in (0, 1)) for ps in itertools.product((0, 1), repeat=5))
