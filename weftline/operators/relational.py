@@ -44,14 +44,40 @@ sql_query(
     "rotate_pairs",
     "SELECT event_id, coalesce(lag(event_id) OVER w, max(event_id) OVER (PARTITION BY CAST(floor(event_id / 16) AS BIGINT))) AS partner FROM {events} WINDOW w AS (PARTITION BY CAST(floor(event_id / 16) AS BIGINT) ORDER BY event_id)",
 )
-sql_query(
+def interval_join(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+    """Pairs of rows whose half-open intervals [lo, hi) overlap. ``left`` has l_lo and l_hi, ``right`` r_lo and r_hi.
+
+    Both sides are dealt to bins of ``width`` and meet there by an equi-join; a
+    pair is kept in the bin where the later of the two begins, so once.
+    """
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / width), F.greatest(F.floor(F.col(lo) / width), F.ceil(F.col(hi) / width) - 1)))
+    a, b = left.where("l_lo < l_hi").withColumn("bin", bins("l_lo", "l_hi")), right.where("r_lo < r_hi").withColumn("bin", bins("r_lo", "r_hi"))
+    both = a.join(b, "bin").where("l_lo < r_hi AND r_lo < l_hi")
+    return both.where(F.col("bin") == F.floor(F.greatest("l_lo", "r_lo") / width)).drop("bin")
+
+
+@query(
     "range_overlap_argmax",
-    "SELECT doc_id, win FROM (SELECT d.doc_id, w.win, row_number() OVER (PARTITION BY d.doc_id ORDER BY least(d.hi, w.hi) - greatest(d.lo, w.lo) DESC, w.win) AS rn FROM (SELECT doc_id, doc_id * 37 % 900 AS lo, doc_id * 37 % 900 + 150 AS hi FROM {documents}) d JOIN (SELECT item_id AS win, item_id * 100 AS lo, item_id * 100 + 100 AS hi FROM {benchmark}) w ON d.lo < w.hi AND d.hi > w.lo) WHERE rn = 1",
-)
-sql_query(
-    "point_in_interval",
-    "SELECT e.event_id, w.item_id FROM {events} e JOIN {benchmark} w ON e.value >= w.item_id * 10 AND e.value < w.item_id * 10 + 10",
+    "SELECT doc_id, win FROM (SELECT d.doc_id, w.win, row_number() OVER (PARTITION BY d.doc_id ORDER BY least(d.hi, w.hi) - greatest(d.lo, w.lo) DESC, w.win) AS rn FROM (SELECT doc_id, doc_id * 37 % 900 AS lo, doc_id * 37 % 900 + 150 AS hi FROM documents) d JOIN (SELECT item_id AS win, item_id * 100 AS lo, item_id * 100 + 100 AS hi FROM benchmark) w ON d.lo < w.hi AND d.hi > w.lo) WHERE rn = 1",
 )
+def range_overlap_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each span the window that it overlaps most, the first of equal ones."""
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id * 37 % 900 AS l_lo", "doc_id * 37 % 900 + 150 AS l_hi")
+    w = table(spark, sf_dir, "benchmark").selectExpr("item_id AS win", "item_id * 100 AS r_lo", "item_id * 100 + 100 AS r_hi")
+    both = interval_join(d, w, 100)
+    best = both.groupBy("doc_id").agg(F.min(F.struct((F.greatest("l_lo", "r_lo") - F.least("l_hi", "r_hi")).alias("o"), "win")).alias("b"))
+    return best.select("doc_id", "b.win")
+
+
+@query("point_in_interval", "SELECT e.event_id, w.item_id FROM events e JOIN benchmark w ON e.value >= w.item_id * 10 AND e.value < w.item_id * 10 + 10")
+def point_in_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval of each point: points go to the bin they lie in, intervals to the bins they touch."""
+    e = table(spark, sf_dir, "events").select("event_id", "value").withColumn("bin", F.floor(F.col("value") / 10))
+    w = table(spark, sf_dir, "benchmark").selectExpr("item_id", "item_id * 10 AS lo", "item_id * 10 + 10 AS hi")
+    w = w.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / 10), F.ceil(F.col("hi") / 10) - 1)))
+    return e.join(w, "bin").where("value >= lo AND value < hi").select("event_id", "item_id")
+
+
 sql_query(
     "array_key_lookup",
     "SELECT p.conv_id, array_join(transform(array_sort(collect_list(struct(p.turn, d.lang))), s -> s.lang), ',') AS langs FROM {conversations} p JOIN {documents} d ON d.doc_id = p.conv_id * 3 + p.turn GROUP BY p.conv_id",
@@ -61,8 +87,17 @@ sql_query(
 # --- set operations, sampling and quotas ---
 
 sql_query("union_rows", "SELECT doc_id AS id, 'd' AS kind FROM {documents} UNION ALL SELECT page_id, 'p' FROM {pages}")
-sql_query("keep_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(source), trim(text) ORDER BY doc_id) AS rn FROM {documents}) WHERE rn = 1")
-sql_query("keep_first_caseless", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS rn FROM {documents} WHERE trim(text) <> '') WHERE rn = 1")
+# texts are compared by their digests, so none is shuffled or sorted
+sql_query(
+    "keep_first",
+    "SELECT min(doc_id) AS doc_id FROM {documents} GROUP BY lower(source), md5(CAST(trim(text) AS BINARY))",
+    "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(source), trim(text) ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1",
+)
+sql_query(
+    "keep_first_caseless",
+    "SELECT min(doc_id) AS doc_id FROM {documents} WHERE trim(text) <> '' GROUP BY md5(CAST(lower(trim(text)) AS BINARY))",
+    "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS rn FROM documents WHERE trim(text) <> '') WHERE rn = 1",
+)
 sql_query(
     "quota_split",
     "SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM {documents}) WHERE rn <= floor(n * 0.3)",
@@ -87,8 +122,25 @@ sql_query("unfold_rows", "SELECT vec_id, pos, x FROM (SELECT vec_id, embedding A
 # --- batch algebra ---
 
 sql_query("chunk_ids", "SELECT event_id, CAST(floor(event_id / 128) AS BIGINT) AS chunk FROM {events}")
-sql_query("row_shards", "SELECT event_id, CAST(floor(event_id * 8 / (max(event_id) OVER () + 1)) AS BIGINT) AS shard FROM {events}")
-sql_query("equal_chunks", "SELECT doc_id, ntile(8) OVER (ORDER BY doc_id) AS part FROM {documents}", "SELECT doc_id, CAST(ntile(8) OVER (ORDER BY doc_id) AS INTEGER) AS part FROM documents")
+sql_query(
+    "row_shards",
+    "SELECT event_id, CAST(floor(event_id * 8 / (top + 1)) AS BIGINT) AS shard FROM {events} CROSS JOIN (SELECT max(event_id) AS top FROM {events})",
+    "SELECT event_id, CAST(floor(event_id * 8 / (max(event_id) OVER () + 1)) AS BIGINT) AS shard FROM events",
+)
+@query("equal_chunks", "SELECT doc_id, CAST(ntile(8) OVER (ORDER BY doc_id) AS INTEGER) AS part FROM documents")
+def equal_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight contiguous parts of like size, the first ones a row larger: places come from the counts of blocks of ids, so no window holds the table."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 4096).alias("block"))
+    counts = d.groupBy("block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.select("block", before.alias("before"), F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    placed = d.join(blocks, "block").withColumn("i", F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("doc_id")) - 1)
+    size, longer = F.floor(F.col("total") / 8), F.col("total") % 8
+    cut = longer * (size + 1)
+    part = F.when(F.col("i") < cut, F.floor(F.col("i") / (size + 1))).otherwise(longer + F.floor((F.col("i") - cut) / F.greatest(size, F.lit(1)))) + 1
+    return placed.select("doc_id", part.cast("int").alias("part"))
+
+
 sql_query("strided_rows", "SELECT event_id, value FROM {events} WHERE event_id BETWEEN 10 AND 900 AND event_id % 7 = 3")
 sql_query("gather_rows", "SELECT g.turn, e.event_id, e.value FROM (SELECT turn, conv_id * 5 AS idx FROM {conversations}) g JOIN {events} e ON e.event_id = g.idx")
 sql_query("cyclic_padding", "SELECT doc_id, false AS padded FROM {documents} UNION ALL SELECT doc_id, true FROM (SELECT doc_id FROM {documents} ORDER BY doc_id LIMIT 24)")
@@ -111,7 +163,6 @@ sql_query(
 sql_query("truncate_arrays", "SELECT vec_id, round(aggregate(slice(embedding, 1, 16), 0D, (a, x) -> a + x), 5) AS head_sum FROM {embeddings}", "SELECT vec_id, round(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE))), 5) AS head_sum FROM embeddings")
 sql_query("length_filter", "SELECT conv_id FROM {conversations} WHERE turn = 0 AND length(text) <= 512")
 sql_query("not_all_same", "SELECT user_id FROM {events} GROUP BY user_id HAVING NOT (min(event_type) = max(event_type))")
-sql_query("render_formats", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Document [' || doc_id || '] ' || source WHEN 1 THEN source WHEN 2 THEN '[' || doc_id || ']' ELSE doc_id || ': ' || source END AS rendered FROM {documents}")
 sql_query("demo_formats", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ' | ' || source WHEN 1 THEN lang || ' -> ' || source WHEN 2 THEN lang || ' (' || source || ')' ELSE lang || ': ' || source END AS demo FROM {documents}")
 sql_query("question_position", "SELECT item_id, md5(CASE item_id % 3 WHEN 0 THEN text || ' Q' WHEN 1 THEN 'Q ' || text ELSE 'Q ' || text || ' Q' END) AS digest FROM {benchmark}")
 sql_query("token_budget_prefix", "SELECT source, count(*) AS kept FROM (SELECT source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM {documents}) WHERE used <= 20000 GROUP BY source")
@@ -140,12 +191,9 @@ def text_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     size = F.size("ws")
-    d = d.withColumn("window_id", F.explode(F.sequence(F.lit(0), F.ceil(size / WORD_WINDOW).cast("int") - 1)))
-    start = F.col("window_id") * WORD_WINDOW
-    return d.select(
-        "doc_id", F.col("window_id").cast("long").alias("window_id"), start.cast("long").alias("start_word"),
-        F.least(start + WORD_WINDOW, size).cast("long").alias("end_word"), F.md5(F.array_join(F.slice("ws", start + 1, F.lit(WORD_WINDOW)), " ").cast("binary")).alias("digest"),
-    )
+    part = lambda i: F.struct(i.alias("i"), F.least((i + 1) * WORD_WINDOW, size).alias("end"), F.array_join(F.slice("ws", i * WORD_WINDOW + 1, F.lit(WORD_WINDOW)), " ").alias("text"))
+    d = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(size / WORD_WINDOW).cast("int") - 1), part)).alias("w"))
+    return d.select("doc_id", F.col("w.i").cast("long").alias("window_id"), (F.col("w.i") * WORD_WINDOW).cast("long").alias("start_word"), F.col("w.end").cast("long").alias("end_word"), F.md5(F.col("w.text").cast("binary")).alias("digest"))
 
 
 @query(
@@ -160,6 +208,6 @@ def concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = table(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", tokens(F.col("text")).alias("ws")).alias("t"))
     g = c.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["ws"])).alias("ws")).where(F.size("ws") > 0)
-    g = g.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ws") / 32).cast("int") - 1)))
-    part = F.slice("ws", F.col("chunk") * 32 + 1, F.lit(32))
-    return g.select("conv_id", F.col("chunk").cast("long").alias("chunk"), F.size(part).cast("long").alias("n"), F.md5(F.array_join(part, " ").cast("binary")).alias("digest"))
+    part = lambda i: F.struct(i.alias("chunk"), F.slice("ws", i * 32 + 1, F.lit(32)).alias("ws"))
+    g = g.select("conv_id", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.size("ws") / 32).cast("int") - 1), part)).alias("c"))
+    return g.select("conv_id", F.col("c.chunk").cast("long").alias("chunk"), F.size("c.ws").cast("long").alias("n"), F.md5(F.array_join("c.ws", " ").cast("binary")).alias("digest"))
