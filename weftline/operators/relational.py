@@ -167,7 +167,6 @@ sql_query("demo_formats", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || '
 sql_query("question_position", "SELECT item_id, md5(CASE item_id % 3 WHEN 0 THEN text || ' Q' WHEN 1 THEN 'Q ' || text ELSE 'Q ' || text || ' Q' END) AS digest FROM {benchmark}")
 sql_query("token_budget_prefix", "SELECT source, count(*) AS kept FROM (SELECT source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM {documents}) WHERE used <= 20000 GROUP BY source")
 sql_query("pad_arrays", "SELECT conv_id, array_join(slice(concat(transform(array_sort(collect_list(turn)), t -> CAST(t AS STRING)), array_repeat('-', 8)), 1, 8), ',') AS padded FROM {conversations} GROUP BY conv_id", "SELECT conv_id, array_to_string((list(CAST(turn AS VARCHAR) ORDER BY turn) || list_transform(range(8), lambda i: '-'))[1:8], ',') AS padded FROM conversations GROUP BY conv_id")
-sql_query("prefix_rows", "SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix_turns, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix_chars FROM {conversations}", "SELECT conv_id, turn, count(*) OVER w AS prefix_turns, CAST(sum(length(text)) OVER w AS BIGINT) AS prefix_chars FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
 sql_query(
     "common_prefix_length",
     "SELECT c.conv_id, CAST(coalesce(array_min(filter(sequence(1, least(length(c.text), length(d.text))), i -> substr(c.text, i, 1) <> substr(d.text, i, 1))) - 1, least(length(c.text), length(d.text))) AS BIGINT) AS lcp FROM (SELECT conv_id, text FROM {conversations} WHERE turn = 0) c JOIN (SELECT conv_id, text FROM {conversations} WHERE turn = 1) d ON c.conv_id = d.conv_id WHERE length(c.text) > 0 AND length(d.text) > 0",

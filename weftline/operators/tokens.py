@@ -30,12 +30,10 @@ steps(
     "step_weighted_baseline",
     "SELECT event_id, round(g - sum(g * w) OVER (PARTITION BY event_type, pos) / (sum(w) OVER (PARTITION BY event_type, pos) + 1e-8), 5) AS adv FROM (SELECT event_id, event_type, pos, sum(value) OVER (PARTITION BY user_id, event_type ORDER BY pos DESC) AS g, sum(k + 1) OVER (PARTITION BY user_id, event_type ORDER BY pos) AS w FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS pos FROM $R))",
 )
-steps("masked_positions_dropped", "SELECT user_id, count(*) AS kept, CAST(sum(k) AS BIGINT) AS total FROM $R WHERE k % 3 <> 0 GROUP BY user_id")
 steps(
     "rotate_to_first_valid",
     "SELECT event_id, (pos - f + n) % n AS new_pos FROM (SELECT event_id, pos, n, min(CASE WHEN k % 2 = 1 THEN pos END) OVER (PARTITION BY user_id) AS f FROM (SELECT event_id, user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM $R))",
 )
-steps("pad_or_truncate", "SELECT user_id, CASE WHEN n >= 64 THEN 0 ELSE 64 - n END AS padding, CASE WHEN n > 64 THEN n - 64 ELSE 0 END AS cut FROM (SELECT user_id, count(*) AS n FROM $R GROUP BY user_id)")
 steps("middle_truncation", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM $R) WHERE n <= 40 OR pos <= 20 OR pos > n - 20")
 steps(
     "keep_protected_tokens",
@@ -78,7 +76,6 @@ def generalised_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- messages and rows ---
 
-sql_query("training_rows", "SELECT conv_id, md5(to_json(named_struct('role', role, 'n', length(text)))) AS digest, CASE role WHEN 'user' THEN 'ask' WHEN 'assistant' THEN 'reply' ELSE 'other' END AS ability FROM {conversations}", "SELECT conv_id, md5('{\"role\":\"' || role || '\",\"n\":' || length(text) || '}') AS digest, CASE role WHEN 'user' THEN 'ask' WHEN 'assistant' THEN 'reply' ELSE 'other' END AS ability FROM conversations")
 sql_query("renamed_roles", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker FROM {conversations}")
 sql_query("overlong_filter", "SELECT doc_id FROM {documents} WHERE size(filter(split(text, '[ \\\\t\\\\n\\\\r\\\\f\\\\x0B]+'), w -> w <> '')) <= 500", "SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) <= 500")
 sql_query("placeholder_segments", "SELECT doc_id, pos, kind FROM (SELECT doc_id, split('<image>' || source || '<video>' || lang, '(?=<)|(?<=>)') AS parts FROM {documents}) LATERAL VIEW posexplode(transform(filter(parts, p -> p <> ''), p -> CASE WHEN p = '<image>' THEN 'image' WHEN p = '<video>' THEN 'video' ELSE 'text' END)) t AS pos, kind", "SELECT doc_id, CAST(i AS INTEGER) AS pos, ['image', 'text', 'video', 'text'][i + 1] AS kind FROM documents, range(4) t(i)")
@@ -95,4 +92,3 @@ sql_query("tool_calls", "SELECT event_id, get_json_object(regexp_extract('<tool_
 sql_query("column_to_lists", "SELECT user_id, count(*) AS n, array_join(transform(array_sort(collect_list(struct(event_id, event_type))), s -> s.event_type), ',') AS types FROM {events} GROUP BY user_id", "SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events GROUP BY user_id")
 sql_query("split_columns", "SELECT vec_id, half, round(aggregate(slice(embedding, half * 32 + 1, 32), 0D, (a, x) -> a + x), 5) AS total FROM {embeddings} LATERAL VIEW explode(array(0, 1)) t AS half", "SELECT vec_id, half, round(list_sum(list_transform(embedding[half * 32 + 1 : half * 32 + 32], lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings, (SELECT CAST(range AS INTEGER) AS half FROM range(2))")
 sql_query("batch_repeat_order", "SELECT doc_id, rep, mini FROM {documents} LATERAL VIEW explode(sequence(0, 1)) a AS rep LATERAL VIEW explode(sequence(0, 2)) b AS mini WHERE doc_id < (SELECT floor(count(*) / 8) * 8 FROM {documents})", "SELECT doc_id, CAST(a.range AS INTEGER) AS rep, CAST(b.range AS INTEGER) AS mini FROM documents, range(2) a, range(3) b WHERE doc_id < (SELECT floor(count(*) / 8) * 8 FROM documents)")
-sql_query("same_label_subset", "SELECT a.vec_id, count(*) AS same FROM (SELECT vec_id, label FROM {embeddings}) a JOIN (SELECT label, vec_id AS other, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM {embeddings}) b ON a.label = b.label AND b.rn <= 5 AND a.vec_id <> b.other GROUP BY a.vec_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.operators import articles, generators, groupstats, metrics, packing, relational, retrieval, scoring, textqueries, tokens  # noqa: F401
+from weftline.operators import articles, collation, generators, groupstats, metrics, packing, relational, retrieval, scoring, textqueries, tokens  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 
