@@ -20,33 +20,61 @@ def terms(text: Column) -> Column:
     return F.filter(found, lambda t: (t != "") & ~t.isin(*STOP_WORDS))
 
 
-def postings(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf) and (id, length) of a corpus."""
+def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(term, id, length, tf) of a corpus; a text without terms has one row with none."""
     words = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("ts"))
-    lengths = words.select("id", F.size("ts").alias("length"))
-    return words.select("id", F.explode("ts").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf")), lengths
+    return words.select("id", F.size("ts").alias("length"), F.explode_outer("ts").alias("term")).groupBy("term", "id", "length").agg(F.count("term").alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int, qid: str = "item_id", qtext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame:
-    """(qid, did, score, rank) of the best ``k`` documents for each query.
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The postings of a corpus as a table, by ranges of terms: texts are cut into words once, whatever is asked later, and a scan for a few terms skips most of it."""
+    postings(docs, id_col, text).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def index_path(spark: SparkSession) -> str:
+    """An unused path in the folder that the cluster shares."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(folder or tempfile.mkdtemp(prefix='weftline-index-')).rstrip('/')}/weftline-postings-{uuid.uuid4().hex[:12]}"
+
+
+#: Up to so many distinct terms of all queries are broadcast; more are joined by a shuffle.
+ASKED = 200_000
+
+
+def search(index: DataFrame, queries: DataFrame, k: int, qid: str = "item_id", qtext: str = "text", did: str = "doc_id") -> DataFrame:
+    """(qid, did, score, rank) of the best ``k`` documents of an index for each query.
 
     All queries are one join: their distinct terms first reduce the postings by
     a semi join, so only the terms asked for are counted and shuffled. Rare
     terms weigh log(1 + (N - df + 0.5)/(df + 0.5)). Ties go to the smaller id.
     """
     asked = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(terms(F.col(qtext)))).alias("term"))
-    tf, lengths = postings(docs, did, dtext)
-    size = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    tf = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    distinct = asked.select("term").distinct()
+    few = distinct.limit(ASKED + 1).count() <= ASKED
+    size = index.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("total"))
+    tf = index.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    part = tf.join(df, "term").join(lengths, "id").crossJoin(F.broadcast(size))
+    part = tf.join(df, "term").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = part.select("term", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))).alias("s"))
+    mean = F.col("total") / F.col("n")
+    part = part.select("term", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))).alias("s"))
     scored = asked.join(part, "term").groupBy("qid", "id").agg(F.round(F.sum("s"), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
     return ranked.where(F.col("rank") <= k).select(F.col("qid").alias(qid), F.col("id").alias(did), "score", F.col("rank").cast("long").alias("rank"))
 
 
+def bm25(queries: DataFrame, docs: DataFrame, k: int, qid: str = "item_id", qtext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame:
+    """search() over an index that is written for this one question."""
+    index = write_index(docs, index_path(docs.sparkSession), did, dtext)
+    return search(index, queries, k, qid, qtext, did)
+
+
 _TERMS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND t NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
 _BM25 = f"""q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark), d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY ALL),
