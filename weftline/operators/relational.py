@@ -98,10 +98,6 @@ sql_query(
     "SELECT min(doc_id) AS doc_id FROM {documents} WHERE trim(text) <> '' GROUP BY md5(CAST(lower(trim(text)) AS BINARY))",
     "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS rn FROM documents WHERE trim(text) <> '') WHERE rn = 1",
 )
-sql_query(
-    "quota_split",
-    "SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM {documents}) WHERE rn <= floor(n * 0.3)",
-)
 sql_query(
     "apportion",
     "SELECT lang, CASE WHEN rk = k THEN 100 - coalesce(before, 0) ELSE part END AS quota FROM (SELECT lang, rk, k, part, CAST(sum(part) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS before FROM (SELECT lang, row_number() OVER (ORDER BY lang) AS rk, count(*) OVER () AS k, CAST(bround(100e0 * count(*) / sum(count(*)) OVER ()) AS BIGINT) AS part FROM {documents} GROUP BY lang))",
@@ -149,7 +145,6 @@ sql_query("rename_columns", "SELECT event_id AS row_id, value AS score, event_ty
 sql_query("column_subset", "SELECT event_id, value FROM {events}")
 sql_query("count_windows", "SELECT win, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_id, value, CAST(floor(event_id / 64) AS BIGINT) AS win FROM {events}) GROUP BY win HAVING count(*) = 64")
 sql_query("inverse_permutation", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rank_in_user FROM {events}", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS INTEGER) AS rank_in_user FROM events")
-sql_query("controller_product", "SELECT user_id, round(exp(sum(ln(1 + least(greatest(value / 30e0 - 1, -0.2), 0.2) * 0.01))), 8) AS factor FROM {events} GROUP BY user_id")
 sql_query("staleness_capacity", "SELECT user_id, CAST(8 * (1 + 1) * count(DISTINCT event_type) AS BIGINT) AS capacity FROM {events} GROUP BY user_id")
 
 # --- reshaping ---
