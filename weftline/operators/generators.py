@@ -33,40 +33,6 @@ def resampled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 5)
 
 
-@query("key_value_tasks")
-def key_value_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store of eight pairs for each document and one key asked for; the answer is its value."""
-    d = table(spark, sf_dir, "documents").select("doc_id")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(F.concat(F.lit("key-"), integer(0, 9999, 1, F.col("doc_id"), i)).alias("k"), integer(0, 999_999, 2, F.col("doc_id"), i).cast("string").alias("v")))
-    d = d.withColumn("pairs", pairs).withColumn("asked", integer(0, 7, 3, F.col("doc_id")))
-    return d.select("doc_id", F.array_join(F.transform("pairs", lambda p: F.concat_ws("=", p["k"], p["v"])), "; ").alias("store"), F.col("pairs")[F.col("asked")]["k"].alias("question"), F.col("pairs")[F.col("asked")]["v"].alias("answer"))
-
-
-@query("vote_tables")
-def vote_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Votes for five options for each benchmark item, with a winner by construction."""
-    b = table(spark, sf_dir, "benchmark").select("item_id")
-    votes = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: integer(1, 40, 4, F.col("item_id"), i) + F.when(i == integer(0, 4, 5, F.col("item_id")), 50).otherwise(0))
-    return b.select("item_id", votes.alias("votes"), integer(0, 4, 5, F.col("item_id")).alias("winner"))
-
-
-@query("linear_equations")
-def linear_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a x + b = c with a whole solution for each benchmark item."""
-    i = F.col("item_id")
-    a, x, b = integer(2, 9, 6, i), integer(-20, 20, 7, i), integer(-50, 50, 8, i)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.format_string("%d x + %d = %d", a, b, a * x + b).alias("equation"), x.alias("solution"))
-
-
-@query("shuffled_options")
-def shuffled_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four options in a random order, and the letter of the one that was first."""
-    i = F.col("item_id")
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.struct(uniform(9, i, k).alias("u"), k.alias("k"))))
-    b = table(spark, sf_dir, "benchmark").withColumn("order", F.transform(order, lambda s: s["k"]))
-    return b.select("item_id", "order", F.substring(F.lit("ABCD"), F.array_position("order", 0).cast("int"), F.lit(1)).alias("letter"))
-
-
 @query("conversation_bootstrap")
 def conversation_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation over 200 resamples of each type's user means: a Monte Carlo check of the closed forms."""

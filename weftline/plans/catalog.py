@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.operators import articles, collation, generators, groupstats, metrics, negatives, packing, relational, retrieval, sampling, scoring, textqueries, tokens  # noqa: F401
+from weftline.operators import articles, collation, generators, groupstats, metrics, negatives, packing, relational, retrieval, sampling, scoring, tasks, textqueries, tokens  # noqa: F401
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
 
