@@ -145,7 +145,6 @@ sql_query("rename_columns", "SELECT event_id AS row_id, value AS score, event_ty
 sql_query("column_subset", "SELECT event_id, value FROM {events}")
 sql_query("count_windows", "SELECT win, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT event_id, value, CAST(floor(event_id / 64) AS BIGINT) AS win FROM {events}) GROUP BY win HAVING count(*) = 64")
 sql_query("inverse_permutation", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS rank_in_user FROM {events}", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS INTEGER) AS rank_in_user FROM events")
-sql_query("staleness_capacity", "SELECT user_id, CAST(8 * (1 + 1) * count(DISTINCT event_type) AS BIGINT) AS capacity FROM {events} GROUP BY user_id")
 
 # --- reshaping ---
 

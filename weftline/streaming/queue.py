@@ -57,3 +57,28 @@ def bounded_queue(stream: DataFrame, capacity: int, required: int) -> DataFrame:
 def running_moments(stream: DataFrame) -> DataFrame:
     """Count, mean and sample deviation of each type so far, as mergeable partial states."""
     return stream.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("std"))
+
+
+def staleness(stream: DataFrame, version_size: int) -> DataFrame:
+    """(event_type, version, stale, resets) after each batch of rows: how many rows of a type came since its version last changed. A row's version is its event_id over ``version_size``; the counter starts anew when it grows."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, stale, resets = state.get if state.exists else (-1, 0, 0)
+        for i in sorted(int(x) for part in parts for x in part["event_id"]):
+            if i // version_size > version:
+                version, resets, stale = i // version_size, resets + 1, 0
+            stale += 1
+        state.update((version, stale, resets))
+        yield pd.DataFrame({"event_type": [key[0]], "version": [version], "stale": [stale], "resets": [resets]})
+
+    return stream.groupBy("event_type").applyInPandasWithState(
+        step, "event_type string, version bigint, stale bigint, resets bigint", "version bigint, stale bigint, resets bigint", "update", GroupStateTimeout.NoTimeout,
+    )
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """The last update of each type of a stream over what there is now: a few rows, in memory."""
+    spark = stream.sparkSession
+    q = stream.writeStream.format("memory").queryName(name).outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
