@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from weftline.operators import articles, collation, generators, groupstats, metrics, negatives, packing, relational, retrieval, sampling, scoring, streams, tasks, textqueries, tokens  # noqa: F401
+from weftline.plans.oracles import INDEPENDENT
 from weftline.plans.registry import ORACLES, QUERIES, Query
 
+if unknown := set(INDEPENDENT) - set(QUERIES):
+    raise ValueError(f"oracles without queries: {sorted(unknown)}")
+ORACLES.update(INDEPENDENT)
+
 
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
