@@ -172,15 +172,14 @@ def best_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_document_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that contain each answer text: candidates share three words in the answer's middle, which any text that contains it has; the containment itself is then tested."""
 
-    def triples(c: Column) -> Column:
-        w = F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0))
-        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("answer"), triples(F.col("text")).alias("h"))
+    # words are a column of their own first: inside the lambda they would be cut anew for each triple
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
+    triples = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("answer"), words.alias("w")).withColumn("h", triples).drop("w")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     # words at the ends may be parts of longer ones in a document, so the key is a triple of whole words between
     long = b.where("size(h) >= 3").select("item_id", F.get("h", F.floor(F.size("h") / 2).cast("int")).alias("h"))
-    near = d.select("doc_id", F.explode(F.array_distinct(triples(F.col("text")))).alias("h")).join(long, "h").select("item_id", "doc_id")
+    near = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(triples)).alias("h")).join(long, "h").select("item_id", "doc_id")
     held = near.join(b.select("item_id", "answer"), "item_id").join(d, "doc_id").where(F.contains(F.lower("text"), F.col("answer")))
     short = F.broadcast(b.where("size(h) < 3").select("item_id", "answer").limit(1000))
     rest = d.crossJoin(short).where(F.contains(F.lower("text"), F.col("answer")))  # answers of a few words, at most 1,000

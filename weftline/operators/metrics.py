@@ -152,13 +152,16 @@ def bootstrap(samples: Column, size: int, draws: int = DRAWS) -> Column:
     comes first.
     """
 
-    def one(b: Column) -> Column:
-        picked = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.get(samples, drawn(b.cast("long"), j.cast("long"), F.size(samples).cast("long"))))
+    def picks(b: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.get(samples, drawn(b.cast("long"), j.cast("long"), F.size(samples).cast("long"))))
+
+    def one(picked: Column) -> Column:
         most = F.array_max(F.transform(picked, lambda x, j: F.struct(F.size(F.filter(picked, lambda y: y["pred"] == x["pred"])).alias("n"), (-j).alias("j"), x["val"].alias("val"))))
         values = F.transform(picked, lambda x: x["val"])
         return F.struct(F.array_max(values).alias("best"), F.array_min(values).alias("worst"), most["val"].alias("maj"))
 
-    found = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), one)
+    # picks are made in a transform of their own, so that each is made once
+    found = F.transform(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), picks), one)
 
     def moments(name: str) -> list[Column]:
         total = lambda f: F.aggregate(found, F.lit(0.0), lambda a, x: a + f(x[name]))

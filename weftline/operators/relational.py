@@ -154,7 +154,6 @@ sql_query(
     "SELECT conv_id, md5(array_join(transform(array_sort(collect_list(struct(turn, role, text))), m -> '<|' || m.role || '|>' || m.text), '')) AS digest FROM {conversations} GROUP BY conv_id",
     "SELECT conv_id, md5(string_agg('<|' || role || '|>' || text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
 )
-sql_query("truncate_arrays", "SELECT vec_id, round(aggregate(slice(embedding, 1, 16), 0D, (a, x) -> a + x), 5) AS head_sum FROM {embeddings}", "SELECT vec_id, round(list_sum(list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE))), 5) AS head_sum FROM embeddings")
 sql_query("length_filter", "SELECT conv_id FROM {conversations} WHERE turn = 0 AND length(text) <= 512")
 sql_query("not_all_same", "SELECT user_id FROM {events} GROUP BY user_id HAVING NOT (min(event_type) = max(event_type))")
 sql_query("demo_formats", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang || ' | ' || source WHEN 1 THEN lang || ' -> ' || source WHEN 2 THEN lang || ' (' || source || ')' ELSE lang || ': ' || source END AS demo FROM {documents}")
@@ -167,7 +166,6 @@ sql_query(
     "SELECT c.conv_id, CAST(coalesce(list_min(list_filter(range(1, least(length(c.text), length(d.text)) + 1), lambda i: substr(c.text, i, 1) <> substr(d.text, i, 1))) - 1, least(length(c.text), length(d.text))) AS BIGINT) AS lcp FROM (SELECT conv_id, text FROM conversations WHERE turn = 0) c JOIN (SELECT conv_id, text FROM conversations WHERE turn = 1) d ON c.conv_id = d.conv_id WHERE length(c.text) > 0 AND length(d.text) > 0",
 )
 sql_query("flatten_nested", "SELECT event_id, s.kind AS kind, s.score AS score FROM (SELECT event_id, named_struct('kind', event_type, 'score', value) AS s FROM {events})", "SELECT event_id, s.kind AS kind, s.score AS score FROM (SELECT event_id, {'kind': event_type, 'score': value} AS s FROM events)")
-sql_query("reference_answers", "SELECT doc_id, replace(regexp_extract('x #### ' || n_chars || ',1', '#### (-?[0-9,]+)', 1), ',', '') AS answer FROM {documents}")
 sql_query("bracket_cleanup", "SELECT doc_id, md5(replace(regexp_replace(replace('a [title] b [x]  ' || text, ' [title]', '. '), '\\\\[[^\\\\]]*\\\\]', ''), '  ', ' ')) AS digest FROM {documents}", "SELECT doc_id, md5(replace(regexp_replace(replace('a [title] b [x]  ' || text, ' [title]', '. '), '\\[[^\\]]*\\]', '', 'g'), '  ', ' ')) AS digest FROM documents")
 sql_query("loss_mask", "SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS trained, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE length(text) END) AS BIGINT) AS ignored FROM {conversations} GROUP BY conv_id")
 

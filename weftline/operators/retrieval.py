@@ -10,6 +10,8 @@ from weftline.sources.tables import table
 
 K1, B = 1.5, 0.75
 LISTS, PROBES = 16, 13
+#: Queries of a block, which is broadcast: some MB of vectors.
+QUERY_BLOCK = 20_000
 #: Words that no query looks for.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "that", "the", "this", "to", "was", "with"]
 
@@ -103,13 +105,20 @@ def dot(a: Column, b: Column) -> Column:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """(qid, vec_id, score, rank): the best ``k`` by inner product.
 
-    Queries are a stated, small set: they are broadcast in blocks against all
-    vectors, and a partial top-k leaves each partition before the shuffle.
+    The queries are counted and meet all vectors in blocks of about QUERY_BLOCK
+    of them, each of which is broadcast; a partial top-k leaves each partition
+    before the shuffle.
     """
-    q = queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
-    pairs = vectors.crossJoin(F.broadcast(q)).where("vec_id <> qid").select("qid", "vec_id", F.round(dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        q = mine.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"))
+        pairs = vectors.crossJoin(F.broadcast(q)).where("vec_id <> qid").select("qid", "vec_id", F.round(dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
+        best = pairs.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+        out = best if out is None else out.union(best)
+    return out
 
 
 _DOT = "list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE)))"

@@ -148,7 +148,5 @@ sql_query(
 )
 sql_query("effective_sample_size", "SELECT event_type, round(1e0 / avg((w / m) * (w / m)), 6) AS ess FROM (SELECT event_type, w, avg(w) OVER (PARTITION BY event_type) AS m FROM (SELECT event_type, least(exp((value - 30) / 100e0), 2e0) AS w FROM {events})) GROUP BY event_type")
 sql_query("rollout_divergence", "SELECT event_type, round(avg(d), 6) AS kl, round(avg(exp(-d) + d - 1), 6) AS k3, round(exp(avg(d)), 6) AS ppl, round(avg(exp(2 * d)) - 1, 6) AS chi2 FROM (SELECT event_type, (value - 30) / 100e0 AS d FROM {events}) GROUP BY event_type")
-sql_query("threshold_mask", "SELECT user_id, max(abs(d)) <= 1.5 AND avg(d) BETWEEN -0.2 AND 0.2 AND sum(d * d) / 2 <= 40 AS keep FROM (SELECT user_id, (value - 30) / 100e0 AS d FROM {events}) GROUP BY user_id")
-sql_query("vote_combiner", "SELECT doc_id, CASE WHEN a = -1 OR b = -1 OR c = -1 THEN -1 WHEN a = 1 AND b = 1 AND c = 1 THEN 1 ELSE 0 END AS vote FROM (SELECT doc_id, CAST(doc_id % 3 - 1 AS INT) AS a, CAST(doc_id % 2 AS INT) AS b, CAST(n_chars % 2 AS INT) AS c FROM {documents})")
 sql_query("rounding_steps", "SELECT p_partkey, CAST(bround(p_retailprice / 5e0) * 5 AS DOUBLE) AS price FROM {part}", "SELECT p_partkey, CAST(round_even(p_retailprice / 5e0, 0) * 5 AS DOUBLE) AS price FROM part")
 sql_query("config_grid", "SELECT k, v, q FROM (SELECT CAST(r_regionkey + 1 AS INT) AS k FROM {region}) a CROSS JOIN (SELECT CAST(r_regionkey + 1 AS INT) AS v FROM {region}) b CROSS JOIN (SELECT CAST(r_regionkey + 1 AS INT) AS q FROM {region}) c WHERE k * v <= 16 AND q <= least(k, 6)")

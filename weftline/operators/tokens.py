@@ -78,7 +78,6 @@ def generalised_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 sql_query("renamed_roles", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker FROM {conversations}")
 sql_query("overlong_filter", "SELECT doc_id FROM {documents} WHERE size(filter(split(text, '[ \\\\t\\\\n\\\\r\\\\f\\\\x0B]+'), w -> w <> '')) <= 500", "SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) <= 500")
-sql_query("placeholder_segments", "SELECT doc_id, pos, kind FROM (SELECT doc_id, split('<image>' || source || '<video>' || lang, '(?=<)|(?<=>)') AS parts FROM {documents}) LATERAL VIEW posexplode(transform(filter(parts, p -> p <> ''), p -> CASE WHEN p = '<image>' THEN 'image' WHEN p = '<video>' THEN 'video' ELSE 'text' END)) t AS pos, kind", "SELECT doc_id, CAST(i AS INTEGER) AS pos, ['image', 'text', 'video', 'text'][i + 1] AS kind FROM documents, range(4) t(i)")
 sql_query("lookup_in_array", "SELECT user_id, element_at(vals, CAST(array_position(types, 'click') AS INT)) AS clicked FROM (SELECT user_id, transform(array_sort(collect_list(struct(event_type, m))), s -> s.event_type) AS types, transform(array_sort(collect_list(struct(event_type, m))), s -> s.m) AS vals FROM (SELECT user_id, event_type, round(max(value), 6) AS m FROM {events} GROUP BY user_id, event_type) GROUP BY user_id) WHERE array_contains(types, 'click')", "SELECT user_id, round(max(value), 6) AS clicked FROM events WHERE event_type = 'click' GROUP BY user_id")
 sql_query("template_by_batch", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'A: ' || event_type ELSE 'B: ' || event_type END AS prompt FROM {events}")
 sql_query("projection_with_fallback", "SELECT d.doc_id, coalesce(l.quality, d.n_chars % 2, -1) AS truth, 'search_' || d.source AS origin FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT d.doc_id, coalesce(l.quality, d.n_chars % 2, -1) AS truth, 'search_' || d.source AS origin FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -87,8 +86,6 @@ sql_query("retrieval_top_up", "SELECT doc_id FROM (SELECT d.doc_id, row_number()
 sql_query("horizontal_concat", "SELECT o.o_orderkey, l.lines, o.o_totalprice FROM {orders} o JOIN (SELECT l_orderkey, count(*) AS lines FROM {lineitem} GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey")
 sql_query("paragraph_offsets", "SELECT doc_id, par, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY par ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, n FROM (SELECT doc_id, par, CAST(length(line) AS BIGINT) AS n FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS par, line)", "SELECT doc_id, par, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY par ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char, n FROM (SELECT doc_id, CAST(i - 1 AS INTEGER) AS par, length(lines[i]) AS n FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)))")
 sql_query("level_filter", "SELECT p_partkey FROM {part} WHERE substr(p_brand, length(p_brand), 1) BETWEEN '2' AND '4' AND p_type NOT LIKE '%STEEL%'")
-sql_query("index_shift", "SELECT event_id, user_id % 4 AS gold, event_type <> 'view' AS difficult FROM {events}")
-sql_query("tool_calls", "SELECT event_id, get_json_object(regexp_extract('<tool_call>' || props || '</tool_call>', '<tool_call>(.*?)</tool_call>', 1), '$.k') AS arg FROM {events}", "SELECT event_id, json_extract_string(props, '$.k') AS arg FROM events")
 sql_query("column_to_lists", "SELECT user_id, count(*) AS n, array_join(transform(array_sort(collect_list(struct(event_id, event_type))), s -> s.event_type), ',') AS types FROM {events} GROUP BY user_id", "SELECT user_id, count(*) AS n, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events GROUP BY user_id")
 sql_query("split_columns", "SELECT vec_id, half, round(aggregate(slice(embedding, half * 32 + 1, 32), 0D, (a, x) -> a + x), 5) AS total FROM {embeddings} LATERAL VIEW explode(array(0, 1)) t AS half", "SELECT vec_id, half, round(list_sum(list_transform(embedding[half * 32 + 1 : half * 32 + 32], lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings, (SELECT CAST(range AS INTEGER) AS half FROM range(2))")
 sql_query("batch_repeat_order", "SELECT doc_id, rep, mini FROM {documents} LATERAL VIEW explode(sequence(0, 1)) a AS rep LATERAL VIEW explode(sequence(0, 2)) b AS mini WHERE doc_id < (SELECT floor(count(*) / 8) * 8 FROM {documents})", "SELECT doc_id, CAST(a.range AS INTEGER) AS rep, CAST(b.range AS INTEGER) AS mini FROM documents, range(2) a, range(3) b WHERE doc_id < (SELECT floor(count(*) / 8) * 8 FROM documents)")
