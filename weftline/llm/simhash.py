@@ -16,7 +16,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,11 +69,12 @@ def anchor_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fingerprints(docs: DataFrame, text: str = "text", k: int = 3) -> DataFrame:
     """``docs`` with a column ``fp``: the SimHash of its ``k``-word shingles as a signed 64-bit number."""
 
-    @F.pandas_udf("bigint")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash64(t, k) for t in texts], dtype=np.uint64).view(np.int64))
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array(np.array([simhash64(t.as_py(), k) for t in batch], dtype=np.uint64).view(np.int64))
+        release()
 
-    return docs.withColumn("fp", of(F.col(text)))
+    return docs.withColumn("fp", F.arrow_udf(of, "bigint")(F.col(text)))
 
 
 def near_links(fps: DataFrame, near: int = NEAR_BITS) -> DataFrame:
@@ -231,6 +231,7 @@ def anchor_stars(fps: DataFrame, near: int) -> DataFrame:
                 part, mine = fp[at : at + 20_000], rows[at : at + 20_000]
                 index, key, home = anchor_rows(part.view(np.uint64).reshape(-1, 1))
                 yield pa.record_batch([pa.array(key), pa.array(part[index]), pa.array(mine[index]), pa.array(home)], names=["anchor", "fp", "row", "home"])
+        release()
 
     spreaded = written(fps.select("fp", "row").mapInArrow(expand, "anchor bigint, fp bigint, row bigint, home boolean"), "nearanchors")
     centres = spreaded.where("home").groupBy("anchor").agg(F.min(F.struct("row", "fp")).alias("c"))

@@ -20,13 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import join_ids, read_table, written
-from weftline.llm.pyworker import WORD, gram_hashes, word_hashes
+from weftline.llm.pyworker import WORD, gram_hashes, release, word_hashes
 
 PASSAGE = 50
 GRAM = 10
@@ -122,6 +121,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage
             ids, found = batch.column(0).to_numpy(zero_copy_only=False), [np.unique(retained(t.as_py(), passage, gram)[1]) for t in batch.column(1)]
             rows = np.repeat(ids, [len(x) for x in found]).astype(np.int64)
             yield pa.record_batch([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)), pa.array(rows), pa.array(np.zeros(len(rows), np.int32))], names=["h", "id", "start"])
+        release()
 
     agree = neighbours(written(singles.mapInArrow(suffixes, "h bigint, id bigint, start int"), "suffixes"))
     agree = written(agree.select("id", "h").union(agree.select("first_id", "h").distinct()), "agree")
@@ -139,6 +139,7 @@ def repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", passage
                     found = []
             if found:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["id", "start", "h"])
+        release()
 
     some = join_ids(singles, mine.select("id"), "left_semi")
     stretches = written(some.join(mine, "id").mapInArrow(extend, "id bigint, start int, h bigint"), "stretches")
@@ -185,9 +186,10 @@ def cut_repeats(docs: DataFrame, passage: int = PASSAGE) -> DataFrame:
     found = written(repeats(docs, passage=passage).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("spans")), "spans")
     ids = found.select("doc_id")
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([without_words(t, [(r["start_word"], r["n_words"]) for r in s]) for t, s in zip(texts, spans, strict=True)])
+    def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([without_words(t.as_py(), [(r["start_word"], r["n_words"]) for r in s.as_py()]) for t, s in zip(texts, spans, strict=True)], pa.string())
+
+    cut = F.arrow_udf(cut, "string")
 
     whole = join_ids(docs, ids, "left_anti")
     rest = join_ids(docs, ids, "left_semi").where(F.col("text").isNotNull()).join(found, "doc_id").withColumn("text", cut("text", "spans"))

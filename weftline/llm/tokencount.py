@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,13 +141,12 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, text: str = "te
     """
     packed = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary or default_vocabulary()))
 
-    @F.pandas_udf("bigint")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = Counter(packed.value)
         for batch in texts:
-            yield pd.Series([counter.count(t) for t in batch], dtype="int64")
+            yield pa.array([counter.count(t.as_py()) for t in batch], pa.int64())
 
-    return docs.withColumn("n_tokens", of(F.col(text)))
+    return docs.withColumn("n_tokens", F.arrow_udf(of, "bigint")(F.col(text)))
 
 
 def op4_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import read_table, written
-from weftline.llm.pyworker import word_lists
+from weftline.llm.pyworker import release, word_lists
 
 #: Bounds of the training sample: documents of each class, and of each at most so many stretches of so many characters, spread evenly over a longer text.
 TRAIN_DOCS = 2000
@@ -192,14 +192,15 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     """``docs`` with a column ``score``, the chance (0 to 1) that a text is toxic, from its whole text. Null and blank texts get the score of no windows."""
     packed = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = packed.value
         o, t = m.encoders()
         for batch in texts:
-            x = np.array([features(s, o, t) for s in batch]).reshape(len(batch), -1)
-            yield pd.Series(m.score(x) if len(x) else np.empty(0))
+            x = np.array([features(s.as_py(), o, t) for s in batch]).reshape(len(batch), -1)
+            yield pa.array(m.score(x) if len(x) else np.empty(0))
+        release()
 
+    of = F.arrow_udf(of, "double")
     return docs.withColumn("score", of(F.col(text)))
 
 
