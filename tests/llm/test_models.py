@@ -34,6 +34,24 @@ def test_token_counts_match_the_tokenizer(spark, odd, odd_rows, vocabulary):
     assert sorted(r["n_tokens"] for r in tokencount.count_tokens(odd).collect()) == sorted(counter.count(t) for _, t, _ in odd_rows)
 
 
+def test_token_counts_with_fractional_scores():
+    """A vocabulary with log-probabilities, not whole numbers: stretches counted apart give what the tokenizer gives for the whole text."""
+    from tokenizers import Tokenizer, models
+
+    r = random.Random(12)
+    pieces = {"▁": -3.3, **{c: -5.0 - r.random() for c in "abcdefgh"}}
+    while len(pieces) < 300:
+        body = "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 6)))
+        pieces[("▁" if r.random() < 0.4 else "") + body] = -2.0 - 8 * r.random()
+    vocabulary = tokencount.Vocabulary(pieces, False)
+    tokenizer = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces.items()], unk_id=0, byte_fallback=False))
+    counter = tokencount.Counter(vocabulary)
+    assert counter.cuts
+    for _ in range(200):
+        t = " ".join("".join(r.choice("abcdefghé") for _ in range(r.randrange(1, 12))) for _ in range(r.randrange(1, 15)))
+        assert counter.count(t) == len(tokenizer.encode("▁" + t.replace(" ", "▁"), add_special_tokens=False).ids)
+
+
 def test_token_ties_go_to_the_earlier_start():
     v = tokencount.Vocabulary({"a": -1.0, "b": -1.0, "ab": -2.0, "▁": 0.0}, False)
     assert tokencount.Counter(v).best("▁ab") == 2  # the whole piece was found first; its score equals that of two
