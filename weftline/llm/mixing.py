@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import read_table, words, written
+from weftline.llm.common import WORD, read_table, written
 
 #: The weights of the sources in order, and the most copies of one document.
 WEIGHTS = (5, 2, 1)
@@ -68,7 +68,8 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", id_
     places within a partition are counted from a table of one row for each
     partition and source, and no window holds a source.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source).cast("string").alias("source"), F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    sized = written(sized, "sizes")  # words are counted once, though a sort by range reads its input twice
     ranged = sized.repartitionByRange(F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id").asc_nulls_last())
     ranged = ranged.sortWithinPartitions(F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("id").asc_nulls_last())
     placed = written(ranged.withColumn("at", F.monotonically_increasing_id()), "mix")

@@ -96,7 +96,7 @@ def near_links(fps: DataFrame, near: int = NEAR_BITS) -> DataFrame:
                 row, key, home = anchor_rows(part.view(np.uint64).reshape(-1, 1))
                 yield pa.record_batch([pa.array(key), pa.array(part[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    rows = fps.select("fp").mapInArrow(expand, "anchor bigint, fp bigint, home boolean")
+    rows = written(fps.select("fp").mapInArrow(expand, "anchor bigint, fp bigint, home boolean"), "anchors")
     a = rows.where("home").select("anchor", F.col("fp").alias("a"))
     b = rows.select("anchor", F.col("fp").alias("b"))
     pairs = a.join(b.hint("merge"), (a.anchor == b.anchor) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= near))
