@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.articles import _ARTICLES, articles, expanded
 from weftline.operators.retrieval import _BM25, _DOT, bm25, dot, index_path, search, write_index
 from weftline.plans.registry import query
 from weftline.sources.tables import table
@@ -200,3 +201,20 @@ def unit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.sqrt(dot(F.col("e"), F.col("e")))
     unit = F.transform("e", lambda x: x / length)
     return v.select("vec_id", F.round(length, 5).alias("length"), F.round(F.sqrt(dot(unit, unit)), 9).alias("unit"))
+
+
+_WINDOW_DOCS = "wdocs AS (SELECT doc_id * 10000 + win AS doc_id, chunk AS text FROM windows)"
+
+
+@query(
+    "window_negatives",
+    f"WITH RECURSIVE {_ARTICLES}, {_WINDOW_DOCS}, {_BM25.replace('FROM documents', 'FROM wdocs')}, {_ANSWERS} SELECT item_id, window_id, CAST(p AS INT) AS place FROM (SELECT r.item_id, r.doc_id AS window_id, row_number() OVER (PARTITION BY r.item_id ORDER BY r.rank) AS p FROM r JOIN items USING (item_id) JOIN wdocs d ON d.doc_id = r.doc_id WHERE r.rank <= {DEPTH} AND (r.doc_id // 10000) % 7 <> 0 AND NOT coalesce({_HELD}, false)) WHERE p <= 5",
+)
+def window_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-ranked windows of articles that aren't excluded and hold no answer; a window's id is its document's times 10,000 plus its place."""
+    w = expanded(articles(table(spark, sf_dir, "documents").select("doc_id", "text"))).select((F.col("doc_id") * 10000 + F.col("win")).alias("doc_id"), "text")
+    path = index_path(spark)
+    w.write.parquet(path + "-windows")
+    w = spark.read.parquet(path + "-windows")
+    ranked = search(write_index(w, path), items(spark, sf_dir).select("item_id", "text"), DEPTH).where("(doc_id DIV 10000) % 7 <> 0")
+    return best(without_answers(ranked, items(spark, sf_dir), w), 5, "rank").select("item_id", F.col("doc_id").alias("window_id"), "place")

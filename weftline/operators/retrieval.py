@@ -153,24 +153,64 @@ def ivf_lists(n: int) -> int:
     return lists
 
 
-@query("ivf_top_k")
-def ivf_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted-file search: k-means centroids are fitted on a bounded sample, every vector is indexed, PROBES of LISTS lists are probed for each query.
+#: Fewer vectors are searched one by one. A centroid is fitted to so many vectors at least, and all to at most SAMPLE.
+FLAT, LEAST, SAMPLE = 1_000_000, 40, 50_000
 
-    These vectors have little structure, so recall 0.9 (measured against the exact search in the tests) takes most lists.
+
+def write_vector_index(vectors: DataFrame, path: str, lists: int | None = None) -> list[list[float]]:
+    """The vectors of an inverted file as a table under ``path``, a folder for each list, and the lists' centroids, which are returned.
+
+    Centroids are fitted on a sample by hash of at most SAMPLE vectors; every
+    vector is then indexed, at unit length. ``lists`` follows ivf_lists() and
+    the number of vectors, LEAST for each.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    model = KMeans(k=LISTS, seed=3, maxIter=10).fit(v.orderBy(F.xxhash64("vec_id")).limit(10_000))
-    listed = model.transform(v).select("vec_id", "embedding", F.col("prediction").alias("list"))
-    centres = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in model.clusterCenters()))
-    near = F.slice(F.array_sort(F.transform(centres, lambda c, i: F.struct((-dot(c, F.col("embedding"))).alias("d"), i.alias("list")))), 1, PROBES)
-    probes = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qe"), F.explode(near).alias("p")).select("qid", "qe", F.col("p.list").alias("list"))
-    pairs = probes.join(listed, "list").where("qid <> vec_id").select("qid", "vec_id", F.round(dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    n = vectors.count()
+    lists = max(1, min(lists or ivf_lists(n), n // LEAST))
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    v = vectors.select("vec_id", e.alias("e")).withColumn("embedding", F.transform("e", lambda x: x / F.greatest(F.sqrt(dot(F.col("e"), F.col("e"))), F.lit(1e-12)))).drop("e")
+    v = v.withColumn("features", array_to_vector("embedding"))
+    share = min(1.0, 1.1 * SAMPLE / max(n, 1))
+    drawn = v.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 11) < F.lit(int(share * 2**53))).limit(SAMPLE)
+    model = KMeans(k=lists, seed=3, maxIter=10).fit(drawn)
+    model.transform(v).select("vec_id", "embedding", F.col("prediction").alias("list")).write.mode("overwrite").partitionBy("list").parquet(path)
+    return [[float(x) for x in c] for c in model.clusterCenters()]
+
+
+def search_vector_index(index: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int, probes: int) -> DataFrame:
+    """(qid, vec_id, score, rank): the best ``k`` by cosine among the ``probes`` lists whose centroids are nearest to a query. Queries meet lists by a join; other lists aren't read."""
+    unit = F.transform("embedding", lambda x: x.cast("double"))
+    centres = F.array(*(F.array(*(F.lit(x) for x in c)) for c in centroids))
+    near = F.slice(F.array_sort(F.transform(centres, lambda c, i: F.struct((-dot(c, F.col("qe"))).alias("d"), i.alias("list")))), 1, probes)
+    q = queries.select(F.col("vec_id").alias("qid"), unit.alias("qe"))
+    q = q.select("qid", "qe", F.explode(near).alias("p")).select("qid", "qe", F.col("p.list").alias("list"))
+    pairs = index.join(q, "list").where("qid <> vec_id")
+    scored = pairs.select("qid", "vec_id", F.round(dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank.cast("long")).where("rank <= 10")
+    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 64) -> DataFrame:
+    """vector_top_k() for up to FLAT vectors, an inverted file for more."""
+    if vectors.limit(FLAT + 1).count() <= FLAT:
+        return vector_top_k(queries, vectors, k)
+    path = index_path(vectors.sparkSession)
+    centroids = write_vector_index(vectors, path)
+    return search_vector_index(vectors.sparkSession.read.parquet(path), centroids, queries, k, probes)
+
+
+@query("ivf_top_k")
+def ivf_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted-file search for every twentieth vector: PROBES of LISTS lists.
+
+    These vectors have little structure, so recall 0.9 (measured against the exact search in the tests) takes most lists.
+    """
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = index_path(spark)
+    centroids = write_vector_index(v, path, LISTS)
+    return search_vector_index(spark.read.parquet(path), centroids, v.where("vec_id % 20 = 0"), 10, PROBES)
 
 
 def ndcg(ranking: Column, grades: Column, k: int) -> Column:
