@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import query, sql_query
+from weftline.sources.files import shared_path as index_path
 from weftline.sources.tables import table
 
 K1, B = 1.5, 0.75
@@ -34,17 +35,6 @@ def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str =
     return docs.sparkSession.read.parquet(path)
 
 
-def index_path(spark: SparkSession) -> str:
-    """An unused path in the folder that the cluster shares."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(folder or tempfile.mkdtemp(prefix='weftline-index-')).rstrip('/')}/weftline-postings-{uuid.uuid4().hex[:12]}"
-
-
 #: Up to so many distinct terms of all queries are broadcast; more are joined by a shuffle.
 ASKED = 200_000
 

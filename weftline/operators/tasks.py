@@ -22,6 +22,11 @@ from weftline.sources.tables import table
 BUDGET = 600
 
 
+def _picked(low: int, high: int, salt: str, key: str) -> str:
+    """pick() in the oracle's SQL."""
+    return f"({low} + CAST('0x' || substr(md5('{salt}:' || {key}), 1, 8) AS BIGINT) % {high - low + 1})"
+
+
 def pick(low: int, high: int, *parts: Column | str) -> Column:
     """A whole number from ``low`` to ``high``."""
     return (F.lit(low) + number(*parts) % (high - low + 1)).cast("int")
@@ -146,13 +151,22 @@ def equation(i: Column) -> tuple[Column, Column]:
     return F.format_string("%d x + %d = %d", a, b, a * x + b), x
 
 
-@query("linear_equations")
+_A, _XX, _B = (_picked(lo, hi, salt, "doc_id") for lo, hi, salt in ((2, 9, "ea"), (1, 400, "ex"), (-50, 50, "eb")))
+
+
+@query("linear_equations", f"SELECT doc_id, {_A} || ' x + ' || {_B} || ' = ' || ({_A} * {_XX} + {_B}) AS equation, CAST({_XX} AS INT) AS solution FROM documents")
 def linear_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, x = equation(F.col("doc_id"))
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("equation"), x.alias("solution"))
 
 
-@query("integer_expressions")
+_E = [_picked(lo, hi, salt, "doc_id") for lo, hi, salt in ((2, 40, "a"), (2, 40, "b"), (2, 9, "c"), (0, 2, "kind"))]
+
+
+@query(
+    "integer_expressions",
+    f"SELECT doc_id, CASE kind WHEN 0 THEN '(' || a || ' + ' || b || ') * ' || c WHEN 1 THEN a || ' * ' || c || ' + ' || b ELSE b || ' * ' || c || ' + ' || a END AS expression, CAST(CASE kind WHEN 0 THEN a * c + b * c WHEN 1 THEN b + c * a ELSE a + c * b END AS INT) AS value FROM (SELECT doc_id, {_E[0]} AS a, {_E[1]} AS b, {_E[2]} AS c, {_E[3]} AS kind FROM documents)",
+)
 def integer_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, value = expression(F.col("doc_id"))
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("expression"), value.alias("value"))
@@ -172,7 +186,10 @@ def solve_and_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- short context ---
 
 
-@query("filtered_prompts")
+@query(
+    "filtered_prompts",
+    f"SELECT doc_id, 'Solve: ' || left(text, 200) AS prompt, split FROM (SELECT *, CASE WHEN {_picked(0, 9, 'split', 'doc_id')} = 0 THEN 'validation' ELSE 'train' END AS split FROM documents WHERE NOT regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]')) WHERE split = 'validation' OR (CAST('0x' || substr(md5('half:' || doc_id), 1, 8) AS BIGINT) + 1) / 4294967296.0 <= 0.5",
+)
 def filtered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts without CJK characters, a tenth by hash for validation, and of the rest the first half in a random order for training."""
     d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x{4e00}-\x{9fff}]")).select("doc_id", "text")
@@ -200,7 +217,10 @@ def multiple_choice_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("p_partkey", F.concat(F.lit("The price of "), F.col("p_name"), F.lit("?\n"), lines).alias("prompt"), letter.alias("answer"), F.format_number(p, 2).alias("value"))
 
 
-@query("shuffled_options")
+@query(
+    "shuffled_options",
+    "WITH o AS (SELECT item_id, list(k ORDER BY h, k) AS ks FROM (SELECT item_id, k, CAST('0x' || substr(md5('options:' || item_id || ':' || k), 1, 8) AS BIGINT) AS h FROM benchmark, (SELECT CAST(unnest(range(4)) AS INT) AS k)) GROUP BY item_id) SELECT item_id, ks AS \"order\", substr('ABCD', list_position(ks, 0), 1) AS letter FROM o",
+)
 def shuffled_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four options in a random order, and the letter of the one that was first."""
     order = shuffled(F.sequence(F.lit(0), F.lit(3)), "options", F.col("item_id"))

@@ -79,7 +79,6 @@ def generalised_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql_query("renamed_roles", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END AS speaker FROM {conversations}")
 sql_query("overlong_filter", "SELECT doc_id FROM {documents} WHERE size(filter(split(text, '[ \\\\t\\\\n\\\\r\\\\f\\\\x0B]+'), w -> w <> '')) <= 500", "SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) <= 500")
 sql_query("lookup_in_array", "SELECT user_id, element_at(vals, CAST(array_position(types, 'click') AS INT)) AS clicked FROM (SELECT user_id, transform(array_sort(collect_list(struct(event_type, m))), s -> s.event_type) AS types, transform(array_sort(collect_list(struct(event_type, m))), s -> s.m) AS vals FROM (SELECT user_id, event_type, round(max(value), 6) AS m FROM {events} GROUP BY user_id, event_type) GROUP BY user_id) WHERE array_contains(types, 'click')", "SELECT user_id, round(max(value), 6) AS clicked FROM events WHERE event_type = 'click' GROUP BY user_id")
-sql_query("template_by_batch", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'A: ' || event_type ELSE 'B: ' || event_type END AS prompt FROM {events}")
 sql_query("projection_with_fallback", "SELECT d.doc_id, coalesce(l.quality, d.n_chars % 2, -1) AS truth, 'search_' || d.source AS origin FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT d.doc_id, coalesce(l.quality, d.n_chars % 2, -1) AS truth, 'search_' || d.source AS origin FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 sql_query("label_filter", "SELECT doc_id FROM {documents} WHERE length(source) > 0 AND lang IS NOT NULL")
 sql_query("retrieval_top_up", "SELECT doc_id FROM (SELECT d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS rn FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id LEFT ANTI JOIN {benchmark} b ON d.text = b.text) WHERE rn <= 5", "SELECT doc_id FROM (SELECT d.doc_id, row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS rn FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM benchmark b WHERE b.text = d.text)) WHERE rn <= 5")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.operators import articles, collation, corrections, generators, groupstats, metrics, negatives, packing, relational, retrieval, sampling, scoring, streams, tasks, textqueries, tokens  # noqa: F401
+from weftline.operators import articles, collation, corrections, generators, groupstats, metrics, negatives, packing, relational, retrieval, sampling, scans, scoring, streams, tasks, textqueries, tokens  # noqa: F401
 from weftline.plans.oracles import INDEPENDENT
 from weftline.plans.registry import ORACLES, QUERIES, Query
 

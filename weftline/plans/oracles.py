@@ -41,7 +41,6 @@ INDEPENDENT = {
     "renamed_roles": "SELECT conv_id, turn, coalesce(map {'user': 'human', 'assistant': 'gpt'}[role], role) AS speaker FROM conversations",
     "question_position": "SELECT item_id, md5(replace(['@ Q', 'Q @', 'Q @ Q'][CAST(item_id % 3 + 1 AS INT)], '@', text)) AS digest FROM benchmark",
     "demo_formats": "SELECT doc_id, lang || [' | ', ' -> ', ' (', ': '][CAST(doc_id % 4 + 1 AS INT)] || source || CASE WHEN doc_id % 4 = 2 THEN ')' ELSE '' END AS demo FROM documents",
-    "template_by_batch": "SELECT event_id, CASE event_type WHEN 'click' THEN 'A: click' WHEN 'view' THEN 'A: view' ELSE 'B: ' || event_type END AS prompt FROM events",
     "level_filter": "SELECT p_partkey FROM part WHERE regexp_matches(p_brand, '[2-4]$') AND NOT contains(p_type, 'STEEL')",
     "loss_mask": "SELECT conv_id, coalesce(CAST(sum(length(text)) FILTER (WHERE role = 'assistant') AS BIGINT), 0) AS trained, coalesce(CAST(sum(length(text)) FILTER (WHERE role <> 'assistant') AS BIGINT), 0) AS ignored FROM conversations GROUP BY conv_id",
     "control_prefix": "SELECT doc_id, md5(CASE WHEN starts_with(text, 'Section::::') THEN substr(text, 12) WHEN starts_with(text, 'BULLET::::') THEN substr(text, 11) WHEN starts_with(text, 'NUMBERED::::') THEN substr(text, 13) ELSE text END) AS digest FROM documents",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +80,30 @@ def _store(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path in whatever store it is. A session that has ended has nothing left to delete with."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jvm is None:
+        return
+    try:
+        target, store = _store(spark, path)
+        store.delete(target, True)
+    except Exception:  # noqa: BLE001  the gateway may be gone when the interpreter ends
+        return
+
+
+def shared_path(spark: SparkSession) -> str:
+    """An unused path in a folder of its own in spark.checkpoint.dir, which all executors share; the folder goes when the driver ends. A local session may leave the setting unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="weftline-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    own = f"{folder.rstrip('/')}/weftline-{uuid.uuid4().hex[:12]}"
+    atexit.register(remove, spark, own)
+    return f"{own}/data"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target, store = _store(spark, path)
     return store.exists(target)
@@ -90,8 +119,6 @@ def first_source(spark: SparkSession, paths: list[str]) -> str:
 
 def cached_copy(spark: SparkSession, path: str, cache: str, again: bool = False) -> str:
     """A copy of a file or folder in the shared folder ``cache``, named by the MD5 of its path; made once, or ``again``."""
-    import hashlib
-
     target = f"{cache.rstrip('/')}/{hashlib.md5(path.encode()).hexdigest()}/{path.rstrip('/').rsplit('/', 1)[-1]}"
     if again or not exists(spark, target):
         (a, from_store), (b, to_store) = _store(spark, path), _store(spark, target)
