@@ -37,6 +37,18 @@ def test_text_functions(spark):
     assert one(spark, T.context_size(F.lit("1.5k"))) == 1500
 
 
+def test_discounted_over_blocks(spark, monkeypatch):
+    rows = [("a", i, float(i % 7)) for i in range(100)] + [("b", i, 1.0) for i in range(3)]
+    want = {}
+    for g in "ab":
+        run = 0.0
+        for _, i, v in sorted((r for r in rows if r[0] == g), reverse=True):
+            run = want[g, i] = v + 0.9 * run
+    monkeypatch.setattr(groupstats, "BLOCK", 8)
+    got = groupstats.discounted(spark.createDataFrame(rows, "g string, i int, v double"), ["g"], "i", "v", 0.9).collect()
+    assert {(r["g"], r["i"]): pytest.approx(r["ret"]) for r in got} == want
+
+
 def test_discounted_returns(spark):
     got = one(spark, groupstats.discounted_returns(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), 0.5))
     assert got == [3.0, 4.0, 4.0]

@@ -201,10 +201,43 @@ def reverse_cumulative_return(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollouts(spark, sf_dir).select("event_id", F.round(F.sum("value").over(w), 6).alias("ret"))
 
 
-def discounted_returns(rewards: Column, gamma: float) -> Column:
-    """R_t = r_t + gamma R_(t+1) over an array, last to first."""
-    step = lambda acc, r: F.array_append(acc, r + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) * gamma)
-    return F.reverse(F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), step))
+def discounted_returns(rewards: Column, gamma: float, after: Column | None = None) -> Column:
+    """R_t = r_t + gamma R_(t+1) over an array, last to first; ``after`` is the return that follows it, 0 by default. For arrays of a block's length."""
+    start = F.struct(F.array().cast("array<double>").alias("out"), (F.lit(0.0) if after is None else after).alias("run"))
+
+    def step(a: Column, r: Column) -> Column:
+        x = r + gamma * a["run"]
+        return F.struct(F.array_append(a["out"], x).alias("out"), x.alias("run"))
+
+    return F.reverse(F.aggregate(F.reverse(rewards), start, step, lambda a: a["out"]))
+
+
+#: Steps of a block of a trajectory.
+BLOCK = 256
+
+
+def discounted(rows: DataFrame, group: list[str], order: str, value: str, gamma: float) -> DataFrame:
+    """``rows`` (group, order, value) with ``ret``, the discounted sum of the value from a row to its trajectory's end.
+
+    Trajectories are cut into blocks of BLOCK steps. A block's own sum comes
+    from its array; what follows a block is a discounted sum over the blocks of
+    its trajectory, an array BLOCK times shorter. So no array is as long as a
+    trajectory, and work is in proportion to it.
+    """
+    w = Window.partitionBy(*group).orderBy(order)
+    r = rows.select(*group, order, F.col(value).cast("double").alias("_v")).withColumn("_b", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int"))
+    blocks = r.groupBy(*group, "_b").agg(F.array_sort(F.collect_list(F.struct(order, "_v"))).alias("_s"))
+    blocks = blocks.withColumn("_own", F.get(discounted_returns(F.col("_s._v"), gamma), F.lit(0)))
+    chain = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_b", "_own", F.size("_s").alias("_n")))).alias("_c"))
+    begin = F.struct(F.array().cast("array<struct<b: int, after: double>>").alias("out"), F.lit(0.0).alias("run"))
+
+    def step(a: Column, c: Column) -> Column:
+        out = F.array_append(a["out"], F.struct(c["_b"].alias("b"), a["run"].alias("after")))
+        return F.struct(out.alias("out"), (c["_own"] + F.pow(F.lit(gamma), c["_n"].cast("double")) * a["run"]).alias("run"))
+
+    after = chain.select(*group, F.explode(F.aggregate(F.reverse("_c"), begin, step, lambda a: a["out"])).alias("_a")).select(*group, F.col("_a.b").alias("_b"), "_a.after")
+    rets = blocks.join(after, [*group, "_b"]).select(*group, F.explode(F.arrays_zip(F.col(f"_s.{order}").alias("_o"), discounted_returns(F.col("_s._v"), gamma, F.col("after")).alias("_r"))).alias("_z"))
+    return rets.select(*group, F.col("_z._o").alias(order), F.col("_z._r").alias("ret"))
 
 
 @query(
@@ -215,10 +248,9 @@ def discounted_returns(rewards: Column, gamma: float) -> Column:
     SELECT event_id, round(ret, 6) AS ret FROM r""",
 )
 def discounted_returns_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discounted returns over the steps of each user, whose arrays hold a trajectory each."""
-    g = rollouts(spark, sf_dir).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    g = g.select(F.col("s.event_id").alias("ids"), discounted_returns(F.col("s.value"), 0.875).alias("rets"))
-    return g.select(F.explode(F.arrays_zip("ids", "rets")).alias("z")).select(F.col("z.ids").alias("event_id"), F.round("z.rets", 6).alias("ret"))
+    """Discounted returns over the steps of each user."""
+    d = discounted(rollouts(spark, sf_dir).select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 0.875)
+    return d.select("event_id", F.round("ret", 6).alias("ret"))
 
 
 @query(

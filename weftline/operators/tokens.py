@@ -6,10 +6,10 @@ trajectory: ``value`` is the reward, k the token, and k over 95 a stop.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.groupstats import RO, rollouts
+from weftline.operators.groupstats import RO, discounted, rollouts
 from weftline.plans.registry import query, sql_query
 
 R = "(SELECT event_id, user_id, event_type, value, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events})"
@@ -48,30 +48,19 @@ steps("positive_rank_interleave", "SELECT event_id, row_number() OVER (PARTITION
 steps("running_moments_by_batch", "SELECT batch, round(sum(s) OVER o / (sum(n) OVER o + 1e-3), 6) AS mean, round((sum(q) OVER o - sum(s) OVER o * sum(s) OVER o / sum(n) OVER o) / (sum(n) OVER o - 1), 4) AS variance FROM (SELECT CAST(floor(event_id / 100) AS BIGINT) AS batch, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM $R GROUP BY CAST(floor(event_id / 100) AS BIGINT)) WINDOW o AS (ORDER BY batch)")
 
 
-def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
-    """Generalised advantages of arrays of rewards and value estimates, last to first."""
-    zipped = F.reverse(F.zip_with(rewards, values, lambda r, v: F.struct(r.alias("r"), v.alias("v"))))
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("a"), F.lit(0.0).alias("v"))
-
-    def step(acc: Column, x: Column) -> Column:
-        a = x["r"] + gamma * acc["v"] - x["v"] + gamma * lam * acc["a"]
-        return F.struct(F.array_append(acc["out"], a).alias("out"), a.alias("a"), x["v"].alias("v"))
-
-    return F.reverse(F.aggregate(zipped, start, step, lambda acc: acc["out"]))
-
-
 @query(
     "generalised_advantages",
     f"""WITH RECURSIVE s AS (SELECT user_id, event_id, value AS r, k * 0.5e0 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM {RO}),
     g AS (SELECT user_id, event_id, rn, v, r - v AS a FROM s WHERE rn = 1 UNION ALL
     SELECT s.user_id, s.event_id, s.rn, s.v, s.r + 0.5e0 * g.v - s.v + 0.25e0 * g.a FROM s JOIN g ON s.user_id = g.user_id AND s.rn = g.rn + 1)
-    SELECT event_id, a AS advantage FROM g""",
+    SELECT event_id, round(a, 6) AS advantage FROM g""",
 )
 def generalised_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.array_sort(F.collect_list(F.struct("event_id", "value", (F.col("k") * 0.5).alias("v"))))
-    g = rollouts(spark, sf_dir).groupBy("user_id").agg(s.alias("s"))
-    g = g.select(F.col("s.event_id").alias("ids"), gae(F.col("s.value"), F.col("s.v"), 0.5, 0.5).alias("adv"))
-    return g.select(F.explode(F.arrays_zip("ids", "adv")).alias("z")).select(F.col("z.ids").alias("event_id"), F.col("z.adv").alias("advantage"))
+    """The discounted sum, by gamma times lambda, of each step's reward and next value less its own."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    v = F.col("k") * 0.5
+    d = rollouts(spark, sf_dir).select("user_id", "event_id", (F.col("value") + 0.5 * F.coalesce(F.lead(v).over(w), F.lit(0.0)) - v).alias("delta"))
+    return discounted(d, ["user_id"], "event_id", "delta", 0.25).select("event_id", F.round("ret", 6).alias("advantage"))
 
 
 # --- messages and rows ---
