@@ -167,11 +167,11 @@ _FIFTEEN = [f"{a} {op} {b}" for a in ("value", "k", "value * 0.5") for op, b in
 
 @query(
     "fifteen_moments",
-    f"SELECT event_type, {', '.join(f'round(sum({e}) / count(*), 2) AS mean_{i}, round(sqrt(greatest(var_pop({e}) * count(*) / (count(*) - 1), 0)), 2) AS std_{i}' for i, e in enumerate(_FIFTEEN))} FROM {RO} GROUP BY event_type",
+    f"SELECT event_type, {', '.join(f'round(sum({e}) / count(*), 6) AS mean_{i}, round(sqrt(greatest(var_pop({e}) * count(*) / (count(*) - 1), 0)), 5) AS std_{i}' for i, e in enumerate(_FIFTEEN))} FROM {RO} GROUP BY event_type",
 )
 def fifteen_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and sample deviation of fifteen metrics in one aggregate."""
-    both = [x for i, e in enumerate(_FIFTEEN) for x in (F.round(F.avg(F.expr(e)), 2).alias(f"mean_{i}"), F.round(F.stddev_samp(F.expr(e)), 2).alias(f"std_{i}"))]
+    both = [x for i, e in enumerate(_FIFTEEN) for x in (F.round(F.avg(F.expr(e)), 6).alias(f"mean_{i}"), F.round(F.stddev_samp(F.expr(e)), 5).alias(f"std_{i}"))]
     return rollouts(spark, sf_dir).groupBy("event_type").agg(*both)
 
 
