@@ -162,7 +162,7 @@ def truncate_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("vec_id", "label", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 5).alias("head_sum"), F.size("embedding").alias("n_first"), F.size("places").alias("n_second"))
 
 
-_FIFTEEN = [f"{a} {op} {b}" for a in ("value", "k", "value * 0.5") for op, b in (("+", "1"), ("*", "2"), ("-", "k * 0.25"), ("*", "k"), ("+", "value"))]
+_FIFTEEN = [f"({a} {op} {b}) / 7e0" for a in ("value", "k", "value * 0.5") for op, b in (("+", "1"), ("*", "2"), ("-", "k * 0.25"), ("*", "k"), ("+", "value"))]
 
 
 @query(
