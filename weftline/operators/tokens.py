@@ -45,7 +45,26 @@ steps(
     "SELECT a.k AS first_token, b.k AS second_token, c.k AS next_token, count(*) AS n FROM (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM $R) a JOIN (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM $R) b ON a.user_id = b.user_id AND b.p = a.p + 1 JOIN (SELECT user_id, k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM $R) c ON b.user_id = c.user_id AND c.p = b.p + 1 GROUP BY a.k, b.k, c.k",
 )
 steps("positive_rank_interleave", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY rn, event_type) AS pos FROM (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM $R)", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY rn, event_type) AS INTEGER) AS pos FROM (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM $R)")
-steps("running_moments_by_batch", "SELECT batch, round(sum(s) OVER o / (sum(n) OVER o + 1e-3), 6) AS mean, round((sum(q) OVER o - sum(s) OVER o * sum(s) OVER o / sum(n) OVER o) / (sum(n) OVER o - 1), 4) AS variance FROM (SELECT CAST(floor(event_id / 100) AS BIGINT) AS batch, count(*) AS n, sum(value) AS s, sum(value * value) AS q FROM $R GROUP BY CAST(floor(event_id / 100) AS BIGINT)) WINDOW o AS (ORDER BY batch)")
+
+
+def running_sums(rows: DataFrame, key: str, *names: str) -> DataFrame:
+    """``rows``, one for each whole number ``key``, with the sum of each column up to it. Sums of 1,024 keys come first, so that no window holds all rows."""
+    d = rows.withColumn("_block", F.floor(F.col(key) / 1024))
+    w = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = d.groupBy("_block").agg(*(F.sum(n).alias(n) for n in names))
+    before = totals.select("_block", *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"_{n}") for n in names))
+    own = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return d.withColumns({f"_own_{n}": F.sum(n).over(own) for n in names}).join(before, "_block").select(key, *((F.col(f"_own_{n}") + F.col(f"_{n}")).alias(n) for n in names))
+
+
+@query("running_moments_by_batch")
+def running_moments_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and variance of all values up to each batch of a hundred, from mergeable sums."""
+    b = rollouts(spark, sf_dir).groupBy(F.expr("event_id DIV 100").alias("batch")).agg(F.count("*").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    r = running_sums(b, "batch", "n", "s", "q")
+    return r.select("batch", F.round(F.col("s") / (F.col("n") + 1e-3), 6).alias("mean"), F.round((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1), 4).alias("variance"))
+
+
 
 
 @query(
