@@ -333,10 +333,10 @@ def format_and_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(0.9 * right + 0.1 * A.boxed_format(F.col("s")), 6).alias("score"))
 
 
-#: Which scorer each origin has; an origin that begins with "aime" has the signed one.
+#: Which scorer each origin has, by its name without the part before a slash; one that begins with "aime" has the signed one.
 SCORERS = {
-    "openai/gsm8k": "last_number", "lighteval/MATH": "boxed", "DigitalLearningGmbH/MATH-lighteval": "boxed", "HuggingFaceH4/MATH-500": "boxed", "math_dapo": "signed", "math": "signed", "math_dapo_reasoning": "signed",
-    "numina_aops_forum": "value", "numina_synthetic_math": "value", "numina_amc_aime": "value", "numina_synthetic_amc": "value", "numina_cn_k12": "value", "numina_olympiads": "value", "hiyouga/geometry3k": "geometry",
+    "gsm8k": "last_number", "MATH": "boxed", "MATH-lighteval": "boxed", "MATH-500": "boxed", "math_dapo": "signed", "math": "signed", "math_dapo_reasoning": "signed",
+    "numina_aops_forum": "value", "numina_synthetic_math": "value", "numina_amc_aime": "value", "numina_synthetic_amc": "value", "numina_cn_k12": "value", "numina_olympiads": "value", "geometry3k": "geometry",
     "searchR1_nq": "tagged", "searchR1_triviaqa": "tagged", "searchR1_popqa": "tagged", "searchR1_hotpotqa": "tagged", "searchR1_2wikimultihopqa": "tagged", "searchR1_musique": "tagged", "searchR1_bamboogle": "tagged",
 }
 
@@ -351,14 +351,15 @@ def routed_score(origin, s, truth):
         "geometry": 0.9 * maths.answers_equal(box, truth).cast("double") + 0.1 * A.boxed_format(s), "tagged": A.tagged_exact_match(s, F.array(truth)),
     }
     kinds = F.create_map(*(x for k, v in SCORERS.items() for x in (F.lit(k), F.lit(v))))
-    kind = F.when(origin.startswith("aime"), F.lit("signed")).otherwise(F.try_element_at(kinds, origin))
+    name = F.element_at(F.split(origin, "/"), -1)
+    kind = F.when(name.startswith("aime"), F.lit("signed")).otherwise(F.try_element_at(kinds, name))
     chain = F.when(kind.isNull(), F.raise_error(F.concat(F.lit("no scorer for "), origin)).cast("double"))
-    for name, score in scorers.items():
-        chain = chain.when(kind == name, F.coalesce(score, F.lit(0.0)))
+    for scorer, score in scorers.items():
+        chain = chain.when(kind == scorer, F.coalesce(score, F.lit(0.0)))
     return chain
 
 
-_KINDS = "['openai/gsm8k', 'lighteval/MATH', 'aime24', 'numina_cn_k12', 'hiyouga/geometry3k', 'searchR1_nq']"
+_KINDS = "['a/gsm8k', 'b/MATH', 'aime24', 'numina_cn_k12', 'c/geometry3k', 'searchR1_nq']"
 
 
 @query(
