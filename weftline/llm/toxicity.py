@@ -36,7 +36,9 @@ TRAIN_DOCS = 2000
 STRETCHES, STRETCH_CHARS = 12, 4000
 WINDOW_WORDS = 8
 ORDINARY_BYTES = 2048
-STEM_SHARE, STEM_ODDS, STEM_Z = 0.03, 5.0, 6.5
+STEM_SHARE, STEM_ODDS = 0.03, 5.0
+#: How much more frequent a beginning must be, as a two-proportion z; which of these, the labels decide.
+STEM_Z = (6.5, 8.0, 9.5, 11.0, 13.0)
 MARK = bytes(range(1, 9)) + bytes(range(14, 30))
 THRESHOLD = 0.7
 
@@ -87,8 +89,8 @@ def features(text: str | None, ordinary: zs.ZstdCompressor, toxic: zs.ZstdCompre
     return [*(s / per for s in saved), *(math.log1p(s) for s in saved), sum(saved[1:]) / per, math.log1p(sum(saved[1:])), math.log1p(n)]
 
 
-def stems(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Beginnings of words that are far more frequent among toxic documents, the least telling first.
+def stems(toxic: list[str], ordinary: list[str]) -> list[tuple[float, bytes]]:
+    """Beginnings of words that are far more frequent among toxic documents, with their z, the least telling first.
 
     Of nested beginnings the one with the highest two-proportion z stays.
     """
@@ -111,12 +113,12 @@ def stems(toxic: list[str], ordinary: list[str]) -> list[bytes]:
         p, q = x / na, b[s] / nb
         both = (x + b[s]) / (na + nb)
         z = (p - q) / math.sqrt(max(both * (1 - both), 1e-12) * (1 / na + 1 / nb))
-        if z > STEM_Z and p > STEM_ODDS * q and p >= STEM_SHARE:
+        if z > STEM_Z[0] and p > STEM_ODDS * q and p >= STEM_SHARE:
             found.append((z, s))
-    kept: list[bytes] = []
-    for _, s in sorted(found, reverse=True):
-        if not any(s.startswith(k) or k.startswith(s) for k in kept):
-            kept.append(s)
+    kept: list[tuple[float, bytes]] = []
+    for z, s in sorted(found, reverse=True):
+        if not any(s.startswith(k) or k.startswith(s) for _, k in kept):
+            kept.append((z, s))
     return kept[::-1]
 
 
@@ -135,8 +137,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int
     return w
 
 
+def log_loss(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
+    z = np.clip(np.c_[x, np.ones(len(x))] @ w, -40, 40)
+    return float(np.sum(np.logaddexp(0, z) - y * z))
+
+
 def train(labelled: list[tuple[str, int]], prior: float) -> Model:
-    """A model from (text, label) rows. Dictionaries come from two thirds of each class, the calibration from the rest.
+    """A model from (text, label) rows. Dictionaries come from two thirds of each class, the calibration from the rest, which also decides how telling a beginning must be.
 
     ``prior``: the share of toxic documents, to which the calibration is
     weighted back. Without rows of both classes every score is the prior.
@@ -151,13 +158,21 @@ def train(labelled: list[tuple[str, int]], prior: float) -> Model:
         base = zs.train_dictionary(ORDINARY_BYTES, [b" ".join(x) for t in base_of(ordinary) for x in word_lists(t)]).as_bytes()
     except zs.ZstdError:  # too little text to train on
         base = b" ".join(x for t in base_of(ordinary) for f in word_lists(t) for x in f)[-ORDINARY_BYTES:]
-    telling = b"".join(stems(base_of(toxic), base_of(ordinary)))
-    model = Model(base + MARK, base + telling + MARK, (), (), ())
-    o, t = model.encoders()
+    found = stems(base_of(toxic), base_of(ordinary))
     held = [(s, 1) for s in toxic[2::3]] + [(s, 0) for s in ordinary[2::3]]
-    x, y = np.array([features(s, o, t) for s, _ in held]), np.array([y for _, y in held], dtype=float)
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-    w = fit_logistic((x - mean) / scale, y)
+    y = np.array([y for _, y in held], dtype=float)
+    best: tuple = ()
+    for telling in dict.fromkeys(b"".join(s for z, s in found if z > least) for least in STEM_Z):
+        o, t = encoder(base + MARK), encoder(base + telling + MARK)
+        x = np.array([features(s, o, t) for s, _ in held])
+        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
+        x = (x - mean) / scale
+        # each half is told by weights from the other
+        loss = sum(log_loss(fit_logistic(x[1 - k :: 2], y[1 - k :: 2]), x[k::2], y[k::2]) for k in (0, 1))
+        if not best or loss < best[0]:
+            best = (loss, telling, mean, scale, fit_logistic(x, y))
+    _, telling, mean, scale, w = best
+    model = Model(base + MARK, base + telling + MARK, (), (), ())
     odds = lambda p: math.log(max(p, 1e-6) / max(1 - p, 1e-6))
     w[-1] += odds(prior) - odds(y.mean())
     return Model(model.ordinary, model.toxic, tuple(mean), tuple(scale), tuple(w))
