@@ -33,7 +33,7 @@ def message_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("ms"))
     chats.select("conv_id", F.struct(F.struct(F.transform("ms", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("chat")).alias("data")).write.parquet(path)
     rows = files.messages(files.scan(spark, [path]).select("conv_id", F.col("data.chat.messages").alias("messages")))
-    return rows.select("conv_id", "turn", "role", F.length("content").alias("n"))
+    return rows.select("conv_id", "turn", "role", F.length("content").cast("long").alias("n"))
 
 
 @query("preference_scan", "SELECT a.conv_id, md5(a.text) AS prompt, md5(b.text) AS chosen, md5(c.text) AS rejected FROM conversations a JOIN conversations b USING (conv_id) JOIN conversations c USING (conv_id) WHERE a.turn = 0 AND b.turn = 1 AND c.turn = 2")
