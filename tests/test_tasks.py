@@ -62,7 +62,8 @@ def test_choices(spark):
         right = re.search(rf"begins the text\?\n(?:.*\n)*?{r['answer']}\. ", r["prompt"])
         assert right and r["turn"] <= 3
     for r in rows(spark, "shuffled_options"):
-        assert sorted(r["order"]) == [0, 1, 2, 3] and "ABCD"[r["order"].index(0)] == r["letter"]
+        order = [int(x) for x in r["order"].split(",")]
+        assert sorted(order) == [0, 1, 2, 3] and "ABCD"[order.index(0)] == r["letter"]
 
 
 def test_demonstrations(spark):

@@ -219,13 +219,13 @@ def multiple_choice_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "shuffled_options",
-    "WITH o AS (SELECT item_id, list(k ORDER BY h, k) AS ks FROM (SELECT item_id, k, CAST('0x' || substr(md5('options:' || item_id || ':' || k), 1, 8) AS BIGINT) AS h FROM benchmark, (SELECT CAST(unnest(range(4)) AS INT) AS k)) GROUP BY item_id) SELECT item_id, ks AS \"order\", substr('ABCD', list_position(ks, 0), 1) AS letter FROM o",
+    "WITH o AS (SELECT item_id, list(k ORDER BY h, k) AS ks FROM (SELECT item_id, k, CAST('0x' || substr(md5('options:' || item_id || ':' || k), 1, 8) AS BIGINT) AS h FROM benchmark, (SELECT CAST(unnest(range(4)) AS INT) AS k)) GROUP BY item_id) SELECT item_id, array_to_string(ks, ',') AS \"order\", substr('ABCD', list_position(ks, 0), 1) AS letter FROM o",
 )
 def shuffled_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four options in a random order, and the letter of the one that was first."""
     order = shuffled(F.sequence(F.lit(0), F.lit(3)), "options", F.col("item_id"))
     b = table(spark, sf_dir, "benchmark").withColumn("order", order)
-    return b.select("item_id", "order", F.substring(F.lit(LETTERS), F.array_position("order", 0).cast("int"), F.lit(1)).alias("letter"))
+    return b.select("item_id", F.array_join("order", ",").alias("order"), F.substring(F.lit(LETTERS), F.array_position("order", 0).cast("int"), F.lit(1)).alias("letter"))
 
 
 # --- demonstrations ---
