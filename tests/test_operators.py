@@ -122,34 +122,3 @@ def test_balanced_is_near_best():
     best = min(max(sum(c for c, p in zip(costs, ps, strict=True) if p == q) for q in (0, 1)) for ps in itertools.product((0, 1), repeat=5))
     parts = packing.balanced(costs, 2)
     assert max(sum(c for c, p in zip(costs, parts, strict=True) if p == q) for q in (0, 1)) <= best + 1
-
-
-def test_inverted_file_recall(spark):
-    sf = "/root/testdata/sf0.01"
-    v = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    want = {(r["qid"], r["vec_id"]) for r in retrieval.vector_top_k(v.where("vec_id % 20 = 0"), v, 10).collect()}
-    got = {(r["qid"], r["vec_id"]) for r in retrieval.ivf_top_k(spark, sf).collect()}
-    assert len(want & got) >= 0.9 * len(want)
-
-
-def test_vector_search_switches_to_an_index(spark, monkeypatch):
-    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
-    q = v.where("vec_id % 50 = 0")
-    flat = {(r["qid"], r["vec_id"]) for r in retrieval.vector_search(v, q, 5).collect()}
-    monkeypatch.setattr(retrieval, "FLAT", 100)
-    monkeypatch.setattr(retrieval, "LEAST", 100)
-    found = {(r["qid"], r["vec_id"]) for r in retrieval.vector_search(v, q, 5).collect()}
-    assert found == flat  # all lists are probed where there are few
-
-
-def test_index_is_kept(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "red apple pie"), (2, "green apple"), (3, "of the"), (4, None)], "doc_id bigint, text string")
-    asked = spark.createDataFrame([(7, "apple pie")], "item_id bigint, text string")
-    retrieval.write_index(docs, str(tmp_path / "index"))
-    kept = [tuple(r) for r in retrieval.search(spark.read.parquet(str(tmp_path / "index")), asked, 5).orderBy("rank").collect()]
-    assert [(r[1], r[3]) for r in kept] == [(1, 1), (2, 2)] and kept == [tuple(r) for r in retrieval.bm25(asked, docs, 5).orderBy("rank").collect()]
-
-
-def test_ivf_lists():
-    assert retrieval.ivf_lists(10) == 4096
-    assert retrieval.ivf_lists(10**12) == 65536

@@ -118,13 +118,13 @@ def span_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "aligned_spans",
     r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '\S+\s*') AS ps, length(text) - length(regexp_replace(text, '^\s+', '')) AS lead, n_chars // 4 AS lo, n_chars // 4 + 30 AS hi FROM documents),
-    t AS (SELECT doc_id, lo, hi, i, lead + coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) AS a, length(rtrim(ps[i + 1], chr(32) || chr(10) || chr(9) || chr(13))) AS n FROM (SELECT *, unnest(range(0, len(ps))) AS i FROM p WHERE len(ps) <= 400))
+    t AS (SELECT doc_id, lo, hi, i, lead + coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) AS a, length(rtrim(ps[i + 1], chr(32) || chr(10) || chr(9) || chr(13))) AS n FROM (SELECT *, unnest(range(0, len(ps))) AS i FROM p))
     SELECT doc_id, min(i) AS first_token, max(i) AS last_token FROM t WHERE a < hi AND lo < a + n GROUP BY doc_id""",
 )
 def aligned_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tokens that a span of characters touches, by the tokens' own offsets; of texts of up to 400 tokens, as a prompt has."""
+    """The tokens that a span of characters touches, by the tokens' own offsets."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0)).alias("ps"), (F.length("text") - F.length(F.regexp_replace("text", r"^\s+", ""))).alias("lead"), F.expr("n_chars DIV 4").alias("lo"))
-    t = d.where("size(ps) <= 400").select("doc_id", "lead", "lo", F.posexplode("ps").alias("i", "piece"))
+    t = d.select("doc_id", "lead", "lo", F.posexplode("ps").alias("i", "piece"))
     before = F.sum(F.length("piece")).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))
     t = t.withColumn("a", F.col("lead") + F.coalesce(before, F.lit(0))).withColumn("b", F.col("a") + F.length(F.regexp_replace("piece", r"\s+$", "")))
     hit = t.where((F.col("a") < F.col("lo") + 30) & (F.col("lo") < F.col("b")))
@@ -165,28 +165,6 @@ def best_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("item_id", "m.doc_id", F.round("m.f1", 6).alias("f1"))
 
 
-@query(
-    "answer_document_map",
-    "SELECT b.item_id, string_agg(CAST(d.doc_id AS VARCHAR), ',' ORDER BY d.doc_id) AS ids FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY b.item_id",
-)
-def answer_document_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that contain each answer text: candidates share three words in the answer's middle, which any text that contains it has; the containment itself is then tested."""
-
-    # words are a column of their own first: inside the lambda they would be cut anew for each triple
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
-    triples = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("answer"), words.alias("w")).withColumn("h", triples).drop("w")
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # words at the ends may be parts of longer ones in a document, so the key is a triple of whole words between
-    long = b.where("size(h) >= 3").select("item_id", F.get("h", F.floor(F.size("h") / 2).cast("int")).alias("h"))
-    near = d.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(triples)).alias("h")).join(long, "h").select("item_id", "doc_id")
-    held = near.join(b.select("item_id", "answer"), "item_id").join(d, "doc_id").where(F.contains(F.lower("text"), F.col("answer")))
-    short = F.broadcast(b.where("size(h) < 3").select("item_id", "answer").limit(1000))
-    rest = d.crossJoin(short).where(F.contains(F.lower("text"), F.col("answer")))  # answers of a few words, at most 1,000
-    found = held.select("item_id", "doc_id").union(rest.select("item_id", "doc_id")).distinct()
-    return found.groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("ids"))
-
-
 @query(
     "key_value_lines",
     "SELECT source, doc_id // 512 AS block, string_agg(doc_id || ': ' || n_chars, chr(10) ORDER BY doc_id) AS lines, '{' || string_agg('\"' || doc_id || '\": ' || n_chars, ', ' ORDER BY doc_id) || '}' AS json, 'key,value' || chr(10) || string_agg(doc_id || ',' || n_chars, chr(10) ORDER BY doc_id) AS csv FROM documents GROUP BY source, doc_id // 512",

@@ -57,11 +57,6 @@ results(
     "threshold_argmax",
     "SELECT category, event_id, value FROM (SELECT category, event_id, value, row_number() OVER (PARTITION BY category ORDER BY value DESC, event_id) AS rn FROM $R WHERE k BETWEEN 10 AND 60) WHERE rn = 1",
 )
-results(
-    "percentile_threshold",
-    "SELECT category, round(percentile(value, 0.4), 6) AS threshold FROM $R GROUP BY category",
-    "SELECT category, round(quantile_cont(value, 0.4), 6) AS threshold FROM $R GROUP BY category",
-)
 results("pairwise_accuracy", "SELECT model, round(avg(CASE WHEN value > k THEN 1e0 ELSE 0e0 END), 6) AS accuracy, count(*) AS n FROM $R WHERE value <> k GROUP BY model")
 results("nan_skipping", "SELECT model, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS low, round(max(x), 6) AS high FROM (SELECT model, CASE WHEN k % 7 = 0 THEN NULL ELSE value END AS x FROM $R) GROUP BY model")
 results("masked_sum_mean", "SELECT model, round(sum(CASE WHEN k > 30 THEN value END), 4) AS total, round(sum(CASE WHEN k > 30 THEN value ELSE 0 END) / (sum(CASE WHEN k > 30 THEN 1 ELSE 0 END) + 1e-8), 6) AS mean FROM $R GROUP BY model")
@@ -132,85 +127,6 @@ def best_worst_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("event_type").agg(*(F.round(F.avg(c), 5).alias(c) for c in ("best_2", "best_4", "worst_2", "worst_4")))
 
 
-# --- bootstrap ---
-
-#: Draws of a bootstrap; 1,000 in use, fewer where two engines are compared.
-DRAWS = 200
-
-
-def drawn(draw: Column, place: Column, n: Column, seed: int = 42) -> Column:
-    """A place below ``n`` that depends on the draw, the place in it and the seed alone: a multiplicative hash in whole numbers, the same in any engine."""
-    mixed_ = (draw * 7919 + place * 104729 + seed * 15485863) * F.lit(2654435761) % F.lit(4294967296)
-    return (F.floor(mixed_ / 65536) % n).cast("int")
-
-
-def bootstrap(samples: Column, size: int, draws: int = DRAWS) -> Column:
-    """Means and deviations over ``draws`` draws of ``size`` with replacement of the best and the worst value and of the majority's.
-
-    ``samples``: an array of (val, pred). The majority's value is the first of
-    the predictions drawn most often; of equally frequent ones of that which
-    comes first.
-    """
-
-    def picks(b: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.get(samples, drawn(b.cast("long"), j.cast("long"), F.size(samples).cast("long"))))
-
-    def one(picked: Column) -> Column:
-        most = F.array_max(F.transform(picked, lambda x, j: F.struct(F.size(F.filter(picked, lambda y: y["pred"] == x["pred"])).alias("n"), (-j).alias("j"), x["val"].alias("val"))))
-        values = F.transform(picked, lambda x: x["val"])
-        return F.struct(F.array_max(values).alias("best"), F.array_min(values).alias("worst"), most["val"].alias("maj"))
-
-    # picks are made in a transform of their own, so that each is made once
-    found = F.transform(F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), picks), one)
-
-    def moments(name: str) -> list[Column]:
-        total = lambda f: F.aggregate(found, F.lit(0.0), lambda a, x: a + f(x[name]))
-        mean = total(lambda v: v) / draws
-        return [mean.alias(f"{name}_mean"), F.sqrt(F.greatest(total(lambda v: v * v) / draws - mean * mean, F.lit(0.0))).alias(f"{name}_std")]
-
-    return F.struct(*(c for name in ("best", "worst", "maj") for c in moments(name)))
-
-
-def _boot(size: int) -> str:
-    return f"""(SELECT event_type, user_id, avg(best) AS best_mean, sqrt(greatest(avg(best * best) - avg(best) * avg(best), 0)) AS best_std, avg(worst) AS worst_mean, sqrt(greatest(avg(worst * worst) - avg(worst) * avg(worst), 0)) AS worst_std,
-    avg(maj) AS maj_mean, sqrt(greatest(avg(maj * maj) - avg(maj) * avg(maj), 0)) AS maj_std FROM
-    (SELECT event_type, user_id, b, max(value) AS best, min(value) AS worst, arg_min(value, (-votes) * 1000 + j) AS maj FROM
-    (SELECT *, count(*) OVER (PARTITION BY event_type, user_id, b, pred) AS votes FROM
-    (SELECT s.event_type, s.user_id, b, j, s.value, s.k % 3 AS pred FROM (SELECT event_type, user_id, n, b, j, (((b * 7919 + j * 104729 + 42 * 15485863) * 2654435761 % 4294967296) // 65536) % n AS at FROM
-    (SELECT event_type, user_id, count(*) AS n FROM r GROUP BY ALL), range({DRAWS}) tb(b), range({size}) tj(j)) d JOIN r s ON s.event_type = d.event_type AND s.user_id = d.user_id AND s.at = d.at)) GROUP BY ALL) GROUP BY ALL)"""
-
-
-_BOOTED = ["best_mean", "best_std", "worst_mean", "worst_std", "maj_mean", "maj_std"]
-
-
-@query(
-    "bootstrap_metrics",
-    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) - 1 AS at FROM {RO}),
-    m AS (SELECT event_type, avg(m) AS mean, avg(s) AS std FROM (SELECT event_type, user_id, avg(value) AS m, CASE WHEN count(*) > 1 THEN stddev_pop(value) END AS s FROM r GROUP BY ALL) GROUP BY event_type)
-    SELECT event_type, round(any_value(mean), 5) AS mean, round(any_value(std), 5) AS std, {", ".join(f"round(avg(b{n}.{c}), 2) AS {c}_{n}" for n in (2, 4) for c in _BOOTED)} FROM m JOIN {_boot(2)} b2 USING (event_type) JOIN {_boot(4)} b4 USING (event_type, user_id) GROUP BY event_type""",
-)
-def bootstrap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each source the mean over its prompts of: mean and deviation, and the bootstrapped best, worst and majority of 2 and of 4. A prompt's samples are one array."""
-    r = rollouts(spark, sf_dir).select("event_type", "user_id", "event_id", "value", (F.col("k") % 3).alias("pred"))
-    g = r.groupBy("event_type", "user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.col("value").alias("val"), "pred"))).alias("s"), F.avg("value").alias("m"), F.when(F.count("*") > 1, F.stddev_pop("value")).alias("sd"))
-    g = g.select("event_type", "m", "sd", *(bootstrap(F.col("s"), n).alias(f"b{n}") for n in (2, 4)))
-    return g.groupBy("event_type").agg(F.round(F.avg("m"), 5).alias("mean"), F.round(F.avg("sd"), 5).alias("std"), *(F.round(F.avg(f"b{n}.{c}"), 2).alias(f"{c}_{n}") for n in (2, 4) for c in _BOOTED))
-
-
-@query(
-    "selective_thresholds",
-    f"""WITH r AS {RES}, t AS (SELECT category, quantile_cont(value, [0.3, 0.5, 0.7]) AS qs, count(*) AS n FROM r GROUP BY category),
-    c AS (SELECT t.category, q, t.n, (SELECT count(*) FROM r WHERE r.category = t.category AND r.value > q) AS passing FROM (SELECT category, n, unnest(qs) AS q FROM t) t)
-    SELECT category, round(q, 6) AS threshold, CAST(passing AS BIGINT) AS passing FROM c WHERE passing * 1e0 / n BETWEEN 0.4 AND 0.8""",
-)
-def selective_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles as thresholds; those that let in too few or too many are no candidates."""
-    r = spark.sql(f"SELECT category, value FROM {SPARK_RES}", events=table(spark, sf_dir, "events"))
-    t = r.groupBy("category").agg(F.percentile("value", F.array(F.lit(0.3), F.lit(0.5), F.lit(0.7))).alias("qs"), F.count("*").alias("n"))
-    c = r.join(F.broadcast(t.select("category", "n", F.explode("qs").alias("q"))), "category").groupBy("category", "q", "n").agg(F.count_if(F.col("value") > F.col("q")).alias("passing"))
-    return c.where((F.col("passing") / F.col("n")).between(0.4, 0.8)).select("category", F.round("q", 6).alias("threshold"), "passing")
-
-
 _NINE = ["value", "k", "value + k", "value - k", "value * k", "CASE WHEN k > 50 THEN 1e0 ELSE 0e0 END", "CASE WHEN k > 50 THEN value END", "CASE WHEN value > 30 THEN 1e0 ELSE 0e0 END", "CASE WHEN value > 30 THEN k END"]
 
 

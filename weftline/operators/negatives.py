@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.articles import _ARTICLES, articles, expanded
-from weftline.operators.retrieval import _BM25, _DOT, bm25, dot, index_path, search, write_index
+from weftline.operators.postings import bm25
+from weftline.operators.retrieval import _BM25, _DOT, dot
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -138,8 +139,7 @@ _PARAGRAPHS = "SELECT doc_id * 1000 + generate_subscripts(ls, 1) - 1 AS doc_id,
 def paragraph_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over paragraphs, from an index that is written once; a paragraph's id is its document's times 1,000 plus its place, of which a document has no more here."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 1000)).alias("p", "text"))
-    index = write_index(d.select((F.col("doc_id") * 1000 + F.col("p")).alias("paragraph_id"), "text"), index_path(spark), "paragraph_id")
-    return search(index, table(spark, sf_dir, "benchmark"), 5, did="paragraph_id")
+    return bm25(table(spark, sf_dir, "benchmark"), d.select((F.col("doc_id") * 1000 + F.col("p")).alias("paragraph_id"), "text"), 5, did="paragraph_id")
 
 
 @query(
@@ -213,8 +213,5 @@ _WINDOW_DOCS = "wdocs AS (SELECT doc_id * 10000 + win AS doc_id, chunk AS text F
 def window_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best-ranked windows of articles that aren't excluded and hold no answer; a window's id is its document's times 10,000 plus its place."""
     w = expanded(articles(table(spark, sf_dir, "documents").select("doc_id", "text"))).select((F.col("doc_id") * 10000 + F.col("win")).alias("doc_id"), "text")
-    path = index_path(spark)
-    w.write.parquet(path + "-windows")
-    w = spark.read.parquet(path + "-windows")
-    ranked = search(write_index(w, path), items(spark, sf_dir).select("item_id", "text"), DEPTH).where("(doc_id DIV 10000) % 7 <> 0")
+    ranked = bm25(items(spark, sf_dir).select("item_id", "text"), w, DEPTH).where("(doc_id DIV 10000) % 7 <> 0")
     return best(without_answers(ranked, items(spark, sf_dir), w), 5, "rank").select("item_id", F.col("doc_id").alias("window_id"), "place")

@@ -1,72 +1,16 @@
-"""Retrieval: BM25 over postings, exact and inverted-file vector top-k, ranking measures."""
+"""Retrieval: BM25 over a kept index, exact vector top-k, ranking measures."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.postings import STOP_WORDS, bm25
 from weftline.plans.registry import query, sql_query
-from weftline.sources.files import shared_path as index_path
 from weftline.sources.tables import table
 
-K1, B = 1.5, 0.75
-LISTS, PROBES = 16, 13
 #: Queries of a block, which is broadcast: some MB of vectors.
 QUERY_BLOCK = 20_000
-#: Words that no query looks for.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "that", "the", "this", "to", "was", "with"]
-
-
-def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits that are no stop words."""
-    found = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.filter(found, lambda t: (t != "") & ~t.isin(*STOP_WORDS))
-
-
-def postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(term, id, length, tf) of a corpus; a text without terms has one row with none."""
-    words = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("ts"))
-    return words.select("id", F.size("ts").alias("length"), F.explode_outer("ts").alias("term")).groupBy("term", "id", "length").agg(F.count("term").alias("tf"))
-
-
-def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The postings of a corpus as a table, by ranges of terms: texts are cut into words once, whatever is asked later, and a scan for a few terms skips most of it."""
-    postings(docs, id_col, text).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
-    return docs.sparkSession.read.parquet(path)
-
-
-#: Up to so many distinct terms of all queries are broadcast; more are joined by a shuffle.
-ASKED = 200_000
-
-
-def search(index: DataFrame, queries: DataFrame, k: int, qid: str = "item_id", qtext: str = "text", did: str = "doc_id") -> DataFrame:
-    """(qid, did, score, rank) of the best ``k`` documents of an index for each query.
-
-    All queries are one join: their distinct terms first reduce the postings by
-    a semi join, so only the terms asked for are counted and shuffled. Rare
-    terms weigh log(1 + (N - df + 0.5)/(df + 0.5)). Ties go to the smaller id.
-    """
-    asked = queries.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(terms(F.col(qtext)))).alias("term"))
-    distinct = asked.select("term").distinct()
-    few = distinct.limit(ASKED + 1).count() <= ASKED
-    size = index.agg(F.count_distinct("id").alias("n"), F.sum("tf").alias("total"))
-    tf = index.join(F.broadcast(distinct) if few else distinct, "term", "left_semi")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    part = tf.join(df, "term").crossJoin(F.broadcast(size))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    mean = F.col("total") / F.col("n")
-    part = part.select("term", "id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))).alias("s"))
-    scored = asked.join(part, "term").groupBy("qid", "id").agg(F.round(F.sum("s"), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
-    return ranked.where(F.col("rank") <= k).select(F.col("qid").alias(qid), F.col("id").alias(did), "score", F.col("rank").cast("long").alias("rank"))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, k: int, qid: str = "item_id", qtext: str = "text", did: str = "doc_id", dtext: str = "text") -> DataFrame:
-    """search() over an index that is written for this one question."""
-    index = write_index(docs, index_path(docs.sparkSession), did, dtext)
-    return search(index, queries, k, qid, qtext, did)
-
-
 _TERMS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '' AND t NOT IN (" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "))"
 _BM25 = f"""q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark), d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY ALL),
@@ -135,74 +79,6 @@ def filtered_vector_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_top_k(v.where("vec_id % 20 = 0").select("vec_id", "embedding"), v.where("label % 2 = 1").select("vec_id", "embedding"), 5)
 
 
-def ivf_lists(n: int) -> int:
-    """Lists of an inverted file: the root of n, from 4096 to 65536, rounded up to a power of two."""
-    lists = 1
-    while lists < min(max(n**0.5, 4096), 65536):
-        lists *= 2
-    return lists
-
-
-#: Fewer vectors are searched one by one. A centroid is fitted to so many vectors at least, and all to at most SAMPLE.
-FLAT, LEAST, SAMPLE = 1_000_000, 40, 50_000
-
-
-def write_vector_index(vectors: DataFrame, path: str, lists: int | None = None) -> list[list[float]]:
-    """The vectors of an inverted file as a table under ``path``, a folder for each list, and the lists' centroids, which are returned.
-
-    Centroids are fitted on a sample by hash of at most SAMPLE vectors; every
-    vector is then indexed, at unit length. ``lists`` follows ivf_lists() and
-    the number of vectors, LEAST for each.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = vectors.count()
-    lists = max(1, min(lists or ivf_lists(n), n // LEAST))
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    v = vectors.select("vec_id", e.alias("e")).withColumn("embedding", F.transform("e", lambda x: x / F.greatest(F.sqrt(dot(F.col("e"), F.col("e"))), F.lit(1e-12)))).drop("e")
-    v = v.withColumn("features", array_to_vector("embedding"))
-    share = min(1.0, 1.1 * SAMPLE / max(n, 1))
-    drawn = v.where(F.shiftrightunsigned(F.xxhash64("vec_id"), 11) < F.lit(int(share * 2**53))).limit(SAMPLE)
-    model = KMeans(k=lists, seed=3, maxIter=10).fit(drawn)
-    model.transform(v).select("vec_id", "embedding", F.col("prediction").alias("list")).write.mode("overwrite").partitionBy("list").parquet(path)
-    return [[float(x) for x in c] for c in model.clusterCenters()]
-
-
-def search_vector_index(index: DataFrame, centroids: list[list[float]], queries: DataFrame, k: int, probes: int) -> DataFrame:
-    """(qid, vec_id, score, rank): the best ``k`` by cosine among the ``probes`` lists whose centroids are nearest to a query. Queries meet lists by a join; other lists aren't read."""
-    unit = F.transform("embedding", lambda x: x.cast("double"))
-    centres = F.array(*(F.array(*(F.lit(x) for x in c)) for c in centroids))
-    near = F.slice(F.array_sort(F.transform(centres, lambda c, i: F.struct((-dot(c, F.col("qe"))).alias("d"), i.alias("list")))), 1, probes)
-    q = queries.select(F.col("vec_id").alias("qid"), unit.alias("qe"))
-    q = q.select("qid", "qe", F.explode(near).alias("p")).select("qid", "qe", F.col("p.list").alias("list"))
-    pairs = index.join(q, "list").where("qid <> vec_id")
-    scored = pairs.select("qid", "vec_id", F.round(dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-
-
-def vector_search(vectors: DataFrame, queries: DataFrame, k: int, probes: int = 64) -> DataFrame:
-    """vector_top_k() for up to FLAT vectors, an inverted file for more."""
-    if vectors.limit(FLAT + 1).count() <= FLAT:
-        return vector_top_k(queries, vectors, k)
-    path = index_path(vectors.sparkSession)
-    centroids = write_vector_index(vectors, path)
-    return search_vector_index(vectors.sparkSession.read.parquet(path), centroids, queries, k, probes)
-
-
-@query("ivf_top_k")
-def ivf_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inverted-file search for every twentieth vector: PROBES of LISTS lists.
-
-    These vectors have little structure, so recall 0.9 (measured against the exact search in the tests) takes most lists.
-    """
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    path = index_path(spark)
-    centroids = write_vector_index(v, path, LISTS)
-    return search_vector_index(spark.read.parquet(path), centroids, v.where("vec_id % 20 = 0"), 10, PROBES)
-
-
 def ndcg(ranking: Column, grades: Column, k: int) -> Column:
     """NDCG at ``k`` of an array of grades in ranked order against all grades; 0 where the ideal is 0."""
     gain = lambda g: F.aggregate(F.transform(F.slice(g, 1, k), lambda x, i: x / F.log2(i + 2.0)), F.lit(0.0), lambda a, x: a + x)

@@ -269,11 +269,10 @@ def split_votes(total: int, options: int, share: float, rng: np.random.Generator
     first = max(1, round(total * share))
     rest = np.floor(rng.dirichlet(np.ones(options - 1)) * (total - first)).astype(int)
     rest[: total - first - rest.sum()] += 1
-    top = int(rest.argmax())
-    lack = max(0, int(rest[top]) - first + 1)  # what the runner-up has too many
-    lack = -(-lack // 2) if rest[top] - lack < first else lack
-    rest[top] -= lack
-    return [first + lack, *map(int, rest)]
+    while rest.max() >= first:  # a vote at a time from the strongest rival
+        rest[rest.argmax()] -= 1
+        first += 1
+    return [first, *map(int, rest)]
 
 
 def ranked_votes(total: int, options: int, top: int, alpha: float, gap: float, rng: np.random.Generator) -> list[int]:

@@ -109,6 +109,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(target)
 
 
+def folder_digest(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of names, sizes and times of all files in the folders of ``paths``: another one when a file is written anew."""
+    rows = []
+    for folder in sorted({p.rsplit("/", 1)[0] for p in paths}):
+        target, store = _store(spark, folder)
+        rows += [f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in store.listStatus(target)]
+    return hashlib.sha256("\n".join(sorted(rows)).encode()).hexdigest()
+
+
 def first_source(spark: SparkSession, paths: list[str]) -> str:
     """The first of several places that exists: a cache, raw files, a mirror. None is an error."""
     for p in paths:
