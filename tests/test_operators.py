@@ -122,3 +122,40 @@ def test_balanced_is_near_best():
     best = min(max(sum(c for c, p in zip(costs, ps, strict=True) if p == q) for q in (0, 1)) for ps in itertools.product((0, 1), repeat=5))
     parts = packing.balanced(costs, 2)
     assert max(sum(c for c, p in zip(costs, parts, strict=True) if p == q) for q in (0, 1)) <= best + 1
+
+
+@given(st.text("ab", max_size=12), st.text("ab", max_size=12))
+def test_overlap_length(a, b):
+    n = min(len(a), len(b))
+    want = n if a in b or b in a else max(i for i in range(n + 1) if i == 0 or a[-i:] == b[:i] or b[-i:] == a[:i])
+    assert T.overlap_length(a, b) == want
+
+
+def test_overlap_of_long_texts():
+    import time
+
+    for a, b in (("ab" * 50_000, "ba" * 50_000), ("a" * 99_999 + "b", "a" * 99_999 + "c"), ("x" + "abc" * 33_333, "abc" * 33_333 + "y")):
+        start = time.perf_counter()
+        got = T.overlap_length(a, b)
+        assert time.perf_counter() - start < 1 and got == (99_999 if a[0] != "a" or a[1] == "b" else 0)
+
+
+def test_random_draws_are_uniform(spark):
+    """Rows in proportion to items x draws; every document is as likely as any other."""
+    from weftline.operators import negatives
+
+    docs = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    places = negatives.placed(docs.repartition(4))
+    assert [(r["doc_id"], r["place"]) for r in places.orderBy("place").collect()] == [(3 * i, i) for i in range(1000)]
+    asked = spark.range(500).withColumnRenamed("id", "item_id")
+    rows = negatives.random_draws(asked, places, 0, 40).collect()
+    each = {}
+    for r in rows:
+        each.setdefault(r["item_id"], []).append(r["draw"])
+    assert len(each) == 500 and all(35 <= len(set(d)) == len(d) <= 40 for d in each.values())
+    n = [0] * 1000
+    for r in rows:
+        n[r["doc_id"] // 3] += 1
+    mean = len(rows) / 1000
+    assert 850 < sum((x - mean) ** 2 / mean for x in n) < 1150  # chi-square of 999 degrees, six deviations of 45 would be 268
+    assert negatives.random_draws(asked, negatives.placed(docs.limit(0)), 0, 5).count() == 0

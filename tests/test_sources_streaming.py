@@ -118,7 +118,7 @@ def test_sinks(spark, tmp_path):
     assert {r["qid"] for r in files.judged(years, asked).collect()} == {"1", "2"}
 
 
-def test_plugins(spark):
+def test_plugins(spark, tmp_path):
     import pandas as pd
     import pytest
     from pyspark.sql import functions as F
@@ -147,10 +147,68 @@ def test_plugins(spark):
 
     groups = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, x double")
     assert sorted(r["x"] for r in centred(groups).collect()) == [-1.0, 0.0, 1.0] and sum(r["n"] for r in sizes(groups).collect()) == 3
-    sampler = plugins.CurriculumSampler("g")
+    sampler = plugins.CurriculumSampler("g", spark, str(tmp_path / "state"))
     rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "id int, g string")
     assert sampler.next_rows(rows, 4, "id").count() == 4
     sampler.update(spark.createDataFrame([("a", 0.9), ("b", 0.5), ("c", 0.0)], "g string, score double"))
     assert {r["g"] for r in sampler.next_rows(rows, 3, "id").collect()} == {"b"}
     sampler.update(spark.createDataFrame([("a", 0.5), ("b", 1.0)], "g string, score double"))
     assert {r["g"] for r in sampler.next_rows(rows, 3, "id").collect()} == {"a"}
+
+
+def test_sampler_state_survives(spark, tmp_path):
+    from weftline.plans import plugins
+
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "id int, g string")
+    sampler = plugins.CurriculumSampler("g", spark, str(tmp_path / "state"))
+    for k in range(12):
+        sampler.update(spark.createDataFrame([("abc"[k % 3], k / 10), (None, 0.5)], "g string, score double"))
+        depth = sampler.state()._jdf.queryExecution().logical().toString().count("\n")
+        assert depth <= 2 and sampler.version() == k + 1
+    (tmp_path / "state" / "v13").mkdir()  # a version that a failure cut off
+    again = plugins.CurriculumSampler("g", spark, str(tmp_path / "state"))
+    assert {r["g"]: r["mean"] for r in again.state().collect()} == {"a": 0.9, "b": 1.0, "c": 1.1, None: 0.5}
+    assert {r["g"] for r in again.next_rows(rows, 3, "id").collect()} == {"a"}
+    again.update(spark.createDataFrame([("a", 0.0)], "g string, score double"))
+    assert again.version() == 13 and again.state().count() == 4
+    assert len([p for p in (tmp_path / "state").iterdir() if p.is_dir()]) == 2
+
+
+def test_batches_are_written_once(spark, tmp_path):
+    from weftline.streaming import once
+
+    path, schema = str(tmp_path / "sink"), "id bigint, name string"
+    rows = lambda a, b: spark.range(a, b).selectExpr("id", "concat('n', id) AS name")
+    assert once.committed(spark, path, schema).count() == 0
+    assert once.commit_batch(rows(0, 5), path, 0) and not once.commit_batch(rows(0, 5), path, 0)
+    assert once.commit_batch(rows(5, 6), path, 1) and once.committed(spark, path, schema).count() == 6
+    # a failure between the lines and the commit leaves lines that nobody reads
+    rows(6, 9).write.json(f"{path}/data/2-lost")
+    assert once.committed(spark, path, schema).count() == 6 and once.uncommitted(spark, path) == ["2-lost"]
+    assert once.commit_batch(rows(6, 9), path, 2)
+    assert sorted(r["id"] for r in once.committed(spark, path, schema).collect()) == list(range(9))
+
+
+def test_stream_that_fails_after_its_commit(spark, tmp_path):
+    """The batch is committed, the stream fails before it knows, and tries the batch again."""
+    from weftline.streaming import once
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    path, failed = str(tmp_path / "sink"), []
+
+    def write(df, path, batch):
+        once.commit_batch(df, path, batch)
+        if batch == 1 and not failed:
+            failed.append(batch)
+            raise RuntimeError("the driver is lost")
+
+    for attempt in range(2):
+        stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        started = once.lines_once(stream, path, f"{tmp_path}/checkpoint", write)
+        try:
+            started.awaitTermination()
+        except Exception:  # noqa: BLE001  the failure that is asked for
+            assert attempt == 0
+    assert failed == [1] and sorted(r["id"] for r in once.committed(spark, path, "id bigint").collect()) == list(range(30))
+    assert once.uncommitted(spark, path) == []

@@ -72,33 +72,42 @@ def capped_coverage(covered: Column, available: Column, cap: int = 5) -> Column:
     return F.when(available == 0, F.lit(0.0)).otherwise(F.least(covered, F.lit(cap)) / F.least(available, F.lit(cap)))
 
 
+def f1_of(overlap: Column, a: Column, b: Column) -> Column:
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(2.0 * overlap / (F.length(a) + F.length(b)))
+
+
 def overlap_f1(a: Column, b: Column) -> Column:
     """2 * overlap / (|a| + |b|) of containment or the longest edge overlap; 0 where either is empty."""
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(2.0 * T.edge_overlap(a, b) / (F.length(a) + F.length(b)))
+    return f1_of(T.edge_overlap(a, b), a, b)
 
 
 def overlap_coverage(copied: Column, source: Column) -> Column:
     return F.when((F.length(copied) == 0) | (F.length(source) == 0), F.lit(0.0)).otherwise(T.edge_overlap(copied, source) / F.length(source))
 
 
+def overlap_scores(spans: Column, golds: Column) -> Column:
+    """overlap_f1() of each gold text with each span."""
+    each = F.zip_with(golds, T.edge_overlaps(golds, spans), lambda g, row: F.struct(g.alias("g"), row.alias("row")))
+    return F.transform(each, lambda x: F.zip_with(spans, x["row"], lambda s, o: f1_of(o, x["g"], s)))
+
+
 def mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values)
 
 
 def gold_scores(spans: Column, golds: Column, hit: float) -> Column:
     """Of each gold text the overlap of its best span, as a share of ``hit``, 1 at most."""
-    return F.transform(golds, lambda g: F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(spans, lambda s: overlap_f1(g, s))), F.lit(0.0)) / hit))
+    return F.transform(overlap_scores(spans, golds), lambda row: F.least(F.lit(1.0), F.coalesce(F.array_max(row), F.lit(0.0)) / hit))
 
 
 def labelled_gold_scores(spans: Column, golds: Column, labels: Column, hit: float, penalty: float = 0.5) -> Column:
     """As gold_scores, times ``penalty`` where the best span, the first of equal ones, doesn't hold the gold text's label."""
 
-    def one(g: Column, label: Column) -> Column:
-        scored = F.transform(spans, lambda s, i: F.struct(overlap_f1(g, s).alias("f"), (-i).alias("i"), s.alias("s")))
-        best = F.array_max(scored)
+    def one(row: Column, label: Column) -> Column:
+        best = F.array_max(F.transform(F.arrays_zip(row.alias("f"), spans.alias("s")), lambda x, i: F.struct(x["f"].alias("f"), (-i).alias("i"), x["s"].alias("s"))))
         return F.least(F.lit(1.0), best["f"] / hit) * F.when((best["f"] > 0) & ~F.contains(best["s"], label), F.lit(penalty)).otherwise(F.lit(1.0))
 
-    return F.zip_with(golds, labels, one)
+    return F.zip_with(overlap_scores(spans, golds), labels, one)
 
 
 def gold_summary(scores: Column, spans: Column, golds: Column, mode: str, k: int = 3) -> Column:

@@ -1,7 +1,10 @@
-"""Text functions of answer scoring, as Column to Column builders: no Python runs where documents are read."""
+"""Text functions of answer scoring, as Column to Column builders. Overlaps of texts and word lists, which no built-in finds in linear time, run in Arrow batches."""
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,18 +35,54 @@ def contains_either_way(a: Column, b: Column) -> Column:
     return ((F.instr(x, y) > 0) | (F.instr(y, x) > 0)).cast("double")
 
 
+def _common(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else sum((Counter(x) & Counter(y)).values()) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.int32())
+
+
 def multiset_f1(a: Column, b: Column) -> Column:
     """Token F1 of two arrays with repeats counted; 0 where either is empty."""
-    count = lambda arr, t: F.size(F.filter(arr, lambda x: x == t))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, t: acc + F.least(count(a, t), count(b, t)))
+    common = F.arrow_udf(_common, "int")(a, b)
     return F.when(F.size(a) + F.size(b) == 0, F.lit(0.0)).otherwise(2.0 * common / (F.size(a) + F.size(b)))
 
 
+def longest_border(head: str, tail: str) -> int:
+    """Characters of the longest beginning of ``head`` that ends ``tail``: the state in which the prefix function of ``head`` leaves ``tail``, in linear time."""
+    n = min(len(head), len(tail))
+    head, tail = head[:n], tail[len(tail) - n :]
+    back, k = [0] * n, 0
+    for i in range(1, n):
+        while k and head[i] != head[k]:
+            k = back[k - 1]
+        k += head[i] == head[k]
+        back[i] = k
+    k = 0
+    for c in tail:
+        while k and (k == n or c != head[k]):
+            k = back[k - 1]
+        k += c == head[k]
+    return k
+
+
+def overlap_length(a: str, b: str) -> int:
+    """All of the shorter text where the other contains it, else the longest end of one that begins the other."""
+    return min(len(a), len(b)) if a in b or b in a else max(longest_border(b, a), longest_border(a, b))
+
+
+def _overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
+    def one(xs: list | None, ys: list | None) -> list | None:
+        return None if xs is None or ys is None else [[None if x is None or y is None else overlap_length(x, y) for y in ys] for x in xs]
+
+    return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.list_(pa.list_(pa.int32())))
+
+
+def edge_overlaps(a: Column, b: Column) -> Column:
+    """edge_overlap() of each text of one array with each of another, a list for each of the first."""
+    return F.arrow_udf(_overlaps, "array<array<int>>")(a, b)
+
+
 def edge_overlap(a: Column, b: Column) -> Column:
     """Characters of the longest suffix of one text that begins the other; all of the shorter where it is contained."""
-    n = F.least(F.length(a), F.length(b))
-    sizes = F.filter(F.sequence(F.lit(0), n), lambda i: (F.right(a, i) == F.left(b, i)) | (F.right(b, i) == F.left(a, i)))
-    return F.when(F.instr(a, b) > 0, F.length(b)).when(F.instr(b, a) > 0, F.length(a)).otherwise(F.array_max(sizes))
+    return edge_overlaps(F.array(a), F.array(b))[0][0]
 
 
 def last_number_mark(s: Column) -> Column:

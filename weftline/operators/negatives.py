@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.articles import _ARTICLES, articles, expanded
-from weftline.operators.postings import bm25
+from weftline.operators.postings import bm25, few, stored
 from weftline.operators.retrieval import _BM25, _DOT, dot
 from weftline.plans.registry import query
 from weftline.sources.tables import table
@@ -63,7 +63,15 @@ def dense(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
 
 
 _DENSE = f"dn AS (SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id <> q.vec_id)) WHERE rank <= {DEPTH})"
-_RANDOM = "rn AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY md5(item_id || ':' || doc_id), doc_id) AS rank FROM items JOIN documents ON doc_id % 29 = item_id % 29)"
+#: Draws that mixed candidates come from, and how many an item tries that still lacks random ones.
+DRAWN, ATTEMPTS = 64, 1000
+
+
+def _random(draws: int) -> str:
+    return f"""pl AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () AS n FROM documents),
+    rn AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY min(j)) AS rank FROM (SELECT item_id, j, CAST('0x' || substr(md5(item_id || ':' || j), 1, 15) AS BIGINT) AS h FROM items, range({draws}) t(j)) x JOIN pl ON place = h % n GROUP BY item_id, doc_id)"""
+
+
 _CLEAN = lambda name, source: f"{name} AS (SELECT x.item_id, x.doc_id, x.rank FROM {source} x JOIN items USING (item_id) JOIN documents d ON d.doc_id = x.doc_id WHERE x.doc_id % 7 <> 0 AND NOT coalesce({_HELD}, false))"
 
 
@@ -76,21 +84,44 @@ def dense_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best(without_answers(dense(spark, sf_dir, DEPTH).where("doc_id % 7 <> 0"), asked, docs), 5, "rank").select("item_id", "doc_id", "place")
 
 
-def random_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, rank): documents of the item's residue class in the order of a hash of both, so items and documents meet by a key."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 29).alias("c"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 29).alias("c"))
-    h = F.md5(F.concat_ws(":", F.col("item_id").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
-    return d.join(b, "c").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(h, "doc_id"))).select("item_id", "doc_id", "rank")
+def placed(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, place): a written table of dense places from 0 in the order of the key, from the sizes of its ranges."""
+    ranged = stored(docs.select(key).repartitionByRange(key).sortWithinPartitions(key).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    sizes = ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("at").alias("low"))  # a row for each range
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return stored(ranged.join(F.broadcast(sizes.select("part", (before - F.col("low")).alias("shift"))), part == F.col("part")).select(key, (F.col("at") + F.col("shift")).alias("place")))
+
+
+def random_draws(asked: DataFrame, places: DataFrame, low: int, high: int) -> DataFrame:
+    """(item_id, doc_id, draw): what each item's draws from ``low`` to below ``high`` take, a uniform place each; of equal ones the first counts. Rows are as many as draws, whatever the number of documents."""
+    n = places.count()
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("item_id").cast("string"), F.col("j").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    drawn = asked.select("item_id", F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("j")).select("item_id", "j", (h % F.lit(max(n, 1))).alias("place"))
+    return places.join(few(stored(drawn)), "place").groupBy("item_id", "doc_id").agg(F.min("j").alias("draw"))
+
+
+def random_candidates(spark: SparkSession, sf_dir: str, draws: int = DRAWN) -> DataFrame:
+    """(item_id, doc_id, rank): the distinct documents of an item's draws, in their order."""
+    found = random_draws(table(spark, sf_dir, "benchmark").select("item_id"), placed(table(spark, sf_dir, "documents")), 0, draws)
+    return found.select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy("draw")).alias("rank"))
 
 
 @query(
     "random_negatives",
-    f"WITH {_ANSWERS}, {_RANDOM}, {_CLEAN('c', 'rn')} SELECT item_id, doc_id, CAST(p AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS p FROM c) WHERE p <= 5",
+    f"WITH {_ANSWERS}, {_random(ATTEMPTS)}, {_CLEAN('c', 'rn')} SELECT item_id, doc_id, CAST(p AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS p FROM c) WHERE p <= 5",
 )
 def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, docs = items(spark, sf_dir), table(spark, sf_dir, "documents").select("doc_id", "text")
-    return best(without_answers(random_candidates(spark, sf_dir).where("doc_id % 7 <> 0"), asked, docs), 5, "rank").select("item_id", "doc_id", "place")
+    """Five documents of each item that its draws meet first and that neither are excluded nor hold an answer. Items that lack some after DRAWN draws go on, up to ATTEMPTS."""
+    asked, docs = stored(items(spark, sf_dir)), table(spark, sf_dir, "documents").select("doc_id", "text")
+    places = placed(docs)
+    clean = lambda rows, low, high: without_answers(random_draws(rows, places, low, high).where("doc_id % 7 <> 0"), rows, docs).select("item_id", "doc_id", "draw")
+    found = stored(clean(asked, 0, DRAWN))
+    lacking = stored(asked.join(few(stored(found.groupBy("item_id").count().where("count >= 5"))), "item_id", "left_anti"))
+    if lacking.limit(1).count():
+        more = clean(lacking, DRAWN, ATTEMPTS).join(found.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+        found = found.unionByName(more)
+    return best(found, 5, "draw").select("item_id", "doc_id", "place")
 
 
 def thirds(n: Column) -> dict[str, Column]:
@@ -101,7 +132,7 @@ def thirds(n: Column) -> dict[str, Column]:
 
 @query(
     "mixed_negatives",
-    f"""WITH {_BM25}, {_ANSWERS}, {_DENSE}, {_RANDOM}, bm AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= {DEPTH}), {_CLEAN('cd', 'dn')}, {_CLEAN('cb', 'bm')}, {_CLEAN('cr', 'rn')},
+    f"""WITH {_BM25}, {_ANSWERS}, {_DENSE}, {_random(DRAWN)}, bm AS (SELECT item_id, doc_id, rank FROM r WHERE rank <= {DEPTH}), {_CLEAN('cd', 'dn')}, {_CLEAN('cb', 'bm')}, {_CLEAN('cr', 'rn')},
     n AS (SELECT item_id, 5 + item_id % 4 AS n FROM benchmark),
     a AS (SELECT item_id, doc_id, 0 AS src, rank FROM (SELECT c.*, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS p FROM cd c) JOIN n USING (item_id) WHERE p <= n // 3 + CASE WHEN n % 3 >= 1 THEN 1 ELSE 0 END),
     b AS (SELECT item_id, doc_id, 1 AS src, rank FROM (SELECT c.*, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS p FROM cb c ANTI JOIN a USING (item_id, doc_id)) JOIN n USING (item_id) WHERE p <= n // 3 + CASE WHEN n % 3 = 2 THEN 1 ELSE 0 END),

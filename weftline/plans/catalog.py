@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.operators import articles, bootstrap, collation, containment, corrections, generators, groupstats, metrics, negatives, packing, quantiles, relational, retrieval, sampling, scans, scoring, streams, tasks, textqueries, tokens, vectorindex  # noqa: F401
+from weftline.operators import articles, bootstrap, collation, containment, corrections, generators, groupstats, metrics, multihop, negatives, packing, quantiles, relational, retrieval, sampling, scans, scoring, streams, tablefunctions, tasks, textqueries, tokens, vectorindex  # noqa: F401
 from weftline.plans.oracles import INDEPENDENT
 from weftline.plans.registry import ORACLES, QUERIES, Query
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources.files import exists, names, remove, shared_path
+
 
 class Registry(dict):
     """Functions by name. A second, different one under a name is an error, as is a name that isn't there."""
@@ -106,17 +108,37 @@ def dispatched(split: str | None = None, schema: str | None = None):
 
 
 class CurriculumSampler:
-    """Rows in an order that feedback changes: those whose group's last mean score is nearest to one half come first. Its state is a number for each group."""
+    """Rows in an order that feedback changes: those whose group's last mean score is nearest to one half come first.
+
+    Its state is a number for each group, a table under ``path`` in versions:
+    an update merges into the last one and writes the next, so a plan reads one
+    table however many updates there were, and a sampler at the same path goes
+    on where another stopped. A version counts once it is complete; older ones
+    but the last are deleted.
+    """
+
+    def __init__(self, group: str, spark: SparkSession, path: str | None = None) -> None:
+        self.group, self.spark, self.path = group, spark, path or shared_path(spark)
+
+    def version(self) -> int:
+        """The last complete version, 0 if there is none."""
+        return max((int(n.removeprefix("v")) for n in names(self.spark, self.path) if n.startswith("v") and exists(self.spark, f"{self.path}/{n}/_SUCCESS")), default=0)
 
-    def __init__(self, group: str) -> None:
-        self.group = group
-        self.seen: DataFrame | None = None
+    def state(self) -> DataFrame | None:
+        last = self.version()
+        return self.spark.read.parquet(f"{self.path}/v{last}") if last else None
 
     def update(self, scored: DataFrame, score: str = "score") -> None:
+        last, old = self.version(), self.state()
         new = scored.groupBy(self.group).agg(F.avg(score).alias("mean"))
-        self.seen = new if self.seen is None else self.seen.join(new, self.group, "left_anti").unionByName(new)
+        if old is not None:
+            was, group = F.col("was"), F.col("old_group")
+            old = old.select(F.col(self.group).alias("old_group"), F.col("mean").alias("was"))
+            new = new.join(old, F.col(self.group).eqNullSafe(group), "full").select(F.coalesce(self.group, group).alias(self.group), F.coalesce("mean", was).alias("mean"))
+        new.write.mode("overwrite").parquet(f"{self.path}/v{last + 1}")
+        remove(self.spark, f"{self.path}/v{last - 1}")
 
     def next_rows(self, rows: DataFrame, n: int, key: str) -> DataFrame:
-        mean = F.lit(0.5).alias("mean")
-        d = rows.withColumn("mean", mean) if self.seen is None else rows.join(self.seen, self.group, "left").na.fill(0.5, ["mean"])
+        seen = self.state()
+        d = rows.withColumn("mean", F.lit(0.5)) if seen is None else rows.join(seen, self.group, "left").na.fill(0.5, ["mean"])
         return d.orderBy(F.abs(F.col("mean") - 0.5), F.xxhash64(key), key).limit(n).drop("mean")

@@ -109,6 +109,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return store.exists(target)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it isn't there."""
+    target, store = _store(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(target)] if store.exists(target) else []
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not be there yet; False if it is. One of several writers succeeds."""
+    target, store = _store(spark, path)
+    try:
+        out = store.create(target, False)
+    except Exception:  # noqa: BLE001  whatever a store says of a file that is there
+        if store.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
 def folder_digest(spark: SparkSession, paths: list[str]) -> str:
     """A digest of names, sizes and times of all files in the folders of ``paths``: another one when a file is written anew."""
     rows = []
