@@ -48,7 +48,11 @@ def conversation_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.groupBy("event_type").applyInPandas(draw, "event_type string, best_4 double, std double")
 
 
-@query("best_versus_other")
+@query(
+    "best_versus_other",
+    """SELECT user_id, arg_max(event_id, value * 1e9 - event_id) AS chosen, (SELECT min(o.event_id) FROM events o WHERE o.user_id = e.user_id AND o.event_type <> (SELECT t.event_type FROM events t WHERE t.user_id = e.user_id ORDER BY t.value DESC, t.event_id LIMIT 1)) AS rejected
+    FROM events e GROUP BY user_id HAVING count(DISTINCT event_type) > 1""",
+)
 def best_versus_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best event of each user and the first that differs in type from it."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")

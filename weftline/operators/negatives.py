@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.articles import _ARTICLES, articles, expanded
 from weftline.operators.postings import bm25, few, stored
-from weftline.operators.retrieval import _BM25, _DOT, dot
+from weftline.operators.retrieval import _BM25, _DOT, dot, vector_top_k
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -54,12 +54,10 @@ def ranked_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
-    """(item_id, doc_id, rank): the vectors nearest to that with the item's id. The items are few and stated; each partition of vectors ranks them by itself first."""
+    """(item_id, doc_id, rank): the vectors nearest to that with the item's id. Items are counted and meet the vectors in blocks; each partition of vectors ranks them by itself first."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = v.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
-    pairs = v.crossJoin(F.broadcast(q)).where("vec_id <> item_id").select("item_id", F.col("vec_id").alias("doc_id"), F.round(dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= depth).select("item_id", "doc_id", "rank")
+    return vector_top_k(q.select(F.col("item_id").alias("vec_id"), F.col("q").alias("embedding")), v, depth).select(F.col("qid").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"))
 
 
 _DENSE = f"dn AS (SELECT item_id, doc_id, rank FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, round({_DOT}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id <> q.vec_id)) WHERE rank <= {DEPTH})"

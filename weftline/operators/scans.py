@@ -89,12 +89,17 @@ def running_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.articles(spark, path).select("id", F.col("title").cast("long").alias("title"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("offset_index", "SELECT row_number() OVER (ORDER BY page_id) - 1 AS line, coalesce(sum(octet_length(encode(url)) + 1) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at, octet_length(encode(url))::INT AS bytes FROM pages WHERE page_id < 1000")
+@query(
+    "offset_index",
+    "SELECT page_id // 200 AS part, row_number() OVER w - 1 AS line, coalesce(sum(octet_length(encode(url)) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_at, octet_length(encode(url))::BIGINT AS bytes FROM pages WINDOW w AS (PARTITION BY page_id // 200 ORDER BY page_id)",
+)
 def offset_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each line of a text file of a thousand addresses begins, in bytes."""
+    """Where each line of text files of 200 addresses begins, in bytes."""
     path = index_path(spark)
-    table(spark, sf_dir, "pages").where("page_id < 1000").select("page_id", "url").coalesce(1).sortWithinPartitions("page_id").select("url").write.text(path)
-    return files.line_offsets(spark, path).select("line", F.col("offset").alias("start_at"), F.col("bytes").cast("int").alias("bytes"))
+    p = table(spark, sf_dir, "pages").select(F.expr("page_id DIV 200").alias("part"), "page_id", F.col("url").alias("value"))
+    p.repartition("part").sortWithinPartitions("part", "page_id").drop("page_id").write.partitionBy("part").text(path)
+    part = F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
+    return files.line_offsets(spark, path).select(part.alias("part"), "line", F.col("offset").alias("start_at"), "bytes")
 
 
 TRAINING = T.StructType([T.StructField("id", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("split", T.StringType())])

@@ -138,15 +138,38 @@ def cjk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 sql_query("quadratic_cost", "SELECT doc_id, CAST(24576 * n_chars + n_chars * n_chars AS BIGINT) AS cost FROM {documents}")
-sql_query(
+#: Log-probabilities of a token under two policies: k and value as places on a logarithmic scale of 101 and 501 steps.
+_RATIO = "ln((k + 1) / 101e0) - ln((least(value, 500e0) + 1) / 501e0)"
+_SPARK_LR = f"(SELECT event_id, event_type, {_RATIO} AS d FROM (SELECT event_id, event_type, value, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {{events}}))"
+_LR = f"(SELECT event_id, event_type, {_RATIO} AS d FROM (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"
+
+
+def _ratios(name: str, text: str, duck: str | None = None) -> None:
+    sql_query(name, text.replace("$D", _SPARK_LR), (duck or text).replace("$D", _LR))
+
+
+_K3 = "least(greatest(exp(least(greatest(-d, -20e0), 20e0)) + d - 1, -10e0), 10e0)"
+_W = "least(exp(least(greatest(d, -20e0), 20e0)), 2e0)"
+_ratios(
     "kl_estimators",
-    "SELECT event_id, round(d, 9) AS k1, round(abs(d), 9) AS k1_abs, round(d * d / 2, 9) AS k2, round(least(greatest(exp(least(greatest(-d, -20e0), 20e0)) + d - 1, -10e0), 10e0), 6) AS k3 FROM (SELECT event_id, (value - 30) / 100e0 AS d FROM {events})",
+    f"SELECT event_id, round(d, 9) AS k1, round(abs(d), 9) AS k1_abs, round(d * d / 2, 9) AS k2, round({_K3}, 6) AS k3 FROM $D",
+    "SELECT event_id, round(d, 9) AS k1, round(CASE WHEN d < 0 THEN -d ELSE d END, 9) AS k1_abs, round(pow(d, 2) * 0.5e0, 9) AS k2, round(CASE WHEN k > 10 THEN 10e0 WHEN k < -10 THEN -10e0 ELSE k END, 6) AS k3 FROM (SELECT *, exp(CASE WHEN d < -20 THEN 20e0 WHEN d > 20 THEN -20e0 ELSE -d END) - (1 - d) AS k FROM $D)",
 )
-sql_query(
+# means are joined: a window over a type would hold its rows in one task
+_ratios(
     "importance_weights",
-    "SELECT event_id, round(w / avg(w) OVER (PARTITION BY event_type), 6) AS weight FROM (SELECT event_id, event_type, least(exp(least(greatest((value - 30) / 100e0, -20e0), 20e0)), 2e0) AS w FROM {events})",
+    f"SELECT event_id, round(w / m, 6) AS weight FROM (SELECT event_id, event_type, {_W} AS w FROM $D) JOIN (SELECT event_type, avg({_W}) AS m FROM $D GROUP BY event_type) USING (event_type)",
+    f"SELECT event_id, round(w / avg(w) OVER (PARTITION BY event_type), 6) AS weight FROM (SELECT event_id, event_type, {_W} AS w FROM $D)",
+)
+_ratios(
+    "effective_sample_size",
+    "SELECT event_type, round(avg(w) * avg(w) / avg(w * w), 6) AS ess FROM (SELECT event_type, least(exp(d), 2e0) AS w FROM $D) GROUP BY event_type",
+    "SELECT event_type, round(1e0 / avg((w / m) * (w / m)), 6) AS ess FROM (SELECT event_type, w, avg(w) OVER (PARTITION BY event_type) AS m FROM (SELECT event_type, least(exp(d), 2e0) AS w FROM $D)) GROUP BY event_type",
+)
+_ratios(
+    "rollout_divergence",
+    "SELECT event_type, round(avg(d), 6) AS kl, round(avg(exp(-d) + d - 1), 6) AS k3, round(exp(avg(d)), 6) AS ppl, round(avg(exp(2 * d)) - 1, 6) AS chi2 FROM $D GROUP BY event_type",
+    "SELECT event_type, round(sum(d) / count(*), 6) AS kl, round((sum(exp(-d)) + sum(d)) / count(*) - 1, 6) AS k3, round(exp(sum(d) / count(*)), 6) AS ppl, round(sum(exp(d) * exp(d)) / count(*) - 1, 6) AS chi2 FROM $D GROUP BY event_type",
 )
-sql_query("effective_sample_size", "SELECT event_type, round(1e0 / avg((w / m) * (w / m)), 6) AS ess FROM (SELECT event_type, w, avg(w) OVER (PARTITION BY event_type) AS m FROM (SELECT event_type, least(exp((value - 30) / 100e0), 2e0) AS w FROM {events})) GROUP BY event_type")
-sql_query("rollout_divergence", "SELECT event_type, round(avg(d), 6) AS kl, round(avg(exp(-d) + d - 1), 6) AS k3, round(exp(avg(d)), 6) AS ppl, round(avg(exp(2 * d)) - 1, 6) AS chi2 FROM (SELECT event_type, (value - 30) / 100e0 AS d FROM {events}) GROUP BY event_type")
 sql_query("rounding_steps", "SELECT p_partkey, CAST(bround(p_retailprice / 5e0) * 5 AS DOUBLE) AS price FROM {part}", "SELECT p_partkey, CAST(round_even(p_retailprice / 5e0, 0) * 5 AS DOUBLE) AS price FROM part")
 sql_query("config_grid", "SELECT k, v, q FROM (SELECT CAST(r_regionkey + 1 AS INT) AS k FROM {region}) a CROSS JOIN (SELECT CAST(r_regionkey + 1 AS INT) AS v FROM {region}) b CROSS JOIN (SELECT CAST(r_regionkey + 1 AS INT) AS q FROM {region}) c WHERE k * v <= 16 AND q <= least(k, 6)")

@@ -73,8 +73,31 @@ INDEPENDENT = {
     "query_max_depth": "SELECT DISTINCT source, max(n_chars) OVER (PARTITION BY source) AS depth FROM documents",
     "quadratic_cost": "SELECT doc_id, CAST(n_chars * (24576 + n_chars) AS BIGINT) AS cost FROM documents",
     # ratios of two policies
-    "effective_sample_size": "SELECT event_type, round(sum(w) * sum(w) / (count(*) * sum(w * w)), 6) AS ess FROM (SELECT event_type, least(exp((value - 30) / 100e0), 2e0) AS w FROM events) GROUP BY event_type",
-    "rollout_divergence": "SELECT event_type, round(sum(d) / count(*), 6) AS kl, round(sum(1 / r + ln(r) - 1) / count(*), 6) AS k3, round(exp(sum(ln(r)) / count(*)), 6) AS ppl, round(sum(r * r - 1) / count(*), 6) AS chi2 FROM (SELECT event_type, (value - 30) / 100e0 AS d, exp((value - 30) / 100e0) AS r FROM events) GROUP BY event_type",
-    "importance_weights": "WITH w AS (SELECT event_id, event_type, CASE WHEN value >= 30 + 100 * ln(2) THEN 2e0 ELSE exp(greatest((value - 30) / 100e0, -20e0)) END AS w FROM events) SELECT event_id, round(w / m, 6) AS weight FROM w JOIN (SELECT event_type, sum(w) / count(*) AS m FROM w GROUP BY event_type) USING (event_type)",
     "config_grid": "SELECT CAST(k AS INT) AS k, CAST(v AS INT) AS v, CAST(q AS INT) AS q FROM (SELECT unnest(range(1, (SELECT count(*) FROM region) + 1)) AS k), (SELECT unnest(range(1, (SELECT count(*) FROM region) + 1)) AS v), (SELECT unnest(range(1, (SELECT count(*) FROM region) + 1)) AS q) WHERE NOT (k * v > 16) AND NOT (q > k OR q > 6)",
+    # token rows, sets and projections, by counts, lists and set operations
+    "step_weighted_baseline": f"""WITH r AS {R}, p AS (SELECT a.event_id, a.event_type, (SELECT count(*) FROM r b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.event_id <= a.event_id) AS pos,
+        (SELECT sum(b.value) FROM r b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.event_id >= a.event_id) AS g, (SELECT sum(b.k + 1) FROM r b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND b.event_id <= a.event_id) AS w FROM r a),
+        s AS (SELECT event_type, pos, sum(g * w) AS gw, sum(w) AS ws FROM p GROUP BY ALL) SELECT event_id, round(g - gw / (ws + 1e-8), 5) AS adv FROM p JOIN s USING (event_type, pos)""",
+    "rotate_to_first_valid": f"WITH l AS (SELECT list(event_id ORDER BY event_id) AS ids, list_position(list(k % 2 = 1 ORDER BY event_id), true) AS f FROM {R} GROUP BY user_id) SELECT unnest(ids) AS event_id, CASE WHEN f > 0 THEN (generate_subscripts(ids, 1) - f + len(ids)) % len(ids) END AS new_pos FROM l",
+    "keep_protected_tokens": f"WITH r AS {R} SELECT event_id FROM r WHERE k > 90 OR (SELECT count(*) FROM r b WHERE b.user_id = r.user_id AND b.k <= 90 AND b.event_id >= r.event_id) <= 30 - (SELECT count(*) FROM r c WHERE c.user_id = r.user_id AND c.k > 90)",
+    "next_token_sets": f"WITH l AS (SELECT list(k ORDER BY event_id) AS ks FROM {R} GROUP BY user_id), t AS (SELECT unnest(list_transform(range(1, len(ks) - 1), lambda i: [ks[i], ks[i + 1], ks[i + 2]])) AS x FROM l) SELECT x[1] AS first_token, x[2] AS second_token, x[3] AS next_token, count(*) AS n FROM t GROUP BY ALL",
+    "label_filter": "SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM documents WHERE source IS NULL OR source = '' OR lang IS NULL",
+    "inner_with_skip_counts": "SELECT (SELECT count(*) FROM documents JOIN labels USING (doc_id)) AS matched, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unmatched",
+    "first_per_pid": "SELECT pid, CASE WHEN pid IN (SELECT doc_id % 300 FROM documents) THEN 1 ELSE 2 END AS src FROM (SELECT doc_id % 300 AS pid FROM documents UNION SELECT doc_id % 500 FROM labels)",
+    "surrogate_keys": "WITH g AS (SELECT source, lang, min(doc_id) AS f FROM documents GROUP BY ALL) SELECT d.doc_id, (SELECT count(*) FROM g o WHERE o.f < g.f) AS key_id FROM documents d JOIN g USING (source, lang)",
+    "rotate_pairs": "SELECT event_id, coalesce((SELECT max(p.event_id) FROM events p WHERE p.event_id // 16 = e.event_id // 16 AND p.event_id < e.event_id), (SELECT max(p.event_id) FROM events p WHERE p.event_id // 16 = e.event_id // 16)) AS partner FROM events e",
+    "split_by_year": "SELECT o_orderkey, if(left(CAST(o_orderdate AS VARCHAR), 4) IN ('1996', '1997'), 'train', 'validation') AS split FROM orders",
+    "gather_rows": "SELECT turn, conv_id * 5 AS event_id, (SELECT value FROM events WHERE event_id = conv_id * 5) AS value FROM conversations WHERE conv_id * 5 IN (SELECT event_id FROM events)",
+    "rename_columns": "SELECT * FROM (SELECT event_id, value, event_type FROM events) t(row_id, score, kind)",
+    "column_subset": "SELECT COLUMNS('^(event_id|value)$') FROM events",
+    "length_filter": "SELECT conv_id FROM conversations WHERE turn = 0 EXCEPT ALL SELECT conv_id FROM conversations WHERE turn = 0 AND (text IS NULL OR length(text) > 512)",
+    "row_mean_of_cells": f"SELECT model, round(sum(s / n) / count(*), 6) AS mean_of_means FROM (SELECT model, ctx, sum(value) AS s, count(*) AS n FROM {M} GROUP BY ALL) GROUP BY model",
+    "reduce_by_name": f"SELECT 'loss_' || model AS name, round(sum(value) / count(*), 6) AS x FROM {M} GROUP BY model UNION ALL SELECT 'max_' || model, round(list_max(list(value)), 6) FROM {M} GROUP BY model UNION ALL SELECT 'minibatch_' || model, round(list_min(list(value)), 6) FROM {M} GROUP BY model",
+    "gradient_proxy": f"SELECT category, round(sum(pow(value, 2) * k) / count(*), 4) AS total_power, round(pow(sum(value) / count(*), 2), 6) AS signal_power FROM {M} GROUP BY category",
+    "threshold_argmax": f"WITH m AS (SELECT * FROM {M} WHERE k >= 10 AND k <= 60) SELECT category, event_id, value FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.category = m.category AND (o.value > m.value OR (o.value = m.value AND o.event_id < m.event_id)))",
+    "masked_variance": f"SELECT model, round(var_samp(value), 4) AS variance FROM {M} WHERE k > 30 GROUP BY model HAVING count(*) > 1",
+    "core_metrics": f"SELECT concat('mean@', ctx, '/', model) AS name, round(sum(value) / count(*), 6) AS x FROM {M} WHERE ctx = (SELECT max(ctx) FROM {M}) GROUP BY ctx, model",
+    "reward_vector": f"SELECT event_id, round(if(k > 20, value, 0) * 0.5e0 + if(k > 40, k, 0) * 0.3e0 + if(ctx = 1, 0.2e0, 0), 6) AS reward, NOT (k > 20 OR ctx = 1) AS none_applies FROM {M}",
+    "integer_thirds": "SELECT doc_id, (doc_id + 2) // 3 AS dense, (doc_id + 1) // 3 AS sparse, doc_id // 3 AS rest FROM documents",
+    "over_fetch": "SELECT doc_id, (8 * doc_id + 4) // 5 AS depth FROM documents",
 }

@@ -49,11 +49,20 @@ def articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def line_offsets(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, offset, bytes) of each line of text files: where a reader finds it without the lines before."""
+    """(file, line, offset, bytes) of each line of text files: where a reader finds it without the lines before.
+
+    A file is read in blocks of spark.sql.files.maxPartitionBytes, a line at a
+    seam once. Lines are counted within their block; where a block begins is
+    the sum over the blocks before it, of which a window sees one row each.
+    """
     lines = spark.read.option("lineSep", "\n").text(path)
-    d = in_file_order(lines).withColumn("bytes", F.octet_length("value") + 1)
-    w = Window.partitionBy("_file").orderBy("_block", "_row").rowsBetween(Window.unboundedPreceding, -1)
-    return d.select(F.col("_file").alias("file"), F.count("*").over(w).alias("line"), F.coalesce(F.sum("bytes").over(w), F.lit(0)).alias("offset"), (F.col("bytes") - 1).alias("bytes"))
+    d = in_file_order(lines).select("_file", "_block", "_row", (F.octet_length("value") + 1).cast("long").alias("bytes"))
+    blocks = d.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("_file", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("_file", "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = d.withColumn("line", F.count("*").over(own)).withColumn("offset", F.coalesce(F.sum("bytes").over(own), F.lit(0)))
+    return placed.join(starts, ["_file", "_block"]).select(F.col("_file").alias("file"), (F.col("lines") + F.col("line")).alias("line"), (F.col("start") + F.col("offset")).alias("offset"), (F.col("bytes") - 1).alias("bytes"))
 
 
 def messages(df: DataFrame, column: str = "messages") -> DataFrame:
