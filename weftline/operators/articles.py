@@ -199,11 +199,11 @@ def gold_first_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "passages_at_depth",
     """SELECT b.item_id, md5(array_to_string(d.texts[1:depth] || ['>> ' || b.text] || d.texts[depth + 1:], chr(10))) AS digest, depth FROM (SELECT *, CAST(floor((item_id % 10) / 10.0 * 8) AS INT) AS depth FROM benchmark) b JOIN
-    (SELECT doc_id // 8 AS g, list('[' || (doc_id % 8) || '] ' || left(text, 100) ORDER BY doc_id) AS texts FROM documents GROUP BY ALL) d ON d.g = b.item_id""",
+    (SELECT doc_id // 8 AS g, list('[' || (doc_id % 8) || '] ' || text ORDER BY doc_id) AS texts FROM documents GROUP BY ALL) d ON d.g = b.item_id""",
 )
 def passages_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text put among eight numbered passages at a relative depth, as one prompt."""
-    d = table(spark, sf_dir, "documents").select(F.expr("doc_id DIV 8").alias("item_id"), "doc_id", F.concat(F.lit("["), (F.col("doc_id") % 8).cast("string"), F.lit("] "), F.left("text", F.lit(100))).alias("p"))
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id DIV 8").alias("item_id"), "doc_id", F.concat(F.lit("["), (F.col("doc_id") % 8).cast("string"), F.lit("] "), "text").alias("p"))
     b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.floor((F.col("item_id") % 10) / 10.0 * 8).cast("int").alias("depth"))
     g = d.join(b.select("item_id"), "item_id", "left_semi").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "p"))), lambda x: x["p"]).alias("ps")).join(b, "item_id")
     # an insertion past the end of a short list is at its end, as a slice has it
@@ -211,8 +211,8 @@ def passages_at_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("item_id", F.md5(F.array_join(parts, "\n").cast("binary")).alias("digest"), "depth")
 
 
-_FORMS = {"bracket": ("'Document [' || doc_id || '] (Title: ' || source || ') ' || left(text, 80)"), "lines": "'Title: ' || source || chr(10) || left(text, 80)", "numbered": "'[' || doc_id || '] ' || left(text, 80)", "named": "doc_id || ': ' || source || ' - ' || left(text, 80)", "plain": "left(text, 80)"}
-_RANKED = {"id": "'[ID: ' || doc_id || '] Document: ' || left(text, 60)", "passage": "'Passage ' || doc_id || ': ' || left(text, 60)", "bare": "'[' || doc_id || '] ' || left(text, 60)"}
+_FORMS = {"bracket": ("'Document [' || doc_id || '] (Title: ' || source || ') ' || text"), "lines": "'Title: ' || source || chr(10) || text", "numbered": "'[' || doc_id || '] ' || text", "named": "doc_id || ': ' || source || ' - ' || text", "plain": "text"}
+_RANKED = {"id": "'[ID: ' || doc_id || '] Document: ' || text", "passage": "'Passage ' || doc_id || ': ' || text", "bare": "'[' || doc_id || '] ' || text"}
 
 
 @query(
@@ -222,12 +222,11 @@ _RANKED = {"id": "'[ID: ' || doc_id || '] Document: ' || left(text, 60)", "passa
 def render_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in five forms and ranked passages in three, the form chosen for each."""
     c, n = F.col, F.col("doc_id").cast("string")
-    head = lambda k: F.left("text", F.lit(k))
     forms = [
-        F.format_string("Document [%d] (Title: %s) %s", c("doc_id"), c("source"), head(80)), F.concat_ws("\n", F.concat(F.lit("Title: "), "source"), head(80)), F.concat(F.lit("["), n, F.lit("] "), head(80)),
-        F.concat(F.concat_ws(": ", n, "source"), F.lit(" - "), head(80)), head(80),
+        F.format_string("Document [%d] (Title: %s) %s", c("doc_id"), c("source"), "text"), F.concat_ws("\n", F.concat(F.lit("Title: "), "source"), "text"), F.concat(F.lit("["), n, F.lit("] "), "text"),
+        F.concat(F.concat_ws(": ", n, "source"), F.lit(" - "), "text"), c("text"),
     ]
-    ranked = [F.concat(F.lit("[ID: "), n, F.lit("] Document: "), head(60)), F.format_string("Passage %d: %s", c("doc_id"), head(60)), F.concat(F.lit("["), n, F.lit("] "), head(60))]
+    ranked = [F.concat(F.lit("[ID: "), n, F.lit("] Document: "), "text"), F.format_string("Passage %d: %s", c("doc_id"), "text"), F.concat(F.lit("["), n, F.lit("] "), "text")]
     pick = lambda xs: F.md5(F.element_at(F.array(*xs), (c("doc_id") % len(xs) + 1).cast("int")).cast("binary"))
     return table(spark, sf_dir, "documents").select("doc_id", pick(forms).alias("document"), pick(ranked).alias("passage"))
 

@@ -209,12 +209,12 @@ def stepwise(text: Column, label: Column) -> tuple[Column, Column, Column]:
 
 @query(
     "step_labels",
-    """SELECT doc_id, md5(trim(replace(left(text, 60), '?', '')) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '?' END) AS prompt, md5(CASE WHEN doc_id % 2 = 0 THEN 'Step 1: ' ELSE '' END || source || '|Step 2: ' || lang || '|Step 3: end') AS steps,
+    """SELECT doc_id, md5(trim(replace(replace(replace(text, '?', ''), 'Step 1:', ''), 'step 1:', '')) || CASE WHEN doc_id % 2 = 0 THEN '' ELSE '?' END) AS prompt, md5(CASE WHEN doc_id % 2 = 0 THEN 'Step 1: ' ELSE '' END || source || '|Step 2: ' || lang || '|Step 3: end') AS steps,
     CASE WHEN doc_id % 3 = 0 THEN '1' ELSE '0' END || ',1,' || CASE WHEN n_chars % 2 = 0 THEN '1' ELSE '0' END AS labels FROM documents""",
 )
 def step_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Solutions cut at their marks, with a label for each step."""
-    head = F.replace(F.left("text", F.lit(60)), F.lit("?"), F.lit(""))
+    head = F.regexp_replace("text", r"\?|[Ss]tep 1:", "")
     first = F.when(F.col("doc_id") % 2 == 0, F.concat(head, F.lit(" Step 1: "), "source")).otherwise(F.concat(F.trim(head), F.lit("? "), "source"))
     parts = [first, F.concat(F.lit(" Step 2: "), "lang"), F.lit(" Step 3: end")]
     signs = [F.when(F.col("doc_id") % 3 == 0, F.lit("+")).otherwise(F.lit("-")), F.lit("+"), F.when(F.col("n_chars") % 2 == 0, F.lit("+")).otherwise(F.lit("-"))]

@@ -65,9 +65,9 @@ def answer_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AGG = f"list_filter(string_split_regex(translate(replace(replace(strip_accents(lower(regexp_replace(s, '\\[[0-9]+\\]', ' ', 'g'))), 'ß', 'ss'), '&', ' and '), {PUNCT}, '{' ' * 32}'), '\\s+'), lambda w: w NOT IN ('a', 'an', 'the', ''))"
 
 
-@query("aggressive_answers", f"SELECT doc_id, array_to_string({_AGG}, ' ') AS answer FROM (SELECT doc_id, 'The [12] ' || left(text, 200) || ' & a/b_c' AS s FROM documents)")
+@query("aggressive_answers", f"SELECT doc_id, array_to_string({_AGG}, ' ') AS answer FROM (SELECT doc_id, 'The [12] ' || text || ' & a/b_c' AS s FROM documents)")
 def aggressive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("The [12] "), F.left("text", F.lit(200)), F.lit(" & a/b_c")).alias("s"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("The [12] "), "text", F.lit(" & a/b_c")).alias("s"))
     return d.select("doc_id", A.aggressive(F.col("s")).alias("answer"))
 
 

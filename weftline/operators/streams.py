@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import query
-from weftline.streaming import queue
+from weftline.sources.files import shared_path
+from weftline.sources.tables import table
+from weftline.streaming import once, queue
 
 REQUIRED, VERSION = 8, 100
 
@@ -48,3 +50,12 @@ def staleness_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = queue.drained(queue.staleness(_events(spark, sf_dir), VERSION), f"stale_{uuid.uuid4().hex[:8]}")
     last = rows.groupBy("event_type").agg(F.max_by(F.struct("version", "stale", "resets"), F.struct("version", "stale")).alias("r"))
     return last.select("event_type", "r.*")
+
+
+@query("committed_lines", "SELECT event_id, event_type FROM events")
+def committed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON lines, a batch at a time, each written once: the first batch comes a second time, as after a failure, and adds nothing."""
+    path, columns = shared_path(spark), ["event_id", "event_type"]
+    once.lines_once(_events(spark, sf_dir).select(*columns), path, f"{path}-checkpoint").awaitTermination()
+    once.commit_batch(table(spark, sf_dir, "events").select(*columns), path, 0)
+    return once.committed(spark, path, "event_id bigint, event_type string")

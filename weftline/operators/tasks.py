@@ -132,7 +132,7 @@ def multi_needle_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.withColumn("needles", needles)
     lines = F.transform("needles", lambda n: F.concat(F.lit("One of the values for "), n["key"], F.lit(" is: "), n["value"], F.lit(".")))
     depths = F.transform("needles", lambda n, j: (numbered_hash(i, "depth", j) + 1) / float(2**32))
-    body = F.array_join(inserted(shuffled(F.slice("sentences", 1, 200), "essay", i), lines, depths), " ")
+    body = F.array_join(inserted(shuffled(F.col("sentences"), "essay", i), lines, depths), " ")
     of = lambda wanted: F.array_join(F.transform(F.filter("needles", lambda n: (n["a"] <= F.col("q")) if wanted else (n["a"] > F.col("q"))), lambda n: n["value"]), " ")
     keys = F.array_join(F.array_distinct(F.transform(F.filter("needles", lambda n: n["a"] <= F.col("q")), lambda n: n["key"])), ", ")
     return d.select("doc_id", with_question(body, F.concat(F.lit("All values for: "), keys), chance("place", i)).alias("prompt"), of(True).alias("answer"), of(False).alias("neg_answer"), "k", "v", "q")
@@ -188,13 +188,13 @@ def solve_and_look_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "filtered_prompts",
-    f"SELECT doc_id, 'Solve: ' || left(text, 200) AS prompt, split FROM (SELECT *, CASE WHEN {_picked(0, 9, 'split', 'doc_id')} = 0 THEN 'validation' ELSE 'train' END AS split FROM documents WHERE NOT regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]')) WHERE split = 'validation' OR (CAST('0x' || substr(md5('half:' || doc_id), 1, 8) AS BIGINT) + 1) / 4294967296.0 <= 0.5",
+    f"SELECT doc_id, 'Solve: ' || text AS prompt, split FROM (SELECT *, CASE WHEN {_picked(0, 9, 'split', 'doc_id')} = 0 THEN 'validation' ELSE 'train' END AS split FROM documents WHERE NOT regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]')) WHERE split = 'validation' OR (CAST('0x' || substr(md5('half:' || doc_id), 1, 8) AS BIGINT) + 1) / 4294967296.0 <= 0.5",
 )
 def filtered_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts without CJK characters, a tenth by hash for validation, and of the rest the first half in a random order for training."""
     d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x{4e00}-\x{9fff}]")).select("doc_id", "text")
     d = d.withColumn("split", F.when(number("split", F.col("doc_id")) % 10 == 0, "validation").otherwise("train"))
-    return d.where((F.col("split") == "validation") | (chance("half", F.col("doc_id")) <= 0.5)).select("doc_id", F.concat(F.lit("Solve: "), F.left("text", F.lit(200))).alias("prompt"), "split")
+    return d.where((F.col("split") == "validation") | (chance("half", F.col("doc_id")) <= 0.5)).select("doc_id", F.concat(F.lit("Solve: "), "text").alias("prompt"), "split")
 
 
 LETTERS = "ABCD"
