@@ -213,30 +213,25 @@ def discounted_returns(rewards: Column, gamma: float, after: Column | None = Non
 
 
 #: Steps of a block of a trajectory.
-BLOCK = 256
+BLOCK = 1024
 
 
 def discounted(rows: DataFrame, group: list[str], order: str, value: str, gamma: float) -> DataFrame:
     """``rows`` (group, order, value) with ``ret``, the discounted sum of the value from a row to its trajectory's end.
 
     Trajectories are cut into blocks of BLOCK steps. A block's own sum comes
-    from its array; what follows a block is a discounted sum over the blocks of
-    its trajectory, an array BLOCK times shorter. So no array is as long as a
-    trajectory, and work is in proportion to it.
+    from its array; what follows a block is folded from the sums of the blocks
+    after it, BLOCK times fewer than steps. So no array is as long as a
+    trajectory, and all is done where one shuffle by trajectory has put it.
     """
     w = Window.partitionBy(*group).orderBy(order)
     r = rows.select(*group, order, F.col(value).cast("double").alias("_v")).withColumn("_b", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int"))
     blocks = r.groupBy(*group, "_b").agg(F.array_sort(F.collect_list(F.struct(order, "_v"))).alias("_s"))
     blocks = blocks.withColumn("_own", F.get(discounted_returns(F.col("_s._v"), gamma), F.lit(0)))
-    chain = blocks.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_b", "_own", F.size("_s").alias("_n")))).alias("_c"))
-    begin = F.struct(F.array().cast("array<struct<b: int, after: double>>").alias("out"), F.lit(0.0).alias("run"))
-
-    def step(a: Column, c: Column) -> Column:
-        out = F.array_append(a["out"], F.struct(c["_b"].alias("b"), a["run"].alias("after")))
-        return F.struct(out.alias("out"), (c["_own"] + F.pow(F.lit(gamma), c["_n"].cast("double")) * a["run"]).alias("run"))
-
-    after = chain.select(*group, F.explode(F.aggregate(F.reverse("_c"), begin, step, lambda a: a["out"])).alias("_a")).select(*group, F.col("_a.b").alias("_b"), "_a.after")
-    rets = blocks.join(after, [*group, "_b"]).select(*group, F.explode(F.arrays_zip(F.col(f"_s.{order}").alias("_o"), discounted_returns(F.col("_s._v"), gamma, F.col("after")).alias("_r"))).alias("_z"))
+    later = Window.partitionBy(*group).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_c", F.collect_list(F.struct("_own", F.size("_s").alias("_n"))).over(later))
+    after = F.aggregate("_c", F.lit(0.0), lambda run, c: c["_own"] + F.pow(F.lit(gamma), c["_n"].cast("double")) * run)
+    rets = blocks.select(*group, F.explode(F.arrays_zip(F.col(f"_s.{order}").alias("_o"), discounted_returns(F.col("_s._v"), gamma, after).alias("_r"))).alias("_z"))
     return rets.select(*group, F.col("_z._o").alias(order), F.col("_z._r").alias("ret"))
 
 
