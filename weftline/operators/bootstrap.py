@@ -20,7 +20,7 @@ from weftline.plans.registry import query
 
 DRAWS, SEED = 1000, 42
 #: Values of a matrix of draws that are held at a time.
-HELD = 1 << 20
+HELD = 1 << 18
 KINDS = ("best", "worst", "maj")
 
 
@@ -40,15 +40,20 @@ def places(n: int, size: int, draws: int, seed: int) -> np.ndarray:
 
 def replicated(values: np.ndarray, votes: np.ndarray, size: int, draws: int = DRAWS, seed: int = SEED) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Of each row of ``values`` the mean and deviation over the draws of the best, the worst and the majority's value. Missing values (nan) are no best or worst; the majority's is the first drawn of the commonest vote, of equally common ones of that which comes first."""
-    at = places(values.shape[1], size, draws, seed)
+    at = np.ascontiguousarray(places(values.shape[1], size, draws, seed).T)  # draws last, so that every step below runs along them
+    first = (votes[:, :, None] == votes[:, None, :]).argmax(axis=2)
+    own = first == np.arange(votes.shape[1])
+    codes = np.take_along_axis(own.cumsum(axis=1) - 1, first, axis=1).astype(np.int16)  # a prompt's votes from 0
     out = {k: (np.empty(len(values)), np.empty(len(values))) for k in KINDS}
-    step = max(1, HELD // (draws * size * size))
+    step = max(1, HELD // (draws * size))
     for a in range(0, len(values), step):
         rows = slice(a, a + step)
-        v, p = values[rows][:, at], votes[rows][:, at]
-        common = (p[..., :, None] == p[..., None, :]).sum(axis=-1).argmax(axis=-1)
-        found = {"best": np.fmax.reduce(v, axis=-1), "worst": np.fmin.reduce(v, axis=-1), "maj": np.take_along_axis(v, common[..., None], axis=-1)[..., 0]}
-        for k, x in found.items():
+        v, p = values[rows][:, at], codes[rows][:, at]
+        count = np.stack([(p == c).sum(axis=1, dtype=np.int16) for c in range(int(p.max()) + 1)], axis=1)
+        most, maj = count.max(axis=1), v[:, -1]
+        for j in range(size - 2, -1, -1):
+            maj = np.where(np.take_along_axis(count, p[:, j : j + 1], axis=1)[:, 0] == most, v[:, j], maj)
+        for k, x in (("best", np.fmax.reduce(v, axis=1)), ("worst", np.fmin.reduce(v, axis=1)), ("maj", maj)):
             out[k][0][rows], out[k][1][rows] = x.mean(axis=1), x.std(axis=1)
     return out
 
