@@ -78,7 +78,7 @@ def hops_by_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "hops_that_meet",
-    f"""WITH RECURSIVE f AS ({_DUCK}), q AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25),
+    f"""WITH RECURSIVE f AS ({_DUCK}), q AS (SELECT DISTINCT l_orderkey * 1000000 + l_suppkey AS id, l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 25),
     w AS (SELECT id, 0 AS side, 'order ' || l_orderkey AS at, ['order ' || l_orderkey] AS visited FROM q UNION ALL SELECT id, 1, 'supplier ' || l_suppkey, ['supplier ' || l_suppkey] FROM q),
     p AS (SELECT * FROM w UNION ALL SELECT p.id, p.side, f.object, p.visited || [f.object] FROM p JOIN f ON f.subject = p.at WHERE len(p.visited) < 5 AND NOT list_contains(p.visited, f.object)),
     m AS (SELECT a.id, a.visited AS va, b.visited AS vb, a.at, row_number() OVER (PARTITION BY a.id ORDER BY len(a.visited) + len(b.visited), a.at) AS r FROM p a JOIN p b ON a.id = b.id AND a.side = 0 AND b.side = 1 AND a.at = b.at)
@@ -86,7 +86,7 @@ def hops_by_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hops_that_meet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an order's customer and a supplier have in common: two chains of evidence, each hop by hop with what it has visited, until they meet at the nearest title; pairs that never meet are dropped."""
-    q = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity > 25").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey", "l_suppkey")
+    q = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_quantity > 25").select((F.col("l_orderkey") * 1000000 + F.col("l_suppkey")).alias("id"), "l_orderkey", "l_suppkey").distinct()
     facts, sides = links(spark, sf_dir), []
     for kind, key in (("order ", "l_orderkey"), ("supplier ", "l_suppkey")):
         paths = every = begun(q.select("id", F.concat(F.lit(kind), key).alias("at")))
