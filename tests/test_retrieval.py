@@ -112,6 +112,7 @@ def corpus():
 def test_pruned_search_equals_full_scoring(spark, corpus, tmp_path, monkeypatch):
     docs, asked = corpus
     d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(asked, "item_id bigint, text string")
+    monkeypatch.setattr(postings, "BIN", 32)
     index = postings.write_index(d, str(tmp_path / "narrow"))
     got = sorted((r["item_id"], r["doc_id"], r["rank"]) for r in postings.search(index, q, 10).collect())
     assert got == plain_bm25(docs, asked, 10)
