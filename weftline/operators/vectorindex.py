@@ -20,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.retrieval import _DOT, dot, vector_top_k
+from weftline.operators.nearest import FOUND, streamed
+from weftline.operators.postings import stored
+from weftline.operators.retrieval import _DOT, TASK_VECTORS, vector_top_k
 from weftline.plans.registry import query
 from weftline.sources.files import shared_path
 from weftline.sources.tables import table
@@ -31,8 +33,6 @@ FLAT, LEAST = 1_000_000, 40
 COARSE_SAMPLE, LIST_SAMPLE = 50_000, 64
 #: Vectors of a cell that one task assigns; a cell of more is dealt over several.
 TASK_ROWS = 200_000
-#: Numbers of the chosen lists' queries that are broadcast; more meet the index by a shuffle.
-BROADCAST_NUMBERS = 8_000_000
 
 
 def ivf_lists(n: int) -> int:
@@ -46,8 +46,9 @@ def ivf_lists(n: int) -> int:
 def unit(c: Column) -> Column:
     """A vector at length one; a vector of zeros stays."""
     x = F.transform(c, lambda v: v.cast("double"))
-    length = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
-    return F.transform(x, lambda v: (v / F.greatest(F.sqrt(length), F.lit(1e-12))).cast("float"))
+    length = F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)), F.lit(1e-12))
+    # bound by a lambda of its own: inside that of the components the length would be summed again for each of them
+    return F.get(F.transform(F.array(length), lambda n: F.transform(x, lambda v: (v / n).cast("float"))), F.lit(0))
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
@@ -82,13 +83,14 @@ def fit(vectors: DataFrame, path: str, lists: int | None = None, seed: int = 3)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    v = prepared(vectors)
+    v = stored(prepared(vectors))
     spark, n = v.sparkSession, v.count()
     lists = max(1, min(lists or ivf_lists(n), n // LEAST))
     cells = max(1, round(lists**0.5))
     each = -(-lists // cells)
     below = lambda most: F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) < F.lit(int(min(1.0, 1.1 * most / max(n, 1)) * 2**53))
-    drawn = v.where(below(COARSE_SAMPLE)).limit(COARSE_SAMPLE).withColumn("features", array_to_vector(F.transform("vec", lambda x: x.cast("double"))))
+    sample = stored(v.where(below(COARSE_SAMPLE)).limit(COARSE_SAMPLE)).repartition(spark.sparkContext.defaultParallelism, "id")
+    drawn = sample.select("id", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"))
     if not n:
         raise ValueError("no vectors to fit an index on")
     centres = np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(drawn).clusterCenters(), dtype=np.float32)
@@ -96,6 +98,7 @@ def fit(vectors: DataFrame, path: str, lists: int | None = None, seed: int = 3)
     # twice the rows that are needed on average, then the first of each cell: cells of few vectors have all of theirs
     share = v.where(below(4 * lists * LIST_SAMPLE)).withColumn("cell", F.get(nearest_cells(spark, path, 1), F.lit(0)))
     first = share.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(seed)), "id"))).where(F.col("i") <= each * LIST_SAMPLE)
+    first = stored(first.select("cell", "vec"))
 
     def of_cell(found: pa.Table) -> pa.Table:
         vec = found.column("vec").combine_chunks()
@@ -167,7 +170,7 @@ def nearest_lists(rows: DataFrame, path: str, top: int, parts: int) -> DataFrame
 
 def append(vectors: DataFrame, path: str) -> None:
     """Add vectors to the index; its centres stay as they are."""
-    v = prepared(vectors)
+    v = stored(prepared(vectors))
     n = v.count()
     placed = v.withColumn("cell", F.get(nearest_cells(v.sparkSession, path, 1), F.lit(0)))
     found = nearest_lists(placed, path, 1, 1 + n // TASK_ROWS)
@@ -185,10 +188,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     kept = shared_path(spark)
     near.withColumn("r", best).where(F.col("r") <= probes).select(F.col("id").alias("qid"), F.col("vec").alias("qe"), "cell", "list").write.parquet(kept)
     chosen = spark.read.parquet(kept)
-    size = chosen.agg(F.sum(F.size("qe"))).first()[0] or 0
     index = spark.read.schema("list int, vec_id bigint, embedding array<float>, cell int").parquet(f"{path}/vectors")
-    pairs = index.join(F.broadcast(chosen) if size <= BROADCAST_NUMBERS else chosen, ["cell", "list"]).where("qid <> vec_id")
-    scored = pairs.select("qid", "vec_id", F.round(dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
+    parts = 1 + index.count() // (max(n_lists, 1) * TASK_VECTORS)
+    share = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<int>"))
+    asking = chosen.select("cell", "list", share.alias("part"), F.lit(0).alias("kind"), F.col("qid").alias("id"), F.col("qe").alias("vec"))
+    held = index.select("cell", "list", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    dealt = asking.unionByName(held).repartition("cell", "list", "part").sortWithinPartitions("cell", "list", "part", "kind")
+    scored = dealt.mapInArrow(streamed(k, "cell", "list", "part"), FOUND)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
