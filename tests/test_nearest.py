@@ -46,3 +46,20 @@ def test_top_k_in_blocks_and_odd_vectors(spark, monkeypatch):
     asked = [r for r in rows if r[0] % 20 == 0]
     assert {r for r in got if r[0] != 500} == plain(asked, rows, 7)
     assert {r[1:] for r in got if r[0] == 500} == {(i, None, i + 1) for i in range(7)}
+
+
+def test_index_search_streams_vectors(spark, tmp_path):
+    """No pair of a query and a vector is a row of a join, and a vector's length is summed once."""
+    from weftline.operators import vectorindex
+
+    rows = vectors(400, 3)
+    v, path = spark.createDataFrame(rows, VEC), str(tmp_path / "index")
+    vectorindex.fit(v, path, 4)
+    vectorindex.append(v, path)
+    found = vectorindex.search(spark, path, v.where("vec_id % 20 = 0"), 7, 100)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    unit = {i: (np.array(x) / np.sqrt((np.array(x) ** 2).sum())).astype(np.float32).tolist() for i, x in rows}
+    units = list(unit.items())
+    got = {(r["qid"], r["rank"]): r["score"] for r in found.collect()}
+    want = {(q, rank): s for q, _, s, rank in plain([u for u in units if u[0] % 20 == 0], units, 7)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 3e-6 for k in got)
