@@ -53,7 +53,8 @@ def _limit(name: str) -> str:
 )
 def rejection_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens kept under each of the eleven statistics, and under all."""
-    d, s = (F.col("value") - 30) / 60.0, Window.partitionBy("user_id", "event_type")
+    # a threshold may be met exactly: sums are in the order of events, however the rows are dealt
+    d, s = (F.col("value") - 30) / 60.0, Window.partitionBy("user_id", "event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rollouts(spark, sf_dir).select("event_id", *(kept(d, {n: LIMITS[n]}, s).alias(n) for n in STATISTICS), kept(d, LIMITS, s).alias("keep"))
 
 
