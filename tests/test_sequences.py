@@ -42,3 +42,13 @@ def test_statistics_sum_in_the_order_of_events(spark, tmp_path):
         pq.write_table(pa.table({k: list(v) for k, v in columns.items()} | {"props": [json.dumps({"k": 1})] * len(part)}), tmp_path / "events.parquet" / f"{name}.parquet")
     masks = {x["event_id"]: x["seq_sum_k1"] for x in corrections.rejection_masks(spark, str(tmp_path)).collect()}
     assert all(masks[i] for i, *_ in rows)
+
+
+def test_a_title_without_common_words_has_its_first_article(spark, tmp_path):
+    from weftline.operators import articles
+
+    pq.write_table(pa.table({"item_id": [1, 2], "text": ["alpha beta", "gamma " + "delta " * 60]}), tmp_path / "benchmark.parquet")
+    docs = [(7, "nothing alike", "src1", "fr"), (5, "nor this", "src1", "fr"), (9, "gamma", "src2", "de"), (8, "none", "src2", "de")]
+    pq.write_table(pa.table(dict(zip(("doc_id", "text", "source", "lang"), map(list, zip(*docs, strict=True)), strict=True))), tmp_path / "documents.parquet")
+    got = {tuple(r) for r in articles.best_title_match(spark, str(tmp_path)).collect()}
+    assert got == {(1, 5, 0.0), (2, 9, round(2 / 62, 6))}
