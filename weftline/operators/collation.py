@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.functions.text import tokens
+from weftline.functions.text import once, tokens
 from weftline.plans.registry import query
 from weftline.sources.tables import table
 
@@ -157,9 +157,19 @@ HUMAN, ASSISTANT = "\n\nHuman: ", "\n\nAssistant: "
 
 def common_start(a: Column, b: Column) -> Column:
     """The longest common beginning of two texts."""
-    n = F.least(F.length(a), F.length(b))
-    differ = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))))
-    return F.left(a, F.coalesce(differ - 1, n))
+
+    def of(p: Column) -> Column:  # by halves: each step compares beginnings
+        n = F.least(F.length(p["a"]), F.length(p["b"]))
+
+        def step(s: Column, _: Column) -> Column:
+            mid = F.shiftright(s["low"] + s["high"] + 1, 1)
+            same = F.left(p["a"], mid) == F.left(p["b"], mid)
+            return F.struct(F.when(same, mid).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(mid - 1).alias("high"))
+
+        steps = F.sequence(F.lit(1), F.length(F.bin(n.cast("long"))))
+        return F.left(p["a"], F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.alias("high")), step)["low"])
+
+    return once(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def dialogue(chosen: Column, rejected: Column) -> tuple[Column, Column, Column]:
