@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.nearest import FOUND, streamed
 from weftline.operators.postings import stored
-from weftline.operators.retrieval import _DOT, TASK_VECTORS, vector_top_k
+from weftline.operators.retrieval import _DOT, TASK_VECTORS, tasks, vector_top_k
 from weftline.plans.registry import query
 from weftline.sources.files import shared_path
 from weftline.sources.tables import table
@@ -33,6 +33,8 @@ FLAT, LEAST = 1_000_000, 40
 COARSE_SAMPLE, LIST_SAMPLE = 50_000, 64
 #: Vectors of a cell that one task assigns; a cell of more is dealt over several.
 TASK_ROWS = 200_000
+#: Queries that one task holds; those of a list that more ask are dealt over several.
+TASK_QUERIES = 50_000
 
 
 def ivf_lists(n: int) -> int:
@@ -189,12 +191,16 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     near.withColumn("r", best).where(F.col("r") <= probes).select(F.col("id").alias("qid"), F.col("vec").alias("qe"), "cell", "list").write.parquet(kept)
     chosen = spark.read.parquet(kept)
     index = spark.read.schema("list int, vec_id bigint, embedding array<float>, cell int").parquet(f"{path}/vectors")
-    parts = 1 + index.count() // (max(n_lists, 1) * TASK_VECTORS)
-    share = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<int>"))
-    asking = chosen.select("cell", "list", share.alias("part"), F.lit(0).alias("kind"), F.col("qid").alias("id"), F.col("qe").alias("vec"))
-    held = index.select("cell", "list", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    dealt = asking.unionByName(held).repartition("cell", "list", "part").sortWithinPartitions("cell", "list", "part", "kind")
-    scored = dealt.mapInArrow(streamed(k, "cell", "list", "part"), FOUND)
+    # a list is dealt over tasks by vectors and by queries; few parts, since each has a best of each of its queries
+    parts = min(1 + index.count() // (max(n_lists, 1) * TASK_VECTORS), -(-tasks(spark) // max(n_lists, 1)))
+    turns = 1 + q.count() // TASK_QUERIES
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<int>"))
+    turn = lambda c: F.pmod(F.xxhash64(c), F.lit(turns)).cast("int")
+    asking = chosen.select("cell", "list", numbers(parts).alias("part"), turn("qid").alias("turn"), F.lit(0).alias("kind"), F.col("qid").alias("id"), F.col("qe").alias("vec"))
+    held = index.select("cell", "list", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), numbers(turns).alias("turn"), F.lit(1).alias("kind"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    keys = ["cell", "list", "part", "turn"]
+    dealt = asking.unionByName(held).repartition(tasks(spark), *keys).sortWithinPartitions(*keys, "kind")
+    scored = dealt.mapInArrow(streamed(k, *keys), FOUND)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
