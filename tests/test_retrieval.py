@@ -124,6 +124,21 @@ def test_pruned_search_equals_full_scoring(spark, corpus, tmp_path, monkeypatch)
     assert postings.search(index, q.limit(0), 3).count() == 0
 
 
+def test_sums_of_queries_and_documents_stay_in_their_task(spark, corpus, tmp_path, monkeypatch):
+    """A block has all postings of its documents, so what leaves a task is the best of each query."""
+    docs, asked = corpus
+    docs = [*docs, (30_000, " ".join(f"w{i}" for i in range(900))), (30_001, docs[5][1]), (30_002, docs[5][1])]
+    monkeypatch.setattr(postings, "TOKENS", 700)  # one document is longer
+    monkeypatch.setattr(postings, "ASKING", 7)
+    d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(asked, "item_id bigint, text string")
+    index = postings.write_index(d, str(tmp_path / "index"))
+    assert sorted(i for r in index.blocks.select("ids").collect() for i in r["ids"]) == sorted(i for i, _ in docs)
+    parts = list(postings.asking(index, q, "item_id", "text"))
+    assert len(parts) > 1
+    assert all("Exchange" not in postings.scored(index, a, 6)._jdf.queryExecution().toString() for a in parts)
+    assert sorted((r["item_id"], r["doc_id"], r["rank"]) for r in postings.search(index, q, 6).collect()) == plain_bm25(docs, asked, 6)
+
+
 def test_index_is_built_once(spark, tmp_path, monkeypatch):
     docs = [(1, "red apple pie"), (2, "green apple"), (3, "of the"), (4, None)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
