@@ -349,6 +349,20 @@ class Plain:
             self.add(*x)
 
 
+def test_a_sweep_seats_every_customer(monkeypatch):
+    assert all(sum(int(pitmanyor.due(np.array([c]), k)[0]) for k in range(pitmanyor.TURNS)) == c for c in (1, 2, 63, 64, 65, 1000))
+    n = [1, 2, 5, 64, 700]
+    w = np.repeat(np.arange(5), n)
+    none = {"words": np.empty(0, np.int64), "number": np.empty(0, np.int64)}
+    b = pitmanyor.Bucket(np.arange(5), np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), w, np.ones(len(w), bool), none)
+    b.prepare(pitmanyor.Setting((0.5, 0.6, 0.7), (1.0, 0.8, 1.5), 0, 0), np.full(5, 0.2))
+    moved = []
+    real = pitmanyor.reseat
+    monkeypatch.setattr(pitmanyor, "reseat", lambda rng, c, t, m, new, alone: (alone is b.alone2 and moved.append(m.sum())) or real(rng, c, t, m, new, alone))
+    b.sweep(np.random.default_rng(1))
+    assert sum(moved) == sum(n) - 1  # the customer of a dish of one keeps its table
+
+
 def test_sampler_agrees_with_customer_by_customer_gibbs():
     r = random.Random(6)
     triples = [(r.choice([0, 1, 1]), r.choice([2, 3]), r.choice([0, 0, 0, 0, 1, 1, 4, 5])) for _ in range(150)]

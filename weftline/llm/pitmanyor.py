@@ -5,8 +5,8 @@ hash classes, has a restaurant. Its parent is the restaurant of the nearer
 word, which all contexts that end with it share, and the parent of these is one
 root, whose base is uniform over the known words and one unknown. Dishes are
 words; a new table sends a customer to the parent. Seatings are sampled by
-Gibbs: a customer of every dish is taken from its table and seated again, given
-all others, again and again. A dish is kept as its numbers of customers and
+Gibbs: in a sweep every customer is taken from its table and seated again, given
+all others, a turn after the other. A dish is kept as its numbers of customers and
 tables; the sizes of its tables, given these, are independent of all else, so
 whether a customer sits alone is drawn from them exactly (see Alone).
 Predictive probabilities are averaged over the last sweeps. Discounts come from
@@ -50,7 +50,9 @@ PASSES = 3
 CLASSES = 256
 #: Sweeps before the root is sampled again, after that, and those that are averaged.
 SWEEPS, BURN_IN, AVERAGED = 6, 3, 3
-ROOT_STEPS = 24
+ROOT_SWEEPS = 12
+#: Turns of a sweep. A dish of as many customers or fewer has one of them seated again in each of its turns, any other an equal part.
+TURNS = 64
 SEED = 10
 NO_ID = np.iinfo(np.int64).min
 MASK = np.uint64((1 << 48) - 1)
@@ -232,9 +234,13 @@ def arrive(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, m: np.ndarray
     return first + rng.binomial(m, np.clip(p, 0, 1))
 
 
-def reseat(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, new: np.ndarray, alone: Alone) -> tuple[np.ndarray, np.ndarray]:
-    """(closed, opened) tables when a customer of each dish, or a 64th of them, leaves and is seated again."""
-    m = np.maximum(c // 64, 1)
+def due(c: np.ndarray, turn: int) -> np.ndarray:
+    """How many customers of a dish are seated again in a turn; over the TURNS of a sweep these are all ``c``."""
+    return (c + (TURNS - 1 - turn)) // TURNS
+
+
+def reseat(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, m: np.ndarray, new: np.ndarray, alone: Alone) -> tuple[np.ndarray, np.ndarray]:
+    """(closed, opened) tables when ``m`` customers of each dish leave and are seated again."""
     closed = leave(rng, c, t, m, alone)
     return closed, arrive(rng, c - m, t - closed, m, new, alone.a)
 
@@ -302,7 +308,9 @@ class Bucket:
         del turn2, new, at, dish
         self.c2 = np.bincount(self.r2, weights=self.n).astype(np.int64)
         self.t = np.minimum(self.n, 1)
-        self.active = np.flatnonzero(self.n > 1)
+        # dishes of most customers first, so that those that a turn still moves are a beginning
+        self.active = np.argsort(-self.n, kind="stable")[: int((self.n > 1).sum())]
+        self.most = -self.n[self.active]
         self.c1 = np.bincount(self.d, weights=self.t, minlength=len(self.d_w)).astype(np.int64)
         self.t1 = np.minimum(self.c1, 1)
         self.sums()
@@ -330,11 +338,17 @@ class Bucket:
         return (self.c1[d] - self.s.discounts[1] * self.t1[d] + self.new1(d)) / (self.s.strengths[1] + self.c1_sum[self.d_r1[d]])
 
     def sweep(self, rng: np.random.Generator) -> None:
-        """A customer of every dish is seated again, in the two-word contexts first; tables that open and close there join and leave the one-word contexts."""
-        s, act = self.s, self.active
+        """Every customer is seated again, a turn after the other."""
+        last = int(max(-self.most[0] if len(self.most) else 0, self.c1.max(initial=0)))
+        for turn in range(min(TURNS, last)):
+            self.turn(rng, turn)
+
+    def turn(self, rng: np.random.Generator, turn: int) -> None:
+        """What is due of every dish is seated again, in the two-word contexts first; tables that open and close there join and leave the one-word contexts."""
+        s, act = self.s, self.active[: np.searchsorted(self.most, -turn)]
         if len(act):
             new = (s.strengths[2] + s.discounts[2] * self.t2_sum[self.r2[act]]) * self.middle(self.d[act])
-            closed, opened = reseat(rng, self.n[act], self.t[act], new, self.alone2)
+            closed, opened = reseat(rng, self.n[act], self.t[act], due(self.n[act], turn), new, self.alone2)
             change = np.flatnonzero(closed + opened)
             act, closed, opened = act[change], closed[change], opened[change]
             self.t[act] += opened - closed
@@ -345,9 +359,9 @@ class Bucket:
             t = t - leave(rng, c, t, gone, self.alone1)
             t = t + arrive(rng, c - gone, t, come, self.new1(hit), s.discounts[1])
             self.take(hit, c - gone + come, t)
-        act = np.flatnonzero(self.c1 > 1)
+        act = np.flatnonzero(self.c1 > max(turn, 1))
         if len(act):
-            closed, opened = reseat(rng, self.c1[act], self.t1[act], self.new1(act), self.alone1)
+            closed, opened = reseat(rng, self.c1[act], self.t1[act], due(self.c1[act], turn), self.new1(act), self.alone1)
             change = np.flatnonzero(closed != opened)
             act = act[change]
             self.take(act, self.c1[act], self.t1[act] + opened[change] - closed[change])
@@ -480,10 +494,10 @@ def rooting(setting: Setting | None, step: int):
             rng = np.random.default_rng([SEED, step, key[0].as_py()])
             alone, tables = Alone(setting.discounts[0]), setting.tables
             t = np.clip(unpack(r["d"], 5), np.minimum(c, 1), c)
-            act = np.flatnonzero(c > 1)
-            for _ in range(ROOT_STEPS if len(act) else 0):
+            for turn in range(ROOT_SWEEPS * TURNS):
+                act = np.flatnonzero(c > max(turn % TURNS, 1))
                 new = np.full(len(act), (setting.strengths[0] + setting.discounts[0] * tables) / (setting.distinct + 1))
-                closed, opened = reseat(rng, c[act], t[act], new, alone)
+                closed, opened = reseat(rng, c[act], t[act], due(c[act], turn % TURNS), new, alone)
                 t[act] += opened - closed
         counts = np.array([(c == 1).sum(), (c == 2).sum(), c.sum(), t.sum()])
         release()
