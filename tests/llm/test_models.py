@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, licenses, pitmanyor, tokencount, toxicity
+from weftline.llm import decontamination, licenses, pitmanyor, pyworker, tokencount, toxicity
 
 from .conftest import table_of, words
 from .test_dedup import plain_words
@@ -363,6 +363,50 @@ def test_a_sweep_seats_every_customer(monkeypatch):
     assert sum(moved) == sum(n) - 1  # the customer of a dish of one keeps its table
 
 
+class Draws:
+    """A generator that notes how many binomials are drawn."""
+
+    def __init__(self, seed):
+        self.rng, self.binomials = np.random.default_rng(seed), 0
+
+    def random(self, n):
+        return self.rng.random(n)
+
+    def binomial(self, m, p):
+        self.binomials += len(m)
+        return self.rng.binomial(m, p)
+
+
+def test_single_customers_take_no_binomials():
+    n = np.array([1, 2, 5, 64] * 50)
+    w = np.repeat(np.arange(len(n)), n)
+    none = {"words": np.empty(0, np.int64), "number": np.empty(0, np.int64)}
+    b = pitmanyor.Bucket(np.arange(len(n)), np.zeros(len(w), np.int64), np.zeros(len(w), np.int64), w, np.ones(len(w), bool), none)
+    b.prepare(pitmanyor.Setting((0.5, 0.6, 0.7), (1.0, 0.8, 1.5), 0, 0), np.full(len(n), 1 / len(n)))
+    rng = Draws(1)
+    for _ in range(3):
+        b.sweep(rng)
+    assert rng.binomials == 0 and b.t.sum() > len(n)
+    # none to leave, one, and several: the same means as a binomial's, within the same limits
+    m, p = np.repeat([0, 1, 1, 5], 20_000), np.repeat([0.9, 0.3, 1.0, 0.4], 20_000)
+    got, many = pitmanyor.drawn(rng, m, p)
+    assert got.reshape(4, -1).mean(axis=1) == pytest.approx([0, 0.3, 1, 2], abs=0.05) and (got <= m).all()
+    assert rng.binomials == len(many) == 20_000
+    c, t = (x.ravel() for x in np.meshgrid(np.arange(1, 300), np.arange(1, 300), indexing="ij"))
+    c, t = c[t <= c], t[t <= c]
+    for k in (1, 3):
+        m = np.minimum(c, k)
+        closed = pitmanyor.leave(rng, c, t, m, pitmanyor.Alone(0.7))
+        assert (closed >= np.maximum(t - (c - m), 0)).all() and (closed <= np.maximum(t - (c > m), 0)).all()
+        opened = pitmanyor.arrive(rng, c - m, t - closed, m, np.full(len(c), 0.5), 0.7)
+        assert (opened <= m).all() and (opened[c == m] > 0).all()
+
+
+def test_words_end_at_the_same_bytes_as_their_pattern():
+    text = "".join(f"A{chr(i)}b" for i in range(0x3001))
+    assert [w for x in pyworker.word_lists(text, 50) for w in x] == pyworker.WORD.findall(text.encode().translate(pyworker.LOWER))
+
+
 def test_sampler_agrees_with_customer_by_customer_gibbs():
     r = random.Random(6)
     triples = [(r.choice([0, 1, 1]), r.choice([2, 3]), r.choice([0, 0, 0, 0, 1, 1, 4, 5])) for _ in range(150)]

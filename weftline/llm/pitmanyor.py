@@ -30,7 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +68,7 @@ NAMES = [x.split()[0] for x in ROW.split(", ")]
 
 def tokens(text: str | None) -> np.ndarray:
     """48-bit hashes of a text's words and of its end."""
-    digest = xxhash.xxh64_intdigest
-    parts = [np.array([digest(w) for w in x], dtype=np.uint64) & MASK for x in word_lists(text)]
+    parts = [np.frombuffer(b"".join(map(xxhash.xxh64_digest, x)), dtype=">u8").astype(np.uint64) & MASK for x in word_lists(text)]
     return np.concatenate([*parts, np.array([END])])
 
 
@@ -85,10 +84,12 @@ def pack(values: np.ndarray, width: int) -> bytes:
 
 
 def unpack(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
-    out[:, :width] = raw.reshape(width, -1).T
-    return out.view("<i8").ravel()
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1)
+    out = raw[0].astype(np.int64)
+    for k in range(1, width):
+        if raw[k].any():  # the high bytes of most arrays are zeros
+            out |= raw[k].astype(np.int64) << (8 * k)
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -97,6 +98,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+def dealt(words: np.ndarray, parts: int) -> list[np.ndarray]:
+    """The places of the words (hashes) of each part of the hashes, in order."""
+    part = ((mixed(words) >> np.uint64(33)) % np.uint64(parts)).astype(np.int16)
+    return np.split(np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))[:-1])
+
+
 def tokenised(docs: DataFrame) -> DataFrame:
     """BLOCK rows of ``docs`` (id, text): for each document its key, id and number of tokens, the block's words and the tokens as places among them.
 
@@ -166,8 +173,7 @@ def word_rows(parts: int):
         words, at = unpack(r["words"], 6), unpack(r["tokens"], 4)
         learn = np.array([trains(int(i)) for i in unpack(r["ids"], 8)], dtype=bool)
         n = np.bincount(at[np.repeat(learn, unpack(r["sizes"], 4))], minlength=len(words))
-        part = (mixed(words) >> np.uint64(33)) % np.uint64(parts)
-        return [{"kind": 0, "part": p, "a": pack(words[use], 6), "b": pack(n[use], 4)} for p in range(parts) if (use := (part == p) & (n > 0)).any()]
+        return [{"kind": 0, "part": p, "a": pack(words[use], 6), "b": pack(n[use], 4)} for p, at in enumerate(dealt(words, parts)) if len(use := at[n[at] > 0])]
 
     return one
 
@@ -211,27 +217,51 @@ class Alone:
                 logs[c, 1 : n + 1] = np.logaddexp(logs[c - 1, :n], stay)
             self.table = np.zeros((n + 1, n + 1))
             self.table[1:, 1:] = np.nan_to_num(np.exp(logs[:n, :n] - logs[1:, 1 : n + 1]), nan=0.0, posinf=0.0)
+        self.flat = self.table.ravel()
         v = np.concatenate([np.logspace(-9, -2, 2000), np.linspace(0.01, 1.0, 4000)[1:-1]])
         z = 1 - v ** (1 / (1 - a))
         self.share, self.chance = np.r_[0.0, (1 - v ** (a / (1 - a))) * v / (a * z), 1.0], np.r_[0.0, v, 1.0]
 
     def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        few = c <= self.EXACT
-        small = self.table[np.where(few, c, 0), np.where(few, t, 0)]
-        return np.where(t <= 1, (c == 1).astype(float), np.where(few, small, np.interp(t / np.maximum(c, 1), self.share, self.chance)))
+        at, many = c * (self.EXACT + 1) + t, (c > self.EXACT).nonzero()[0]
+        if not len(many):
+            return self.flat.take(at)
+        at[many] = 0
+        out, t = self.flat.take(at), t[many]
+        out[many] = np.interp(t / c[many], self.share, self.chance) * (t > 1)
+        return out
+
+
+@lru_cache(maxsize=4)
+def alone_of(a: float) -> Alone:
+    """A worker's tables serve all its buckets."""
+    return Alone(a)
+
+
+def drawn(rng: np.random.Generator, m: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binomial draws, and the places of more than one trial. One, which is what nearly all have, is a comparison: a binomial takes many times as long."""
+    out, many = ((rng.random(len(m)) < p) & (m > 0)).astype(np.int64), (m > 1).nonzero()[0]
+    if len(many):
+        out[many] = rng.binomial(m[many], np.minimum(np.maximum(p[many], 0), 1))
+    return out, many
 
 
 def leave(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, m: np.ndarray, alone: Alone) -> np.ndarray:
     """The tables that close when ``m`` customers of each dish leave; one stays open where customers stay, and no more than these can fill."""
-    return np.clip(rng.binomial(m, np.clip(alone(c, t), 0, 1)), np.maximum(t - (c - m), 0), np.maximum(t - (c > m), 0))
+    closed, many = drawn(rng, m, alone(c, t))
+    if len(many):  # the chance of one customer keeps to both by itself
+        c, t, m = c[many], t[many], m[many]
+        closed[many] = np.minimum(np.maximum(closed[many], t - (c - m)), np.maximum(t - (c > m), 0))
+    return closed
 
 
 def arrive(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, m: np.ndarray, new: np.ndarray, a: float) -> np.ndarray:
     """The tables that open when ``m`` customers join dishes of ``c`` customers at ``t`` tables; ``new`` is the weight of a new table. The first customer of a dish opens one."""
-    first = (c == 0) & (m > 0)
-    c, t, m = c + first, t + first, m - first
-    p = new / np.maximum(new + c - a * t, 1e-300)
-    return first + rng.binomial(m, np.clip(p, 0, 1))
+    first = 0
+    if np.count_nonzero(c) < len(c):
+        first = (c == 0) & (m > 0)
+        c, t, m = c + first, t + first, m - first
+    return first + drawn(rng, m, new / np.maximum(new + c - a * t, 1e-300))[0]
 
 
 def due(c: np.ndarray, turn: int) -> np.ndarray:
@@ -245,6 +275,22 @@ def reseat(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, m: np.ndarray
     return closed, arrive(rng, c - m, t - closed, m, new, alone.a)
 
 
+def add(to: np.ndarray, at: np.ndarray, x: np.ndarray) -> None:
+    """Add ``x`` at the places ``at``, which may repeat. Without a cast numpy is ten times as fast at it."""
+    np.add.at(to, at, x.astype(to.dtype))
+
+
+def falling(n: np.ndarray) -> np.ndarray:
+    """The places of the numbers above 1, the largest first: the dishes that a turn still moves are a beginning of these."""
+    at = np.flatnonzero(n > 1)
+    return at[np.argsort(-n[at], kind="stable")]
+
+
+def more_than(n: np.ndarray, least: int) -> int:
+    """How many of the falling numbers ``n`` are above ``least``."""
+    return len(n) - int(np.searchsorted(n[::-1], least, side="right"))
+
+
 @dataclass(frozen=True)
 class Setting:
     """Discounts and strengths of the root, the one-word and the two-word contexts; learned tokens and words; customers and tables of the root."""
@@ -308,9 +354,7 @@ class Bucket:
         del turn2, new, at, dish
         self.c2 = np.bincount(self.r2, weights=self.n).astype(np.int64)
         self.t = np.minimum(self.n, 1)
-        # dishes of most customers first, so that those that a turn still moves are a beginning
-        self.active = np.argsort(-self.n, kind="stable")[: int((self.n > 1).sum())]
-        self.most = -self.n[self.active]
+        self.active = falling(self.n)
         self.c1 = np.bincount(self.d, weights=self.t, minlength=len(self.d_w)).astype(np.int64)
         self.t1 = np.minimum(self.c1, 1)
         self.sums()
@@ -326,56 +370,70 @@ class Bucket:
         self.sums()
 
     def prepare(self, s: Setting, p0: np.ndarray) -> None:
+        """What a turn looks up of the dishes that move, side by side, so that those of a turn are the beginnings of these arrays."""
         self.s, self.p0 = s, p0[self.d_w]
-        self.alone1, self.alone2 = Alone(s.discounts[1]), Alone(s.discounts[2])
-
-    def new1(self, d: np.ndarray) -> np.ndarray:
-        """The weight of a new table for dishes ``d`` of the one-word contexts."""
-        return (self.s.strengths[1] + self.s.discounts[1] * self.t1_sum[self.d_r1[d]]) * self.p0[d]
-
-    def middle(self, d: np.ndarray) -> np.ndarray:
-        """Predictive probability of dishes ``d`` in their one-word contexts."""
-        return (self.c1[d] - self.s.discounts[1] * self.t1[d] + self.new1(d)) / (self.s.strengths[1] + self.c1_sum[self.d_r1[d]])
+        self.alone1, self.alone2 = alone_of(s.discounts[1]), alone_of(s.discounts[2])
+        self.dishes2, self.n2, self.to_r2 = self.of(self.d[self.active]), self.n[self.active], self.r2[self.active].astype(np.intp)
+        # the dishes above them, numbered as they first occur
+        hit, first, at = np.unique(self.dishes2[0], return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        self.above, number = self.of(hit[order]), np.empty_like(order)
+        number[order] = np.arange(len(order))
+        self.number = number[at]
+        # a dish has no more customers than were learned from below it
+        most = np.bincount(self.d, weights=self.n, minlength=len(self.d_w)).astype(np.int64)
+        order = falling(most)
+        self.dishes1, self.n1 = self.of(order), most[order]
+
+    def of(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Dishes ``d`` of the one-word contexts, their restaurants, and their probabilities in the root."""
+        return d.astype(np.intp), self.d_r1[d].astype(np.intp), self.p0[d]
+
+    def new1(self, r: np.ndarray, p0: np.ndarray) -> np.ndarray:
+        """The weight of a new table for dishes of the one-word contexts."""
+        return (self.s.strengths[1] + self.s.discounts[1] * self.t1_sum[r]) * p0
+
+    def middle(self, d: np.ndarray | slice, r: np.ndarray, p0: np.ndarray) -> np.ndarray:
+        """Predictive probability of dishes in their one-word contexts."""
+        return (self.c1[d] - self.s.discounts[1] * self.t1[d] + self.new1(r, p0)) / (self.s.strengths[1] + self.c1_sum[r])
 
     def sweep(self, rng: np.random.Generator) -> None:
         """Every customer is seated again, a turn after the other."""
-        last = int(max(-self.most[0] if len(self.most) else 0, self.c1.max(initial=0)))
-        for turn in range(min(TURNS, last)):
+        self.t2 = self.t[self.active]
+        for turn in range(min(TURNS, int(self.n1.max(initial=0)))):
             self.turn(rng, turn)
+        self.t[self.active] = self.t2
 
     def turn(self, rng: np.random.Generator, turn: int) -> None:
         """What is due of every dish is seated again, in the two-word contexts first; tables that open and close there join and leave the one-word contexts."""
-        s, act = self.s, self.active[: np.searchsorted(self.most, -turn)]
+        s, k = self.s, more_than(self.n2, turn)
+        if k:
+            n, t, r2 = self.n2[:k], self.t2[:k], self.to_r2[:k]
+            new = (s.strengths[2] + s.discounts[2] * self.t2_sum[r2]) * self.middle(*(x[:k] for x in self.dishes2))
+            closed, opened = reseat(rng, n, t, due(n, turn), new, self.alone2)
+            t += opened - closed
+            add(self.t2_sum, r2, opened - closed)
+            gone, come = (np.bincount(self.number[:k], weights=x).astype(np.int64) for x in (closed, opened))
+            hit = (gone + come).nonzero()[0]
+            gone, come, (d, r, p0) = gone[hit], come[hit], (x[hit] for x in self.above)
+            c, t = self.c1[d], self.t1[d]
+            left = t - leave(rng, c, t, gone, self.alone1)
+            now = left + arrive(rng, c - gone, left, come, self.new1(r, p0), s.discounts[1])
+            add(self.c1_sum, r, come - gone)
+            add(self.t1_sum, r, now - t)
+            self.c1[d], self.t1[d] = c - gone + come, now
+        c = self.c1[self.dishes1[0][: more_than(self.n1, max(turn, 1))]]
+        act = (c > max(turn, 1)).nonzero()[0]
         if len(act):
-            new = (s.strengths[2] + s.discounts[2] * self.t2_sum[self.r2[act]]) * self.middle(self.d[act])
-            closed, opened = reseat(rng, self.n[act], self.t[act], due(self.n[act], turn), new, self.alone2)
-            change = np.flatnonzero(closed + opened)
-            act, closed, opened = act[change], closed[change], opened[change]
-            self.t[act] += opened - closed
-            np.add.at(self.t2_sum, self.r2[act], opened - closed)
-            hit, at = np.unique(self.d[act], return_inverse=True)
-            gone, come = (np.bincount(at, weights=x, minlength=len(hit)).astype(np.int64) for x in (closed, opened))
-            c, t = self.c1[hit], self.t1[hit]
-            t = t - leave(rng, c, t, gone, self.alone1)
-            t = t + arrive(rng, c - gone, t, come, self.new1(hit), s.discounts[1])
-            self.take(hit, c - gone + come, t)
-        act = np.flatnonzero(self.c1 > max(turn, 1))
-        if len(act):
-            closed, opened = reseat(rng, self.c1[act], self.t1[act], due(self.c1[act], turn), self.new1(act), self.alone1)
-            change = np.flatnonzero(closed != opened)
-            act = act[change]
-            self.take(act, self.c1[act], self.t1[act] + opened[change] - closed[change])
-
-    def take(self, d: np.ndarray, c: np.ndarray, t: np.ndarray) -> None:
-        """New customers and tables of dishes ``d`` of the one-word contexts."""
-        np.add.at(self.c1_sum, self.d_r1[d], c - self.c1[d])
-        np.add.at(self.t1_sum, self.d_r1[d], t - self.t1[d])
-        self.c1[d], self.t1[d] = c, t
+            c, (d, r, p0) = c[act], (x[act] for x in self.dishes1)
+            closed, opened = reseat(rng, c, self.t1[d], due(c, turn), self.new1(r, p0), self.alone1)
+            self.t1[d] += opened - closed
+            add(self.t1_sum, r, opened - closed)
 
     def predict(self) -> np.ndarray:
         """Predictive probability of every distinct occurrence."""
         s = self.s
-        new = (s.strengths[2] + s.discounts[2] * self.t2_sum[self.r2]) * self.middle(np.arange(len(self.c1)))[self.d]
+        new = (s.strengths[2] + s.discounts[2] * self.t2_sum[self.r2]) * self.middle(slice(None), self.d_r1, self.p0)[self.d]
         return (self.n - s.discounts[2] * self.t + new) / (s.strengths[2] + self.c2[self.r2])
 
     def to_root(self) -> np.ndarray:
@@ -433,8 +491,8 @@ def load(r: dict) -> tuple[np.ndarray, ...]:
 
 def asks(bucket: Bucket, number: int, parts: int) -> list[dict]:
     """Rows that tell each part the words of this bucket and the customers that it sends (kind 1: bucket, part, a words, b customers)."""
-    part, sent = (mixed(bucket.words) >> np.uint64(33)) % np.uint64(parts), bucket.to_root()
-    return [{"kind": 1, "bucket": number, "part": p, "a": pack(bucket.words[use], 6), "b": pack(sent[use], 4)} for p in range(parts) if (use := part == p).any()]
+    sent = bucket.to_root()
+    return [{"kind": 1, "bucket": number, "part": p, "a": pack(bucket.words[use], 6), "b": pack(sent[use], 4)} for p, use in enumerate(dealt(bucket.words, parts)) if len(use)]
 
 
 def gathering(parts: int, split: dict[str, np.ndarray]):
@@ -492,13 +550,15 @@ def rooting(setting: Setting | None, step: int):
         t = np.minimum(c, 1)
         if setting is not None:
             rng = np.random.default_rng([SEED, step, key[0].as_py()])
-            alone, tables = Alone(setting.discounts[0]), setting.tables
+            alone, tables = alone_of(setting.discounts[0]), setting.tables
             t = np.clip(unpack(r["d"], 5), np.minimum(c, 1), c)
-            for turn in range(ROOT_SWEEPS * TURNS):
-                act = np.flatnonzero(c > max(turn % TURNS, 1))
-                new = np.full(len(act), (setting.strengths[0] + setting.discounts[0] * tables) / (setting.distinct + 1))
-                closed, opened = reseat(rng, c[act], t[act], due(c[act], turn % TURNS), new, alone)
-                t[act] += opened - closed
+            act = falling(c)
+            n, seated, new = c[act], t[act], np.full(len(act), (setting.strengths[0] + setting.discounts[0] * tables) / (setting.distinct + 1))
+            for turn in range(ROOT_SWEEPS * TURNS if len(act) else 0):
+                k = more_than(n, max(turn % TURNS, 1))
+                closed, opened = reseat(rng, n[:k], seated[:k], due(n[:k], turn % TURNS), new[:k], alone)
+                seated[:k] += opened - closed
+            t[act] = seated
         counts = np.array([(c == 1).sum(), (c == 2).sum(), c.sum(), t.sum()])
         release()
         return rows_of([{"kind": 0, "part": key[0].as_py(), "a": r["a"], "b": r["b"], "c": pack(c, 5), "d": pack(t, 5)}, {"kind": 2, "a": pack(counts, 8)}])
@@ -527,10 +587,10 @@ def answer(key: tuple, sent: pa.Table, known: pa.Table) -> pa.Table:
 
 def told(b: Bucket, answers: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count, customers and tables in the root) of each word of a bucket."""
-    part = (mixed(b.words) >> np.uint64(33)) % np.uint64(parts)
+    places = dealt(b.words, parts)
     out = [np.zeros(len(b.words), dtype=np.int64) for _ in range(3)]
     for r in answers:
-        use = part == r["part"]
+        use = places[r["part"]]
         for x, name in zip(out, "abc", strict=True):
             x[use] = unpack(r[name], 5)
     return tuple(out)
